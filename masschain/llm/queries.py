@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import feistel, quality_rules
+from . import feistel, near_dup, quality_rules, suffix_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_feistel_shards": feistel.op3_feistel_shards,
+    "op4_repeated_strings": suffix_dedup.op4_repeated_strings,
+    "op5_near_duplicates": near_dup.op5_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}

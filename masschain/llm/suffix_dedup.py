@@ -157,17 +157,20 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, most: int) -> np.ndarr
     going = np.arange(len(heads))
     # a run of r suffixes with one shift needs `most` codes beyond its last suffix only
     bound = np.diff(np.append(head, n))[live] + most
+    step = 16
+    at = np.arange(step)
     while len(going):
-        a, b = heads[going] + length[going], partners[going] + length[going]
-        ok = (a < n) & (b < n) & (length[going] < bound[going])
-        going, a, b = going[ok], a[ok], b[ok]
-        step = 32
-        at = np.arange(step)
-        equal = (a[:, None] + at < n) & (b[:, None] + at < n)
-        equal &= codes[np.minimum(a[:, None] + at, n - 1)] == codes[np.minimum(b[:, None] + at, n - 1)]
-        run = np.where(equal.all(axis=1), step, equal.argmin(axis=1))
-        length[going] += run
-        going = going[run == step]
+        still = []
+        for part in np.array_split(going, -(-len(going) // (1 << 15))):
+            a, b = heads[part] + length[part], partners[part] + length[part]
+            ok = (a < n) & (b < n) & (length[part] < bound[part])
+            part, a, b = part[ok], a[ok][:, None] + at, b[ok][:, None] + at
+            equal = (a < n) & (b < n)
+            equal &= codes[np.minimum(a, n - 1)] == codes[np.minimum(b, n - 1)]
+            run = np.where(equal.all(axis=1), step, equal.argmin(axis=1))
+            length[part] += run
+            still.append(part[run == step])
+        going = np.concatenate(still)
     total = np.zeros(len(head), np.int64)
     total[live] = length
     inside = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
@@ -175,9 +178,8 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, most: int) -> np.ndarr
     return shared[order]
 
 
-def repeated_windows(blocks: list[bytes], many: np.ndarray, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each block, which of its windows occur twice or more in all blocks, and the place of
-    each window's class in the sorted order. many: blocks that stand for several places."""
+def repeated_windows(blocks: list[bytes], many: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each block, which of its windows occur twice or more in all blocks. many: 1 for blocks that stand for several places."""
     sizes = np.array([len(b) for b in blocks])
     body = np.frombuffer(b"".join(blocks), np.uint8).astype(np.int32) + 1
     ends = np.cumsum(sizes)
@@ -193,10 +195,8 @@ def repeated_windows(blocks: list[bytes], many: np.ndarray, length: int) -> tupl
     klass = np.concatenate([[0], np.cumsum(new_class)[:-1]])
     held = np.bincount(klass[valid], weights=1.0 + many[block[valid]], minlength=klass[-1] + 1 if len(klass) else 0)
     twice = np.empty(len(codes), bool)
-    place = np.empty(len(codes), np.int64)
-    twice[order], place[order] = valid & (held[klass] >= 2), klass
-    cut = [(s, s + max(z - length + 1, 0)) for s, z in zip(starts, sizes, strict=True)]
-    return [twice[a:b] for a, b in cut], [place[a:b] for a, b in cut]
+    twice[order] = valid & (held[klass] >= 2)
+    return [twice[s : s + max(z - length + 1, 0)] for s, z in zip(starts, sizes, strict=True)]
 
 
 def ranges(windows: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -209,19 +209,18 @@ def ranges(windows: np.ndarray, length: int) -> tuple[list[int], list[int]]:
 
 
 def _shard(length: int):
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    def shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = [bytes(b) for b in pdf["bytes"]]
         many = (pdf["copies"].to_numpy() > 1).astype(float)
-        twice, place = repeated_windows(blocks, many, length)
+        twice = repeated_windows(blocks, many, length)
         found = [ranges(t, length) for t in twice]
         digests = [b""] * len(blocks)
         for i in np.flatnonzero(pdf["parts"].to_numpy() > 1):
-            # one digest a window, of those that the shard itself has not settled or is the first to hold
             text = blocks[i]
             digests[i] = b"".join(hashlib.blake2b(text[j : j + length], digest_size=16).digest() for j in range(len(text) - length + 1))
         return pd.DataFrame({
             "key": pdf["key"], "run_hash": pdf["run_hash"], "windows": pdf["windows"],
-            "starts": [f[0] for f in found], "stops": [f[1] for f in found], "digests": digests,
+            "starts": [f[0] for f in found], "stops": [f[1] for f in found], "digests": digests, "shard": key[0],
         })
 
     return shard
@@ -282,7 +281,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         F.pmod(F.when(F.col("parts") > 1, F.xxhash64("key", salt)).otherwise(F.xxhash64("key")), F.lit(shards)).alias("shard"),
     ).dropDuplicates(["key", "run_hash", "windows"])
     found = common.scratch_table(
-        blocks.groupBy("shard").applyInPandas(lambda key, pdf, f=_shard(length): f(pdf).assign(shard=key[0]), f"{_FOUND}, digests binary, shard long"), "found"
+        blocks.groupBy("shard").applyInPandas(_shard(length), f"{_FOUND}, digests binary, shard long"), "found"
     )
     cut = found.filter(F.length("digests") > 0)
     across = None
