@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import feistel, near_dup, quality_rules, suffix_dedup
+from . import feistel, fingerprints, lattice_lm, licenses, near_dup, pieces, quality_gbt, quality_rules, suffix_dedup
 
 QUERIES = {
+    "op1_lattice_likelihood": lattice_lm.op1_lattice_likelihood,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_feistel_shards": feistel.op3_feistel_shards,
     "op4_repeated_strings": suffix_dedup.op4_repeated_strings,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
+    "op6_pieces": pieces.op6_pieces,
+    "op7_scaled_sketches": fingerprints.op7_scaled_sketches,
+    "op9_quality_trees": quality_gbt.op9_quality_trees,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
