@@ -1,13 +1,95 @@
-"""From raw documents to encoded training text, in five stages over whole tables."""
+"""From raw documents to encoded training text, in five stages over whole tables.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its caller writes that as
+Parquet and hands it, read again, to the next stage. A stage's scratch tables are
+dropped when the next one starts, as its result is written by then.
+
+All stages but the last return the columns of documents. Columns of another name that
+docs may have are dropped by the first stage. Nulls in any column, empty texts, repeated
+rows and empty tables have the results that each operator's docstring gives.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from masschain.llm import common, mixing, near_dup, pieces, quality_rules, suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    common.drop_scratch_tables(spark)
+    return quality_rules.with_verdicts(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8).
+
+    Of rows that repeat an id, the one with the smallest hash of its text stays. Rows with
+    a null id stay if their group has no other id.
+    """
+    common.drop_scratch_tables(spark)
+    found = common.scratch_table(near_dup.near_duplicates(docs.select("doc_id", "text"), k=5, threshold=80).select("doc_id", "component_id", "kept"), "groups")
+    kept = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    named = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    if not kept.filter("n > 1").isEmpty():
+        row = F.struct(*COLUMNS)
+        named = named.groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(*COLUMNS))).alias("row")).select("row.*")
+    if found.filter("kept AND doc_id IS NULL").isEmpty():
+        return named
+    # rows without an id stay once for each of their texts
+    nameless = docs.filter("doc_id IS NULL").select(*COLUMNS)
+    own = near_dup.near_duplicates(docs.select(F.coalesce("doc_id", F.lit(near_dup.UNNAMED - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 60))).alias("doc_id"), "text"), k=5, threshold=80)
+    standing = own.filter(F.col("kept") & (F.col("doc_id") > (1 << 61))).select(F.col("doc_id").alias("stand_in")).distinct()
+    stand_in = F.lit(near_dup.UNNAMED - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 60))
+    single = nameless.withColumn("stand_in", stand_in).join(standing, "stand_in", "left_semi").groupBy("stand_in").agg(
+        F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS)).alias("row")
+    )
+    return named.unionByName(single.select("row.*"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated strings of 200 bytes; a character cut in two becomes U+FFFD."""
+    common.drop_scratch_tables(spark)
+    cut = suffix_dedup.without_repeats(docs.select(*COLUMNS))
+    text = F.when(F.col("text").isNull(), F.lit(None)).when(F.col("n_removed") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept_bytes").cast("string")))
+    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to the nearest whole number."""
+    common.drop_scratch_tables(spark)
+    taken = mixing.mixed(docs.select(*COLUMNS))
+    times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + F.lit(0.5)).cast("int")
+    copies = taken.withColumn("times", times).filter("times > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their piece ids."""
+    common.drop_scratch_tables(spark)
+    return pieces.encoded(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-duplicates", one_of_each_group),
+    ("repeated strings", without_repeats),
+    ("source mix", mixed),
+    ("pieces", encoded),
+]
+
+#: Minimum hashes, seeded hashes and piece scores have no DuckDB form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.scratch_table(docs, f"stage{i}", stays=True)
     return docs

@@ -46,12 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again."""
+def scratch_table(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """df written to the shared folder and read again; if it stays, drop_scratch_tables leaves it."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _open_tables.append(path)
+    if not stays:
+        _open_tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

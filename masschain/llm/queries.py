@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feistel, fingerprints, lattice_lm, licenses, near_dup, pieces, quality_gbt, quality_rules, suffix_dedup
+from . import feistel, fingerprints, lattice_lm, licenses, mixing, near_dup, pieces, quality_gbt, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_lattice_likelihood": lattice_lm.op1_lattice_likelihood,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_duplicates": near_dup.op5_near_duplicates,
     "op6_pieces": pieces.op6_pieces,
     "op7_scaled_sketches": fingerprints.op7_scaled_sketches,
+    "op8_source_mix": mixing.op8_source_mix,
     "op9_quality_trees": quality_gbt.op9_quality_trees,
     "op10_licenses": licenses.op10_licenses,
 }
