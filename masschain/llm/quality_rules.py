@@ -157,11 +157,13 @@ def with_verdicts(df: DataFrame) -> DataFrame:
         *(f"`{c}`" for c in own), *(F.col(f"__{c}").alias(c) for c in results),
         F.when(F.col("__word_chars") >= MIN_CHARS, F.round(js_distance(F.col("__chars"), reference(0)), 9)).otherwise(0.0).alias("char_distance"),
         F.when(F.col("__n_words") >= MIN_WORDS, F.round(js_distance(F.col("__words"), reference(1)), 9)).otherwise(0.0).alias("word_distance"),
+        # a filter on the verdict must not move below this projection: it would evaluate every feature many times over
+        F.monotonically_increasing_id().alias("__row"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("char_distance") <= MOST_CHAR_DISTANCE) & (F.col("word_distance") <= MOST_WORD_DISTANCE)
-    )
+        "kept", (F.col("__row") >= 0) & ~F.col("base_failed") & (F.col("char_distance") <= MOST_CHAR_DISTANCE) & (F.col("word_distance") <= MOST_WORD_DISTANCE)
+    ).drop("__row")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
