@@ -1,4 +1,19 @@
 """All queries over the composition tables, by name, and their SQL."""
 
+from __future__ import annotations
+
+from masschain.operators import facts, graph, joins, rollup, served, textlog
+
+from .tables import sql_query, with_ctes
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+for _part in (facts, joins, rollup, served, textlog):
+    for _name, _body in _part.SQL.items():
+        _spark, _ansi = _body if isinstance(_body, tuple) else (_body, _body)
+        QUERIES[_name] = sql_query(_spark)
+        ORACLE_SQL[_name] = with_ctes(_ansi)
+
+QUERIES |= graph.QUERIES
+ORACLE_SQL |= {k: with_ctes(v) for k, v in graph.ORACLE.items()}
