@@ -87,8 +87,8 @@ SQL = {
     "item_mass_of_instance": "SELECT ord, mass FROM prod_mass WHERE mass > 50",
     "quality_of_edge": "SELECT ord, sup, prt, 'Validity' AS dim, q_validity AS score FROM mat UNION ALL SELECT ord, sup, prt, 'Accuracy', q_accuracy FROM mat",
     "catalog_digest": "SELECT source_id, COUNT(*) AS n, MIN(ord) AS first_ord, MAX(ord) AS last_ord, COUNT(DISTINCT sup) AS components FROM facts GROUP BY 1",
-    "catalog_route": "SELECT source_id FROM (SELECT f.source_id, MIN(p.yr) AS y0, MAX(p.yr) AS y1 FROM facts f JOIN prod p ON f.ord = p.ord GROUP BY 1) c WHERE y0 <= 1995 AND y1 >= 1994",
-    "routed_query": "SELECT f.source_id, SUM(f.kg) AS kg FROM facts f JOIN prod p ON f.ord = p.ord WHERE p.yr = 1994 GROUP BY 1",
+    "catalog_route": "SELECT source_id FROM (SELECT f.source_id, MIN(p.yr) AS y0, MAX(p.yr) AS y1 FROM facts f JOIN prod p ON f.ord = p.ord GROUP BY 1) c WHERE y0 <= 1995 AND y1 >= 1996",
+    "routed_query": "SELECT f.source_id, SUM(f.kg) AS kg FROM facts f JOIN prod p ON f.ord = p.ord WHERE p.yr = 1996 GROUP BY 1",
     "class_label": "SELECT DISTINCT product_class, coalesce(CASE WHEN product_parent = 'BUILDING' THEN concat('Building of ', substr(product_class, 10)) END, lower(product_class)) AS label FROM prod",
     "class_comment": "SELECT t.parent, concat('mean of ', CAST(COUNT(*) AS STRING), ' classes') AS comment FROM taxonomy t GROUP BY t.parent",
     "humanise_name": "SELECT DISTINCT p_type, concat(substr(p_type, 1, 1), lower(substr(p_type, 2))) AS label FROM part",
@@ -107,7 +107,7 @@ SQL |= {
     "question_cu_distribution": "SELECT t.component_class, round(SUM(t.f * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE p.product_parent = 'BUILDING' AND t.element_class = 'PROMO' GROUP BY 1",
     "question_al_alloy_demand": "SELECT t.material_class, round(SUM(t.f1 * t.f2 * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE t.material_class LIKE 'Brand#1%' AND p.product_parent = 'FURNITURE' GROUP BY 1",
     "question_cu_by_segment": "SELECT p.product_class, round(SUM(t.f * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE p.yr = 1996 AND t.element_class = 'PROMO' GROUP BY 1",
-    "question_al5_by_segment": "SELECT p.product_class, round(SUM(t.f1 * t.f2 * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE p.yr = 1994 AND t.material_class = 'Brand#11' GROUP BY 1",
+    "question_al5_by_segment": "SELECT p.product_class, round(SUM(t.f1 * t.f2 * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE p.yr = 1996 AND t.material_class = 'Brand#11' GROUP BY 1",
     "question_elements_embedded": "SELECT t.element_class, round(SUM(t.f * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE t.component_class = 'NATION_18' GROUP BY 1",
     "question_cu_recovery": "SELECT DISTINCT m.element_class, k.process FROM mat m JOIN (SELECT * FROM (VALUES ('PROMO', 'smelting'), ('LARGE', 'leaching')) AS t(element, process)) k ON m.element_class = k.element",
     "question_crm_recovered": "SELECT a.ord, COUNT(*) AS pairs FROM reach a JOIN reach b ON a.ord = b.ord JOIN (SELECT * FROM (VALUES ('PROMO', 'LARGE'), ('SMALL', 'PROMO')) AS t(element, base)) k ON a.element_class = k.element AND b.element_class = k.base GROUP BY 1",

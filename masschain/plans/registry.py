@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from masschain.operators import facts, graph, joins, rollup, served, textlog
+from masschain.operators import facts, graph, joins, rollup, search, served, textlog
+from masschain.streaming import sources
 
 from .tables import sql_query, with_ctes
 
@@ -15,5 +16,5 @@ for _part in (facts, joins, rollup, served, textlog):
         QUERIES[_name] = sql_query(_spark)
         ORACLE_SQL[_name] = with_ctes(_ansi)
 
-QUERIES |= graph.QUERIES
-ORACLE_SQL |= {k: with_ctes(v) for k, v in graph.ORACLE.items()}
+QUERIES |= graph.QUERIES | sources.QUERIES | search.QUERIES
+ORACLE_SQL |= {k: with_ctes(v) for k, v in (graph.ORACLE | sources.ORACLE).items()}
