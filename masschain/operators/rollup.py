@@ -59,7 +59,7 @@ SQL = {
     "navigation_facts": "SELECT COUNT(*) > 0 AS typed, bool_or(product_class LIKE '%/%') AS labelled, bool_and(product_parent IS NOT NULL) AS taxonomy_present FROM prod",
     "fanout_check": "SELECT ord, COUNT(*) AS n FROM pc GROUP BY ord HAVING COUNT(*) < 2",
     "material_consistency": "SELECT material_class, COUNT(DISTINCT concat(element_class, CAST(CAST(round(elem_best * 100, 0) AS INT) AS STRING))) AS makeups FROM mat GROUP BY 1 HAVING COUNT(DISTINCT concat(element_class, CAST(CAST(round(elem_best * 100, 0) AS INT) AS STRING))) > 1",
-    "unknown_plan": "SELECT ord, element_class, level_rank, round(proj - coalesce(lag(proj) OVER (PARTITION BY ord, element_class ORDER BY level_rank DESC), 0), 9) AS amount FROM (SELECT ord, element_class, 3 AS level_rank, amount AS proj FROM reach UNION ALL SELECT ord, element_class, 0, lo FROM coarse) x",
+    "unknown_plan": "SELECT ord, element_class, level_rank, round(proj - coalesce(lag(proj) OVER (PARTITION BY ord, element_class ORDER BY level_rank DESC), 0), 9) + 0.0E0 AS amount FROM (SELECT ord, element_class, 3 AS level_rank, amount AS proj FROM reach UNION ALL SELECT ord, element_class, 0, lo FROM coarse) x",
     "remainder_dedup": "SELECT product_class, element_class, yr, amount FROM (SELECT product_class, element_class, yr, round(amount, 9) AS amount, row_number() OVER (PARTITION BY product_class, element_class ORDER BY round(amount, 9) DESC, yr) AS k FROM leaf_mean) t WHERE k = 1",
     "slice_span": "SELECT product_class, MIN(yr) AS y0, MAX(yr) AS y1 FROM prod GROUP BY 1",
     "rank_check": "SELECT yr, bool_and(ok) AS ordered FROM (SELECT yr, coalesce(lag(mass) OVER (PARTITION BY yr ORDER BY mass DESC, ord), 1.0E300) >= mass AS ok FROM prod) t GROUP BY yr",
