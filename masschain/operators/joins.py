@@ -35,7 +35,7 @@ SQL = {
     "table_diff": "SELECT coalesce(a.ord, b.ord) AS ord, coalesce(a.element_class, b.element_class) AS element_class, CASE WHEN a.ord IS NULL THEN 'unexpected' WHEN b.ord IS NULL THEN 'missing' WHEN abs(a.amount - b.lo) > 1.0E-9 * abs(a.amount) + 1.0E-12 THEN 'drifted' ELSE 'same' END AS status FROM reach a FULL OUTER JOIN coarse b ON a.ord = b.ord AND a.element_class = b.element_class",
     "order_desc": "SELECT product_class, element_class, yr, round(amount, 9) AS amount FROM leaf_mean ORDER BY amount DESC, product_class, element_class, yr",
     "order_two_keys": "SELECT component_parent, component_class, COUNT(*) AS n FROM mat GROUP BY 1, 2 ORDER BY component_parent, component_class",
-    "constituents_ranked": "SELECT element_class, yr, round(amount, 9) AS amount, row_number() OVER (PARTITION BY yr ORDER BY round(amount, 9) DESC, element_class) AS place FROM leaf_mean WHERE product_class = 'BUILDING/NATION_3'",
+    "constituents_ranked": "SELECT element_class, yr, round(amount, 9) AS amount, CAST(row_number() OVER (PARTITION BY yr ORDER BY round(amount, 9) DESC, element_class) AS BIGINT) AS place FROM leaf_mean WHERE product_class = 'BUILDING/NATION_3'",
     "limit_rows": "SELECT ord, mass FROM prod_mass ORDER BY mass DESC, ord LIMIT 50",
     "sum_check_levels": "SELECT ord, round(SUM(best), 6) AS total FROM pc GROUP BY ord",
 }

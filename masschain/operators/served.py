@@ -79,7 +79,7 @@ SQL = {
     "unknown_remainder_rows": "SELECT product_class, yr, round(1 - SUM(amount), 9) AS unknown FROM leaf_mean GROUP BY 1, 2",
     "instances_of_class": "SELECT p.ord FROM prod p JOIN closure c ON p.product_class = c.descendant WHERE c.ancestor = 'BUILDING'",
     "instance_by_label": "SELECT ord, product_class FROM prod WHERE ord = 1 OR ord = 7",
-    "direct_constituents": "SELECT ord, sup, round(best, 9) AS best, 'kgkg' AS unit, row_number() OVER (PARTITION BY ord ORDER BY round(best, 9) DESC, sup) AS place FROM pc",
+    "direct_constituents": "SELECT ord, sup, round(best, 9) AS best, 'kgkg' AS unit, CAST(row_number() OVER (PARTITION BY ord ORDER BY round(best, 9) DESC, sup) AS BIGINT) AS place FROM pc",
     "amount_with_unit": "SELECT ord, sup, prt, CASE WHEN status = 'F' THEN 'gkg' ELSE 'kgkg' END AS unit, round(CASE WHEN status = 'F' THEN elem_best * 1000 ELSE elem_best END, 6) AS amount FROM mat",
     "amount_with_interval": "SELECT m.ord, m.sup, m.prt, m.elem_best AS best, CASE WHEN m.status = 'O' THEN round(m.elem_best * (1 - s.lim), 9) END AS lo FROM mat m LEFT JOIN stmt s ON m.ord = s.ord AND m.sup = s.sup AND m.prt = s.prt",
     "two_hop_share": "SELECT pc.ord, cm.material_class, round(SUM(pc.best * cm.best), 9) AS share FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup WHERE cm.material_class = 'Brand#11' GROUP BY 1, 2",

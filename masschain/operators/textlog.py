@@ -13,7 +13,7 @@ SQL = {
     "vocabulary_harvest": "SELECT DISTINCT lower(p_name) AS phrase FROM part WHERE length(p_name) - length(replace(p_name, ' ', '')) >= 1",
     "result_kind": "SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN lower(text) LIKE '%error%' THEN 'error' WHEN length(text) > 40 THEN 'data' ELSE 'other' END AS kind FROM conversations",
     "call_pairing": "SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS answer_turn, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS answer_role FROM conversations",
-    "run_timeline": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations",
+    "run_timeline": "SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS step FROM conversations",
     "behaviour_flags": "SELECT conv_id, COUNT(*) AS turns, COUNT(*) >= 4 AS many, SUM(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 0 AS unanswered FROM conversations GROUP BY 1",
     "flag_frequency": "SELECT role, COUNT(*) AS n, COUNT(DISTINCT conv_id) AS convs FROM conversations GROUP BY 1",
     "quality_table": "SELECT event_type, COUNT(CASE WHEN value > 50 THEN 1 END) AS high, COUNT(CASE WHEN value <= 50 THEN 1 END) AS low FROM events GROUP BY 1",
