@@ -2,11 +2,10 @@
 
 Each text gives two histograms: character classes, and how often each common word of
 its language stands in it (all other words in one bin). A language's reference is the
-sum of these histograms over the texts of that language that pass the base rules.
-A text is rejected when its Jensen-Shannon distance (base 2, 0 to 1) to its language's
-reference exceeds a limit, or when the base rules fail. Length guards: the character
-test needs MIN_CHARS characters in words, the word test MIN_WORDS words; shorter texts
-pass that test.
+mean of these, as shares, over its texts of MIN_WORDS words or more. A text is rejected
+when its Jensen-Shannon distance (base 2, 0 to 1) to its language's reference exceeds a
+limit, or when the base rules fail. Length guards: the character test needs MIN_CHARS
+characters in words, the word test MIN_WORDS words; shorter texts pass that test.
 
 Languages outside COMMON_WORDS, and null, share one reference of their own with the
 joint list, so there are len(COMMON_WORDS) + 1 references whatever the input's size.
