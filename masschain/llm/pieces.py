@@ -110,19 +110,19 @@ class Encoder:
         return b"".join(map(self._raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def _encode(encoder, want_ids: bool):
+def _encode(encoder):
     def encode(batches):
         for batch in common.slices(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             found = encoder.value.encode(texts)
             ids = [f[0] for f in found]
             exact = [encoder.value.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-            names = [c for c in batch.schema.names]
+            names = batch.schema.names
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]), pa.int32()), pa.array(np.concatenate([np.array(i, np.int32) for i in ids]) if ids else [], pa.int32())
             )
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), lists, pa.array([f[1] for f in found]), pa.array([f[2] for f in found], pa.int64()), pa.array(exact)],
+                [*(batch.column(c) for c in names), lists, pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64()), pa.array(exact, pa.bool_())],
                 names=[*names, "piece_ids", "piece_score", "n_byte_pieces", "round_trip"],
             )
 
@@ -134,7 +134,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     docs = docs.drop("piece_ids", "piece_score", "n_byte_pieces", "round_trip")
     encoder = docs.sparkSession.sparkContext.broadcast(Encoder(vocabulary))  # the size of the vocabulary
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_encode(encoder, True), f"{fields}, piece_ids array<int>, piece_score double, n_byte_pieces long, round_trip boolean")
+    return docs.mapInArrow(_encode(encoder), f"{fields}, piece_ids array<int>, piece_score double, n_byte_pieces long, round_trip boolean")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
