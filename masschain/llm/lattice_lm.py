@@ -122,8 +122,9 @@ def lattice_scores(docs: DataFrame, vocabulary: str = VOCABULARY, held_out=None)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     size, n_train = marked.agg(F.sum(F.octet_length("text")), F.count(F.when(~F.col("held_out"), 1))).first()
     n_blocks = max(1, -(-int(size or 0) // BLOCK_BYTES))
-    blocks = marked.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).repartition(max(n_blocks, 2), "block")
-    held = common.scratch_table(blocks.mapInArrow(_count_words, "block int, word binary, n long"), "words")
+    blocks = marked.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    # the texts move once here and once to meet their words, each time to as many tasks as there are blocks or fewer
+    held = common.scratch_table(blocks.repartition(max(n_blocks, 2), "block").mapInArrow(_count_words, "block int, word binary, n long"), "words")
     totals = common.scratch_table(held.groupBy("word").agg(F.sum("n").alias("n")), "totals")
     n_words, distinct = totals.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     train_tokens, distinct = int(n_words or 0) + n_train, distinct + (n_train > 0)
