@@ -60,11 +60,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number."""
+    """Each document as often as its source's quota takes it as a whole."""
     common.drop_scratch_tables(spark)
-    taken = mixing.mixed(docs.select(*COLUMNS))
-    times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + F.lit(0.5)).cast("int")
-    copies = taken.withColumn("times", times).filter("times > 0")
+    copies = mixing.whole_documents(docs.select(*COLUMNS)).filter("times > 0")
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 

@@ -98,8 +98,8 @@ def shard_quotas(quota: DataFrame, n_shards: int = 8) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, seed: int = 23) -> DataFrame:
-    """docs with size, source_size, target (its source's) and taken (words the mix takes)."""
+def _on_line(docs: DataFrame, seed: int) -> tuple[DataFrame, list[str]]:
+    """docs with size, at (the place of its first word on its source's line) and the source's quota; the columns kept."""
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     sized = docs.select(*(f"`{c}`" for c in kept)).withColumn("size", F.size(common.words_of(F.col("text"))).cast("long")).withColumn("key", source_key(F.col("source")))
     spread = F.xxhash64("doc_id", F.lit(seed), F.xxhash64("text"))
@@ -110,7 +110,12 @@ def mixed(docs: DataFrame, seed: int = 23) -> DataFrame:
     offsets = per_bucket.withColumn("offset", F.sum("bucket_size").over(line) - F.col("bucket_size")).join(common.checkpointed(aimed), "key").drop("bucket_size")
     within = Window.partitionBy("key", "bucket").orderBy("spread", "doc_id", F.xxhash64("text"))
     placed = sized.withColumn("within", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    met = placed.join(offsets, ["key", "bucket"]).withColumn("at", F.col("offset") + F.col("within"))
+    return placed.join(offsets, ["key", "bucket"]).withColumn("at", F.col("offset") + F.col("within")), kept
+
+
+def mixed(docs: DataFrame, seed: int = 23) -> DataFrame:
+    """docs with size, source_size, target (its source's) and taken (words the mix takes)."""
+    met, kept = _on_line(docs, seed)
     passes = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1)))
     rest = F.col("quota") % F.greatest(F.col("blocks"), F.lit(1))
     source_seed = F.xxhash64("key", F.lit(seed))
@@ -126,6 +131,21 @@ def mixed(docs: DataFrame, seed: int = 23) -> DataFrame:
     return met.withColumn("taken", taken.cast("long")).select(*(f"`{c}`" for c in kept), "size", "source_size", "target", "taken")
 
 
+def whole_documents(docs: DataFrame, seed: int = 23) -> DataFrame:
+    """docs with size, source_size, target and times (how often the mix takes the document as a whole).
+
+    A source's quota in words is so many whole passes over its line and, of one more
+    pass, the documents from the line's start whose middle lies within the rest. A source
+    so differs from its quota by half a document at most.
+    """
+    met, kept = _on_line(docs, seed)
+    quota = F.col("quota") * F.col("block")
+    size = F.greatest("source_size", F.lit(1))
+    more = (2 * F.col("at") + F.col("size") <= 2 * (quota % size)).cast("long")
+    times = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(quota / size) + more)
+    return met.withColumn("times", times.cast("int")).select(*(f"`{c}`" for c in kept if c != "times"), "size", "source_size", "target", "times")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
