@@ -13,9 +13,14 @@
    them (all, in a region of that size), that are of another component and whose
    signatures agree like those of linked pairs. A region that is larger at full depth
    sends one node for each component, again and again until that adds no link.
+6. What is left of regions of depth 2 with more than DENSE nodes and several components
+   is settled exactly: nodes are joined on the rarest shingles of their full sets, as many
+   as any pair above the threshold must share one of (a prefix-filter join), with bounds
+   from sizes and places; popular shingles are dealt over many tasks.
 
 A pair of likeness 0.8 shares depth 2 in one of 16 trees at least but for a chance of
-1e-7.
+(1 - 0.8^2)^16 = 8e-8. In a region of up to DENSE nodes it is then missed with a chance of 1e-5 (its
+signatures' agreement), in a larger one never, whatever its size at depth 4.
 
 Defined results: null ids belong to no real id: they may join a group, never name it,
 and stay if their group has no real id; null, empty and blank texts have no shingles
@@ -28,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,6 +42,7 @@ TREES, DEPTH = 16, 4
 DENSE = 256
 FIRST_TREES = 2
 LEAST_AGREEMENT = 38  # of 64 minimum hashes; a pair of likeness 0.8 has fewer with a chance of 1e-5
+POSTING = 512  # nodes of one shingle that one task holds against others at a time
 UNNAMED = 1 << 62  # ids from here on stand for groups without a real id
 
 _rng = np.random.default_rng(20240229)
@@ -151,6 +157,49 @@ def _near_in_region(rows: DataFrame) -> DataFrame:
     return together.select("deep", "node", "comp", "signature").mapInArrow(_agreeing, "a long, b long").distinct()
 
 
+def _shingles(k: int):
+    def shingles(batches):
+        for batch in common.slices(batches, "text", 2 << 20):
+            sets, at = shingle_sets(*common.utf8_buffer(batch.column("text")), k)
+            n = np.diff(at)
+            owner = np.repeat(np.arange(batch.num_rows), n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(pa.array(owner)), pa.array(n[owner].astype(np.int32)), pa.array(sets.view(np.int64))], names=["node", "size", "shingle"]
+            )
+
+    return shingles
+
+
+def _exact_pairs(here: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """All pairs (a, b) of nodes of different components in here (node, comp) that may reach the threshold.
+
+    Each set is ordered by rarity within here. Two sets above the threshold share a
+    shingle among the first size - ceil(threshold * size) + 1 of each, and the first
+    that they share has enough shingles after it in both. Nodes of a shingle's largest
+    component are not paired with one another.
+    """
+    sets = common.scratch_table(texts.join(here.select("node"), "node", "left_semi").mapInArrow(_shingles(k), "node long, size int, shingle long"), "sets")
+    often = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ordered = Window.partitionBy("node").orderBy("n", "shingle")
+    prefix = (
+        sets.join(often, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("at", F.row_number().over(ordered) - 1)
+        .filter(F.col("at") <= F.col("size") - F.floor((F.col("size") * threshold + 99) / 100)).filter("n > 1").drop("n")
+    )
+    prefix = common.scratch_table(prefix.join(here, "node"), "prefixes")
+    by_comp = prefix.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("n"))
+    several = by_comp.groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    posted = prefix.join(several.select("shingle", "top", F.ceil(F.col("n") / POSTING).cast("int").alias("parts")), "shingle")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "size", "at")]
+    every = posted.select("shingle", part.alias("part"), *side("a"))
+    others = posted.filter("comp != top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    others = others.select("shingle", "part", *side("b"))
+    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    enough = (100 + threshold) * rest >= threshold * (F.col("size_a") + F.col("size_b"))
+    met = every.join(others, ["shingle", "part"]).filter("comp_a != comp_b").filter(enough)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def linked_labels(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes that have links (a, b): the smallest node that each reaches.
 
@@ -195,8 +244,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     # one node for each set, by the digest; its text is that of the smallest row that has it
     row = F.struct(F.coalesce("doc_id", F.lit(UNNAMED)).alias("id"), "row_hash")
     groups = sketch.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min(row).alias("row"), F.first("signature").alias("signature"))
+    # an id that is the smallest of several sets names the first of them
+    named = groups.filter(F.col("row.id") < UNNAMED).groupBy("row.id").agg(F.min("row.row_hash").alias("first")).withColumnRenamed("id", "named")
+    own_name = F.col("row.row_hash") == F.col("first")
     nodes = common.scratch_table(
-        groups.withColumn("node", F.when(F.col("row.id") < UNNAMED, F.col("row.id")).otherwise(F.lit(UNNAMED) + F.col("d1").bitwiseAND(F.lit(UNNAMED - 1)))), "nodes"
+        groups.join(named, F.col("row.id") == F.col("named"), "left")
+        .withColumn("node", F.when(own_name, F.col("named")).otherwise(F.lit(UNNAMED) + F.col("d1").bitwiseAND(F.lit(UNNAMED - 1)))).drop("named", "first"), "nodes"
     )
     trees = nodes.select(
         "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("signature", t * DEPTH + 1, DEPTH))).alias("tree", "order")
@@ -252,6 +305,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         if not grown(_near_in_region(first.join(signatures, "node"))):
             break
         regions_left = None
+    # one node for each component does not see all pairs: the rest of large regions, exactly
+    wide = placed.filter(F.col("n") > DENSE).select("tree", "region", "node").join(comps, "node")
+    several = wide.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+    unsettled = common.scratch_table(wide.join(several, ["tree", "region"], "left_semi").select("node", "comp").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        grown(_exact_pairs(unsettled, texts, k, threshold))
 
     # rows of one id with different sets meet through their id
     by_row = sketch.join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(comps, "node", "left")

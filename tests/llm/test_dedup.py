@@ -62,6 +62,26 @@ def test_near_duplicates_edge_cases(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_within_a_large_template(spark):
+    """More than DENSE texts share a template at 0.794; pairs far apart by id reach 0.8125."""
+    template = " ".join(f"t{i}" for i in range(81))
+    n, pairs = 900, 12
+    own = {i: [f"o{i}_{j}" for j in range(10)] for i in range(n)}
+    for i in range(pairs):
+        own[n - pairs + i][0] = own[i][0]
+    rows = [(i, f"{template} {' '.join(own[i])}") for i in range(n)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {i: (87, i - n + pairs if i >= n - pairs else i) for i in range(n)}
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    """Each text of an id links with its own copies."""
+    texts = [" ".join(f"x{t}_{i}" for i in range(100)) for t in range(6)]
+    rows = [(1, t) for t in texts] + [(10 + i, t + " more") for i, t in enumerate(texts)] + [(99, "of its own")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {(1, 1), (99, 99)} | {(10 + i, 1) for i in range(6)}
+
+
 def cut(texts, length=200):
     raw = [(t or "").encode() for t in texts]
     count = collections.Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
