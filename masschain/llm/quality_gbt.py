@@ -153,19 +153,35 @@ def _statistics(batches):
     for batch in common.slices(batches, "text", 2 << 20):
         x = statistics(*common.utf8_buffer(batch.column("text")))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), lists], names=["quality", "x"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "quality", "rank")), lists], names=["doc_id", "quality", "rank", "x"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, held_out, most_rows: int = MOST_ROWS) -> Model:
-    """A model from at most `most_rows` labelled documents outside the held-out split."""
+def training_rows(docs: DataFrame, labels: DataFrame, held_out, most_rows: int) -> DataFrame:
+    """quality and x of at most `most_rows` labelled documents outside the held-out split.
+
+    Where ids repeat and there are more rows, one document of each id and label comes
+    first, then others by a seeded hash, rows that repeat one another last.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out)
         .orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "quality").limit(most_rows)
     )
-    # most_rows ids at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    found = rows.mapInArrow(_statistics, "quality int, x array<double>").toPandas()
+    # most_rows ids at most, but any number of documents
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    ranked = rows.select("doc_id", "text", "quality", F.xxhash64("doc_id", "text", "quality", F.lit(5)).alias("rank"))
+    found = ranked.mapInArrow(_statistics, "doc_id long, quality int, rank long, x array<double>")
+    # rows that repeat are one row with their number, so that no task holds all rows of an id
+    equal = common.checkpointed(found.groupBy("doc_id", "quality", "rank").agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("x")))
+    first = equal.groupBy("doc_id", "quality").agg(F.min("rank").alias("first"))
+    copies = equal.join(F.broadcast(first), ["doc_id", "quality"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(most_rows)).cast("int"))))
+    later = ((F.col("rank") != F.col("first")) | (F.col("copy") > 1)).cast("int")
+    return copies.orderBy(later, "copy", "rank", "doc_id", "quality").limit(most_rows).select("quality", "x")
+
+
+def trained(docs: DataFrame, labels: DataFrame, held_out, most_rows: int = MOST_ROWS) -> Model:
+    """A model from at most `most_rows` labelled documents outside the held-out split."""
+    found = training_rows(docs, labels, held_out, most_rows).toPandas()
     x = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES))
     y = found["quality"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the sums do not depend on the rows' order then

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from masschain.llm import common, mixing
+from masschain.llm import common, mixing, quality_gbt
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,3 +36,17 @@ def test_mix_stage_meets_targets_with_whole_documents(spark, tiny):
         assert abs(words[source] - aim) <= max(sizes[source]) / 2 + 0.005 * aim + 8, source
     assert corpus_pipeline.mixed(spark, docs.limit(0), "").count() == 0
     common.drop_scratch_tables(spark)
+
+
+def test_training_rows_of_a_hot_id_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"hot text {i % 150}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 22)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1)] + [(i, i % 2) for i in range(2, 22)], "doc_id long, quality int")
+    seen = []
+    fit, quality_gbt.fit = quality_gbt.fit, lambda x, y, *rest: seen.append((len(y), int((y == 0).sum())))
+    try:
+        quality_gbt.trained(docs, labels, F.lit(False), 40)
+        quality_gbt.trained(docs, labels, F.lit(False), 1000)
+    finally:
+        quality_gbt.fit = fit
+    # all ten rows of label 0 stay beside the hot id; without a cut all rows count
+    assert seen == [(40, 10), (620, 10)]
