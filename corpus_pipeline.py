@@ -26,29 +26,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8).
+    """One row, that of the smallest id, of each group of near-duplicate texts (five words, 0.8).
 
-    Of rows that repeat an id, the one with the smallest hash of its text stays. Rows with
-    a null id stay if their group has no other id.
+    Texts that share an id are not of one group for that. Rows with a null id stay if
+    their group has no other id; of rows that repeat an id and text one stays. Texts
+    without words are groups of their own for each id.
     """
     common.drop_scratch_tables(spark)
-    found = common.scratch_table(near_dup.near_duplicates(docs.select("doc_id", "text"), k=5, threshold=80).select("doc_id", "component_id", "kept"), "groups")
-    kept = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-    if not kept.filter("n > 1").isEmpty():
-        row = F.struct(*COLUMNS)
-        named = named.groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(*COLUMNS))).alias("row")).select("row.*")
-    if found.filter("kept AND doc_id IS NULL").isEmpty():
+    found = near_dup.linked_rows(docs.select("doc_id", "text"), k=5, threshold=80)
+    key = F.struct(F.coalesce("doc_id", F.lit(near_dup.UNNAMED)).alias("id"), "row_hash")
+    alone = F.when(F.col("comp").isNull(), key)
+    rows = found.select("comp", alone.alias("alone"), key.alias("key")).groupBy("comp", "alone", "key").agg(F.count(F.lit(1)).alias("n"))
+    kept = common.scratch_table(rows.groupBy("comp", "alone").agg(F.min(F.struct("key", "n")).alias("least")).select("least.key.id", "least.key.row_hash", "least.n"), "kept")
+    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dup.UNNAMED)).alias("id"), F.xxhash64("text").alias("row_hash"))
+    named = keyed.join(kept.filter("n = 1"), ["id", "row_hash"], "left_semi").select(*COLUMNS)
+    if kept.filter("n > 1").isEmpty():
         return named
-    # rows without an id stay once for each of their texts
-    nameless = docs.filter("doc_id IS NULL").select(*COLUMNS)
-    own = near_dup.near_duplicates(docs.select(F.coalesce("doc_id", F.lit(near_dup.UNNAMED - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 60))).alias("doc_id"), "text"), k=5, threshold=80)
-    standing = own.filter(F.col("kept") & (F.col("doc_id") > (1 << 61))).select(F.col("doc_id").alias("stand_in")).distinct()
-    stand_in = F.lit(near_dup.UNNAMED - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 60))
-    single = nameless.withColumn("stand_in", stand_in).join(standing, "stand_in", "left_semi").groupBy("stand_in").agg(
-        F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS)).alias("row")
-    )
-    return named.unionByName(single.select("row.*"))
+    repeated = keyed.join(kept.filter("n > 1"), ["id", "row_hash"], "left_semi").groupBy("id", "row_hash")
+    return named.unionByName(repeated.agg(F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS)).alias("row")).select("row.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

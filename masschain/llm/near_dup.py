@@ -231,11 +231,11 @@ def joined_components(comps: DataFrame, links: DataFrame) -> DataFrame:
     return common.checkpointed(comps.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
+def linked_rows(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, row_hash (of the text), n_shingles, node and comp for each row of docs (doc_id, text).
 
-    Documents are linked when 100 * shared >= threshold * union over sets of k-word
-    shingles.
+    Texts are linked when 100 * shared >= threshold * union over sets of k-word
+    shingles; comp is null for a text without any. Ids link nothing here.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_hash", F.xxhash64("text"))
     sketch = common.scratch_table(
@@ -312,13 +312,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     if not unsettled.isEmpty():
         grown(_exact_pairs(unsettled, texts, k, threshold))
 
+    labels = nodes.select("d1", "d2", "node").join(comps, "node")
+    return sketch.join(labels, ["d1", "d2"], "left").select("doc_id", "row_hash", "n_shingles", "node", "comp")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text), by linked_rows."""
+    by_row = linked_rows(docs, k, threshold)
     # rows of one id with different sets meet through their id
-    by_row = sketch.join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(comps, "node", "left")
-    of_id = by_row.filter("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.min("comp").alias("a"), F.collect_set("comp").alias("all"))
+    of_id = by_row.filter("doc_id IS NOT NULL AND comp IS NOT NULL").groupBy("doc_id").agg(F.min("comp").alias("a"), F.collect_set("comp").alias("all"))
     same = of_id.filter(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     if not same.isEmpty():
-        comps = joined_components(comps, same.select("a", "b"))
-        by_row = sketch.join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(comps, "node", "left")
+        tops = linked_labels(same.select("a", "b")).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        by_row = by_row.join(tops, "comp", "left").withColumn("comp", F.coalesce("top", "comp"))
     component = F.when(F.col("comp") < UNNAMED, F.col("comp")).when(F.col("comp").isNull(), F.col("doc_id"))
     return by_row.select(
         "doc_id", "n_shingles", component.alias("component_id"),

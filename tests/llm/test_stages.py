@@ -38,6 +38,20 @@ def test_mix_stage_meets_targets_with_whole_documents(spark, tiny):
     common.drop_scratch_tables(spark)
 
 
+def test_near_duplicate_stage_keeps_unlike_texts_of_one_id(spark):
+    """A hot id with unlike texts, groups that meet only through it, nulls and repeated rows."""
+    text = {t: " ".join(f"{t}{i}" for i in range(100)) for t in "abcdefgh"}
+    rows = [(7, text[t], "s") for t in "abcdef"] + [(3, text["a"] + " more", "s"), (9, text["b"] + " more", "s"), (None, text["g"], "s"), (None, text["g"] + " more", "s")]
+    rows += [(None, text["c"] + " more", "s"), (8, text["h"], "s"), (8, text["h"], "s"), (4, None, "s"), (5, "", "s"), (5, "", "s")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, table(spark, rows), "").collect())
+    null_id = {x for x in got if x[0] is None}
+    assert len(null_id) == 1 and next(iter(null_id))[1].startswith(text["g"])
+    assert {x: n for x, n in got.items() if x[0] is not None} == {
+        (3, text["a"] + " more"): 1, **{(7, text[t]): 1 for t in "bcdef"}, (8, text["h"]): 1, (4, None): 1, (5, ""): 1
+    }
+    common.drop_scratch_tables(spark)
+
+
 def test_training_rows_of_a_hot_id_are_bounded(spark):
     docs = spark.createDataFrame([(1, f"hot text {i % 150}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 22)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1)] + [(i, i % 2) for i in range(2, 22)], "doc_id long, quality int")
