@@ -148,7 +148,9 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, most: int) -> np.ndarr
     place[order] = np.arange(n)
     before = np.where(place > 0, order[np.maximum(place - 1, 0)], -1)
     shift = before - np.arange(n)  # along a run of equal shifts, the match is one and the same
-    new = np.append(True, shift[1:] != shift[:-1])
+    # a match of no length ends at once, and another of the same shift may begin after it
+    apart = (before < 0) | (codes != codes[np.maximum(before, 0)])
+    new = np.append(True, (shift[1:] != shift[:-1]) | apart[:-1])
     head = np.flatnonzero(new)
     shared = np.zeros(n, np.int64)
     live = before[head] >= 0
@@ -294,7 +296,9 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         found = found.unionByName(across)
     shift = lambda c: F.transform(c, lambda x: x + F.col("begin"))
     back = places.join(found, ["key", "run_hash", "windows"]).select("id", "row_hash", shift("starts").alias("starts"), shift("stops").alias("stops"))
-    spans = back.groupBy("id", "row_hash").agg(F.flatten(F.collect_set("starts")).alias("starts"), F.flatten(F.collect_set("stops")).alias("stops"))
+    # starts and stops stay together: one may be equal between two finds of a run while the other differs
+    finds = back.groupBy("id", "row_hash").agg(F.collect_set(F.struct("starts", "stops")).alias("finds"))
+    spans = finds.select("id", "row_hash", F.flatten("finds.starts").alias("starts"), F.flatten("finds.stops").alias("stops"))
     return keyed, spans
 
 

@@ -107,6 +107,21 @@ def test_repeated_strings_match_brute_force(spark, given, monkeypatch, shard_byt
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept_bytes"])).hexdigest()) for r in found] == cut(texts)
 
 
+def test_repeated_strings_found_in_a_shard_and_across_shards(spark, monkeypatch):
+    """Passages of 300 bytes in some texts of which others hold one window of 200 bytes only, over small shards."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 700)
+    word = lambda seed: hashlib.sha512(seed.encode()).hexdigest()
+    texts = []
+    for p in range(5):
+        passage = (word(f"p{p}") + word(f"q{p}") + word(f"r{p}"))[:300]
+        for c in range(5):
+            shown = passage if c < 2 else passage[:200]
+            texts.append(f"{word(f'l{p}.{c}')}{chr(65 + c)}{shown}{chr(75 + c)}{word(f'm{p}.{c}')}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = suffix_dedup.without_repeats(docs).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept_bytes"])).hexdigest()) for r in found] == cut(texts)
+
+
 def test_repeated_strings_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "x" * 150 + "y" * 100), (1, "x" * 150 + "y" * 100), (None, "z" * 10)], "doc_id long, text string").withColumn("n_removed", F.lit(5))
     assert sorted(r["n_removed"] for r in suffix_dedup.without_repeats(docs).collect()) == [0, 250, 250]
