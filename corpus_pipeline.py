@@ -75,7 +75,7 @@ STAGES = [
     ("pieces", encoded),
 ]
 
-#: Minimum hashes, seeded hashes and piece scores have no DuckDB form; tests hold each stage against brute force.
+#: Minimum hashes, seeded hashes and piece scores have no DuckDB form; tests hold the operators, the near-duplicate stage and the mix stage against plain Python.
 ORACLE_SQL = None
 
 
