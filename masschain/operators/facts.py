@@ -12,7 +12,7 @@ SQL = {
     "clamp_window": "SELECT o_orderkey, least(greatest(CAST(year(o_orderdate) AS INT), 1993), 1996) AS yr FROM orders WHERE CAST(year(o_orderdate) AS INT) BETWEEN 1992 AND 1998",
     "bucket_of_year": "SELECT CAST(floor(yr / 5.0E0) AS INT) * 5 AS bucket_lo, CAST(floor(yr / 5.0E0) AS INT) * 5 + 4 AS bucket_hi, COUNT(*) AS n FROM prod GROUP BY 1, 2",
     "unit_to_fraction": "SELECT ord, sup, prt, CASE WHEN status = 'F' THEN 'gkg' ELSE 'kgkg' END AS unit, round((CASE WHEN status = 'F' THEN elem_best * 1000 ELSE elem_best END) * (CASE WHEN status = 'F' THEN 0.001E0 ELSE 1.0E0 END), 9) AS best FROM mat",
-    "default_endpoints": "SELECT s.ord, s.sup, s.prt, m.elem_best AS best, round(m.elem_best * (1 - s.lim), 9) AS lo, round(m.elem_best * (1 + s.lim), 9) AS hi FROM stmt s JOIN mat m ON s.ord = m.ord AND s.sup = m.sup AND s.prt = m.prt",
+    "default_endpoints": "SELECT s.ord, s.sup, s.prt, s.elem_best AS best, round(s.elem_best * (1 - s.lim), 9) AS lo, round(s.elem_best * (1 + s.lim), 9) AS hi FROM stmt s",
     "floor_value": "SELECT ord, sup, prt, round(CASE WHEN status = 'F' THEN elem_best * 0.9 ELSE elem_best END, 9) AS floor_kgkg FROM mat",
     "split_coarse_step": "SELECT kind, COUNT(*) AS n FROM (SELECT CASE WHEN abs(rank_part - rank_whole) > 1 THEN 'coarse' ELSE 'step' END AS kind FROM (SELECT 0 AS rank_whole, 1 AS rank_part FROM pc UNION ALL SELECT 1, 2 FROM cm UNION ALL SELECT 2, 3 FROM me UNION ALL SELECT 0, 3 FROM coarse) e) k GROUP BY kind",
     "drop_zero_edges": "SELECT ord, sup, round(best, 9) AS best FROM pc WHERE part_mass > 0 AND best > 0",
@@ -42,7 +42,7 @@ SQL = {
     "local_name": "SELECT DISTINCT product_class, substr(product_class, length(product_parent) + 2) AS local_name FROM prod",
     "unit_canonical": "SELECT u.unit, u.kind, u.scale, COUNT(*) AS n FROM facts f JOIN (SELECT * FROM (VALUES ('F', 'gkg', 'fraction', 0.001E0), ('O', 'kgkg', 'fraction', 1.0E0)) AS t(status, unit, kind, scale)) u ON f.status = u.status GROUP BY 1, 2, 3",
     "fill_quality": "SELECT ord, sup, prt, coalesce(nullif(q_validity, 3), 1) AS q_validity, coalesce(nullif(q_accuracy, 3), 2) AS q_accuracy FROM mat",
-    "edge_rel_uncertainty": "SELECT s.ord, s.sup, s.prt, round(CASE WHEN m.elem_best > 0 THEN ((m.elem_best * (1 + s.lim) - m.elem_best) / m.elem_best) / sqrt(3.0E0) ELSE 0 END, 9) AS rel FROM stmt s JOIN mat m ON s.ord = m.ord AND s.sup = m.sup AND s.prt = m.prt",
+    "edge_rel_uncertainty": "SELECT s.ord, s.sup, s.prt, round(CASE WHEN s.elem_best > 0 THEN ((s.elem_best * (1 + s.lim) - s.elem_best) / s.elem_best) / sqrt(3.0E0) ELSE 0 END, 9) AS rel FROM stmt s",
     "round9": "SELECT ord, sup, round(best, 9) AS best FROM pc",
     "load_subset": "SELECT ord, mass, product_class FROM prod WHERE yr IN (1995, 1996) AND product_parent = 'BUILDING'",
     "scan_corrections": "SELECT material_class, component_class, MAX(CASE WHEN q_accuracy > 2 THEN q_accuracy END) AS override_accuracy, COUNT(*) AS n FROM mat GROUP BY 1, 2",

@@ -5,32 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from masschain.plans import shared
 from masschain.plans.tables import sql_query
 
 MOST_ROUNDS = 64
 
 
-def fixpoint_closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(child, ancestor): all pairs that edges (child, parent) connect; safe on cycles.
+def closure_with_depth(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(descendant, ancestor, depth): all pairs that edges (child, parent) connect and the length of their shortest path.
 
-    Paths double in length each round, so rounds follow the logarithm of the depth. Each
-    round cuts its lineage in the shared checkpoint folder; the driver sees one count.
+    Safe on cycles; a node is no ancestor of itself. Known lengths double each round, so
+    rounds follow the logarithm of the depth. Each round cuts its lineage in the shared
+    checkpoint folder; the driver sees two numbers.
     """
-    known = edges.select("child", F.col("parent").alias("ancestor")).filter("child != ancestor").distinct().checkpoint()
-    size = known.count()
+    shared.checkpoint_folder(edges.sparkSession)
+    known = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).filter("descendant != ancestor").distinct().checkpoint()
+    size = known.agg(F.count(F.lit(1)), F.sum("depth")).first()
     for _ in range(most_rounds):
-        longer = known.join(known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("further")), "ancestor")
-        known = known.union(longer.select("child", F.col("further").alias("ancestor"))).filter("child != ancestor").distinct().checkpoint()
-        grown = known.count()
+        further = known.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = known.join(further, "ancestor").select("descendant", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = known.union(longer).filter("descendant != ancestor").groupBy("descendant", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
+        grown = known.agg(F.count(F.lit(1)), F.sum("depth")).first()
         if grown == size:
             return known
         size = grown
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
 
 
+def fixpoint_closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(child, ancestor): all pairs that edges (child, parent) connect; safe on cycles."""
+    return closure_with_depth(edges, most_rounds).select(F.col("descendant").alias("child"), "ancestor")
+
+
 def rule_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not spark.sparkContext.getCheckpointDir():
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     edges = sql_query("SELECT child, parent FROM taxonomy")(spark, sf_dir)
     return fixpoint_closure(edges)
 

@@ -4,9 +4,9 @@ SQL = {
     "element_reach": "SELECT ord, element_class, round(amount, 9) AS amount FROM reach",
     "element_reach_by_class": "SELECT component_class, element_class, round(SUM(f2 * f3), 6) AS amount FROM path GROUP BY 1, 2",
     "element_in_whole": "SELECT ord, round(amount, 9) AS amount FROM reach WHERE element_class = 'PROMO'",
-    "reach_uncertainty": "SELECT t.ord, t.element_class, round(SUM(t.f), 9) AS amount, round(sqrt(SUM(power(t.f * s.sigma_rel, 2))) / SUM(t.f), 9) AS rel FROM path t JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt GROUP BY 1, 2",
-    "reach_uncertainty_full": "SELECT t.ord, t.element_class, round(sqrt(SUM(power(t.f, 2) * (power(s.sigma_rel, 2) + 2 * power(0.05E0, 2)))) / SUM(t.f), 9) AS rel FROM path t JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt GROUP BY 1, 2",
-    "reach_dq": "SELECT t.ord, t.element_class, round(SUM(t.f * s.mean_dq) / SUM(t.f), 9) AS mean_dq, MAX(s.dqs) AS dqs FROM path t JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt GROUP BY 1, 2",
+    "reach_uncertainty": "SELECT t.ord, t.element_class, round(SUM(t.f), 9) AS amount, round(sqrt(SUM(power(t.f * t.sigma_rel, 2))) / SUM(t.f), 9) AS rel FROM path t GROUP BY 1, 2",
+    "reach_uncertainty_full": "SELECT t.ord, t.element_class, round(sqrt(SUM(power(t.f, 2) * (power(t.sigma_rel, 2) + 2 * power(0.05E0, 2)))) / SUM(t.f), 9) AS rel FROM path t GROUP BY 1, 2",
+    "reach_dq": "SELECT t.ord, t.element_class, round(SUM(t.f * t.mean_dq) / SUM(t.f), 9) AS mean_dq, MAX(t.dqs) AS dqs FROM path t GROUP BY 1, 2",
     "material_reach_uncertainty": "SELECT pc.ord, cm.material_class, round(SUM(pc.best * cm.best), 9) AS amount, round(sqrt(SUM(power(pc.best * cm.best * s.sigma_rel, 2))) / SUM(pc.best * cm.best), 9) AS rel FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup JOIN stmt s ON cm.ord = s.ord AND cm.sup = s.sup AND cm.prt = s.prt GROUP BY 1, 2",
     "constituent_total": "SELECT pc.ord, cm.material_class, round(SUM(pc.best * cm.best), 9) AS amount FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup GROUP BY 1, 2",
     "granular_sum": "SELECT ord, sup, element_class, round(SUM(f1 * f2 * f3 * 0.9E0), 9) AS amount FROM path GROUP BY 1, 2, 3",
@@ -16,25 +16,25 @@ SQL = {
     "class_ancestor_mean": "SELECT product_parent, yr, element_class, round(amount, 9) AS amount, n_children FROM ancestor_mean",
     "parent_gate": "SELECT DISTINCT l.product_parent, l.product_class, l.yr FROM leaf_mean l JOIN (SELECT product_parent, MIN(yr) AS y0, MIN(yr) + 2 AS y1 FROM prod GROUP BY 1) g ON l.product_parent = g.product_parent AND l.yr BETWEEN g.y0 AND g.y1",
     "item_mass_mean": "SELECT product_parent, yr, round(AVG(mass), 6) AS mass, COUNT(*) AS n_children FROM item_mass GROUP BY 1, 2",
-    "rss_combine": "SELECT s.material_class, round(sqrt(SUM(power(m.elem_best * s.sigma_rel, 2))) / nullif(SUM(m.elem_best), 0), 9) AS rel FROM stmt s JOIN mat m ON s.ord = m.ord AND s.sup = m.sup AND s.prt = m.prt GROUP BY 1",
-    "class_uncertainty": "SELECT p.product_class, p.yr, t.element_class, round(sqrt(SUM(power(t.f * s.sigma_rel, 2))) / SUM(t.f), 9) AS rel FROM path t JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt JOIN prod p ON t.ord = p.ord GROUP BY 1, 2, 3",
-    "class_dq": "SELECT p.product_class, t.element_class, round(SUM(t.f * s.mean_dq) / SUM(t.f), 9) AS mean_dq, MAX(s.dqs) AS dqs FROM path t JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt JOIN prod p ON t.ord = p.ord GROUP BY 1, 2",
-    "nodes_uncertainty_mean": "SELECT component_class, round(sqrt(SUM(power(elem * sigma / n, 2))) / SUM(elem / n), 9) AS rel FROM (SELECT s.component_class, s.sigma_rel AS sigma, m.elem_best AS elem, COUNT(*) OVER (PARTITION BY s.component_class) AS n FROM stmt s JOIN mat m ON s.ord = m.ord AND s.sup = m.sup AND s.prt = m.prt) t GROUP BY 1",
-    "nodes_uncertainty_weighted": "SELECT component_class, round(sqrt(SUM(power(elem * sigma * kg, 2))) / SUM(elem * kg), 9) AS rel FROM (SELECT s.component_class, s.sigma_rel AS sigma, m.elem_best AS elem, m.kg FROM stmt s JOIN mat m ON s.ord = m.ord AND s.sup = m.sup AND s.prt = m.prt) t GROUP BY 1",
-    "nodes_material_uncertainty": "SELECT s.component_class, s.material_class, round(sqrt(SUM(power(m.kg * s.sigma_rel, 2))) / SUM(m.kg), 9) AS rel FROM stmt s JOIN mat m ON s.ord = m.ord AND s.sup = m.sup AND s.prt = m.prt GROUP BY 1, 2",
-    "nodes_dq": "SELECT s.component_class, round(SUM(m.kg * s.mean_dq) / SUM(m.kg), 9) AS mean_dq, MAX(s.dqs) AS worst FROM stmt s JOIN mat m ON s.ord = m.ord AND s.sup = m.sup AND s.prt = m.prt GROUP BY 1",
+    "rss_combine": "SELECT s.material_class, round(sqrt(SUM(power(s.elem_best * s.sigma_rel, 2))) / nullif(SUM(s.elem_best), 0), 9) AS rel FROM stmt s GROUP BY 1",
+    "class_uncertainty": "SELECT t.product_class, t.yr, t.element_class, round(sqrt(SUM(power(t.f * t.sigma_rel, 2))) / SUM(t.f), 9) AS rel FROM ppath t GROUP BY 1, 2, 3",
+    "class_dq": "SELECT t.product_class, t.element_class, round(SUM(t.f * t.mean_dq) / SUM(t.f), 9) AS mean_dq, MAX(t.dqs) AS dqs FROM ppath t GROUP BY 1, 2",
+    "nodes_uncertainty_mean": "SELECT component_class, round(sqrt(SUM(power(elem * sigma / n, 2))) / SUM(elem / n), 9) AS rel FROM (SELECT s.component_class, s.sigma_rel AS sigma, s.elem_best AS elem, COUNT(*) OVER (PARTITION BY s.component_class) AS n FROM stmt s) t GROUP BY 1",
+    "nodes_uncertainty_weighted": "SELECT component_class, round(sqrt(SUM(power(elem * sigma * kg, 2))) / SUM(elem * kg), 9) AS rel FROM (SELECT s.component_class, s.sigma_rel AS sigma, s.elem_best AS elem, s.kg FROM stmt s) t GROUP BY 1",
+    "nodes_material_uncertainty": "SELECT s.component_class, s.material_class, round(sqrt(SUM(power(s.kg * s.sigma_rel, 2))) / SUM(s.kg), 9) AS rel FROM stmt s GROUP BY 1, 2",
+    "nodes_dq": "SELECT s.component_class, round(SUM(s.kg * s.mean_dq) / SUM(s.kg), 9) AS mean_dq, MAX(s.dqs) AS worst FROM stmt s GROUP BY 1",
     "dq_mean": "SELECT ord, sup, prt, round(mean_dq, 9) AS mean_dq FROM dq",
     "dq_limit": "SELECT ord, sup, prt, lim FROM stmt",
     "dq_limit_query": "SELECT ord, sup, prt, CASE WHEN weighted < 7 THEN 0.1E0 WHEN weighted < 9 THEN 0.15E0 WHEN weighted < 10 THEN 0.2E0 WHEN weighted < 14 THEN 0.25E0 WHEN weighted < 15 THEN 0.3E0 ELSE 0.35E0 END AS lim FROM dq",
     "statement_uncertainty": "SELECT ord, sup, prt, round(mean_dq, 9) AS mean_dq, dqs, round(sigma_rel, 9) AS sigma_rel FROM stmt",
     "amount_uncertainty_direct": "SELECT component_class, material_class, round(sqrt(SUM(power(sigma_rel, 2))) / COUNT(*), 9) AS rel, round(AVG(mean_dq), 9) AS mean_dq FROM stmt GROUP BY 1, 2",
-    "amount_uncertainty_indirect": "SELECT p.product_class, t.material_class, round(sqrt(SUM(power(t.f1 * t.f2 * s.sigma_rel, 2))) / SUM(t.f1 * t.f2), 9) AS rel FROM path t JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt JOIN prod p ON t.ord = p.ord WHERE NOT EXISTS (SELECT 1 FROM coarse c WHERE c.ord = t.ord AND c.element_class = t.material_class) GROUP BY 1, 2",
+    "amount_uncertainty_indirect": "SELECT t.product_class, t.material_class, round(sqrt(SUM(power(t.f1 * t.f2 * t.sigma_rel, 2))) / SUM(t.f1 * t.f2), 9) AS rel FROM ppath t WHERE NOT EXISTS (SELECT 1 FROM coarse c WHERE c.ord = t.ord AND c.element_class = t.material_class) GROUP BY 1, 2",
     "component_totals": "SELECT component_class, element_class, round(SUM(f2 * f3) / MIN(n), 9) AS amount FROM (SELECT t.component_class, t.element_class, t.f2, t.f3, n.n FROM path t JOIN (SELECT component_class, COUNT(*) AS n FROM comp GROUP BY 1) n ON t.component_class = n.component_class) x GROUP BY 1, 2",
     "component_rollup": "SELECT x.component_parent, x.element_class, round(SUM(x.amount) / MIN(g.n), 9) AS amount FROM (SELECT c.component_parent, t.component_class, t.element_class, SUM(t.f2 * t.f3) / COUNT(DISTINCT concat(CAST(t.ord AS STRING), '_', CAST(t.sup AS STRING))) AS amount FROM path t JOIN comp c ON t.ord = c.ord AND t.sup = c.sup GROUP BY 1, 2, 3) x JOIN (SELECT component_parent, COUNT(DISTINCT component_class) AS n FROM comp GROUP BY 1) g ON x.component_parent = g.component_parent GROUP BY 1, 2",
     "scope_component_in_product": "SELECT concat(t.component_class, '_in_', p.product_class) AS scope_id, t.element_class, round(SUM(t.f2 * t.f3 * pc.part_mass) / SUM(pc.part_mass * t.f2), 9) AS amount FROM path t JOIN pc ON t.ord = pc.ord AND t.sup = pc.sup JOIN prod p ON t.ord = p.ord GROUP BY 1, 2",
     "scope_group_in_product": "SELECT c.component_parent, p.product_class, round(SUM(c.mass), 4) AS mass FROM comp c JOIN prod p ON c.ord = p.ord GROUP BY 1, 2",
     "component_in_product": "SELECT p.product_class, e.component_class, round(SUM(e.best) / MIN(n.n), 9) AS share FROM pc e JOIN prod p ON e.ord = p.ord JOIN (SELECT product_class, COUNT(*) AS n FROM prod GROUP BY 1) n ON p.product_class = n.product_class GROUP BY 1, 2",
-    "material_in_product": "SELECT p.product_class, t.material_class, round(SUM(t.f1 * t.f2) / MIN(n.n), 9) AS share FROM path t JOIN prod p ON t.ord = p.ord JOIN (SELECT product_class, COUNT(*) AS n FROM prod GROUP BY 1) n ON p.product_class = n.product_class GROUP BY 1, 2",
+    "material_in_product": "SELECT t.product_class, t.material_class, round(SUM(t.f1 * t.f2) / MIN(n.n), 9) AS share FROM ppath t JOIN (SELECT product_class, COUNT(*) AS n FROM prod GROUP BY 1) n ON t.product_class = n.product_class GROUP BY 1, 2",
     "material_in_component": "SELECT m.component_class, m.material_class, round(SUM(c.best) / MIN(n.n), 9) AS share FROM cm c JOIN mat m ON c.ord = m.ord AND c.sup = m.sup AND c.prt = m.prt JOIN (SELECT component_class, COUNT(*) AS n FROM comp GROUP BY 1) n ON m.component_class = n.component_class GROUP BY 1, 2",
     "material_family_mass_weighted": "SELECT material_parent, element_class, round(SUM(kg * elem_best) / SUM(kg), 9) AS best, round(SUM(kg * elem_best * 0.9E0) / SUM(kg), 9) AS lo, round(SUM(kg * elem_best * 1.1E0) / SUM(kg), 9) AS hi FROM mat GROUP BY 1, 2",
     "mass_conservation": "SELECT ord, round(SUM(lo), 9) AS total FROM coarse GROUP BY ord HAVING SUM(lo) > 0.3 + 1.0E-6",
@@ -45,9 +45,9 @@ SQL = {
     "decompose_unknown": "SELECT u.ord, l.level, round(u.unknown * l.share, 9) AS unknown FROM (SELECT ord, 1 - SUM(amount) AS unknown FROM reach GROUP BY ord) u JOIN (SELECT * FROM (VALUES ('Component', 1.0E0), ('Material', 0.5E0), ('Element', 0.25E0)) AS t(level, share)) l ON u.unknown > 1.0E-9",
     "remainder_projection": "SELECT product_class, yr, 'Unknown' AS element_class, round(1 - SUM(amount), 9) AS amount FROM leaf_mean GROUP BY 1, 2 HAVING 1 - SUM(amount) > 1.0E-9",
     "total_unknown_at_level": "SELECT p.product_class, round(SUM(1 - t.total), 6) AS unknown FROM (SELECT ord, SUM(amount) AS total FROM reach GROUP BY ord) t JOIN prod p ON t.ord = p.ord GROUP BY 1",
-    "total_and_rss": "SELECT round(SUM(kg), 3) AS kg, round(sqrt(SUM(power(sig, 2))), 6) AS sigma FROM (SELECT t.f * p.mass AS kg, t.f * p.mass * s.sigma_rel AS sig FROM path t JOIN prod p ON t.ord = p.ord JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt WHERE t.element_class = 'PROMO') x",
+    "total_and_rss": "SELECT round(SUM(kg), 3) AS kg, round(sqrt(SUM(power(sig, 2))), 6) AS sigma FROM (SELECT t.f * t.pmass AS kg, t.f * t.pmass * t.sigma_rel AS sig FROM ppath t WHERE t.element_class = 'PROMO') x",
     "total_distinct_rss": "SELECT round(SUM(kg), 3) AS kg FROM (SELECT DISTINCT ord, element_class, round(amount, 9) AS kg FROM reach WHERE element_class IN ('PROMO', 'LARGE')) d",
-    "group_total_rss": "SELECT p.product_parent, t.element_class, round(SUM(t.f * p.mass), 3) AS kg, round(sqrt(SUM(power(t.f * p.mass * s.sigma_rel, 2))), 6) AS sigma FROM path t JOIN prod p ON t.ord = p.ord JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt GROUP BY 1, 2",
+    "group_total_rss": "SELECT t.product_parent, t.element_class, round(SUM(t.f * t.pmass), 3) AS kg, round(sqrt(SUM(power(t.f * t.pmass * t.sigma_rel, 2))), 6) AS sigma FROM ppath t GROUP BY 1, 2",
     "slices_per_parent": "SELECT product_parent, 'year' AS axis, COUNT(DISTINCT concat(product_class, CAST(yr AS STRING))) AS n FROM prod GROUP BY 1",
     "parts_per_whole": "SELECT ord, COUNT(*) AS n FROM pc GROUP BY ord",
     "statement_conflicts": "SELECT l_orderkey AS ord, l_suppkey AS sup, l_partkey AS prt, COUNT(DISTINCT l_quantity) AS n FROM lineitem GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT l_quantity) > 1",

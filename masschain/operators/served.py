@@ -28,7 +28,7 @@ SQL = {
     "element_projection": "SELECT product_class, yr, element_class, round(amount, 9) AS amount FROM leaf_mean UNION ALL SELECT product_class, yr, 'Unknown', round(1 - SUM(amount), 9) FROM leaf_mean GROUP BY 1, 2 HAVING 1 - SUM(amount) > 1.0E-9",
     "item_mass_projection": "SELECT product_class, yr, round(mass, 6) AS mass FROM item_mass",
     "refresh_view": "SELECT product_class, yr, element_class, round(amount, 9) AS amount FROM leaf_mean WHERE product_parent <> 'BUILDING' UNION ALL SELECT product_class, yr, element_class, round(amount, 9) FROM leaf_mean WHERE product_parent = 'BUILDING'",
-    "derive_affected": "SELECT p.product_class, t.element_class, round(SUM(t.f), 6) AS total FROM path t JOIN prod p ON t.ord = p.ord WHERE p.product_class IN (SELECT DISTINCT q.product_class FROM prod q JOIN facts f ON q.ord = f.ord WHERE f.source_id = 'R' AND q.yr = 1995) GROUP BY 1, 2",
+    "derive_affected": "SELECT t.product_class, t.element_class, round(SUM(t.f), 6) AS total FROM ppath t WHERE t.product_class IN (SELECT DISTINCT q.product_class FROM prod q JOIN facts f ON q.ord = f.ord WHERE f.source_id = 'R' AND q.yr = 1995) GROUP BY 1, 2",
     "slice_view": "SELECT product_class, yr, element_class, round(amount, 9) AS amount FROM leaf_mean WHERE product_class IN (SELECT descendant FROM closure WHERE ancestor = 'FURNITURE')",
     "changed_classes": "SELECT DISTINCT p.product_class FROM prod p WHERE EXISTS (SELECT 1 FROM facts f WHERE f.ord = p.ord AND f.source_id = 'N')",
     "readd_idempotent": "SELECT source_id, COUNT(*) AS n FROM (SELECT source_id, ord, sup, prt FROM facts UNION SELECT source_id, ord, sup, prt FROM facts) u GROUP BY 1",
@@ -69,7 +69,7 @@ SQL = {
     "elements_in_product": "SELECT element_class, yr, round(amount, 9) AS amount FROM leaf_mean WHERE product_class = 'MACHINERY/NATION_18'",
     "component_in_product_lookup": "SELECT p.yr, round(AVG(e.best), 9) AS share FROM pc e JOIN prod p ON e.ord = p.ord WHERE e.component_class = 'NATION_18' AND p.product_parent = 'BUILDING' GROUP BY 1",
     "material_in_component_lookup": "SELECT cm.material_class, round(AVG(cm.best), 9) AS share FROM cm JOIN comp c ON cm.ord = c.ord AND cm.sup = c.sup WHERE c.component_class = 'NATION_6' GROUP BY 1",
-    "component_context_lookup": "SELECT p.product_parent, t.component_class, t.element_class, round(AVG(t.f2 * t.f3), 9) AS amount FROM path t JOIN prod p ON t.ord = p.ord WHERE t.component_class = 'NATION_12' GROUP BY 1, 2, 3",
+    "component_context_lookup": "SELECT t.product_parent, t.component_class, t.element_class, round(AVG(t.f2 * t.f3), 9) AS amount FROM ppath t WHERE t.component_class = 'NATION_12' GROUP BY 1, 2, 3",
     "item_mass_of_class": "SELECT yr, round(mass, 6) AS mass FROM item_mass WHERE product_class = 'BUILDING/NATION_8'",
     "item_mass_by_year": "SELECT product_class, yr, round(mass, 6) AS mass FROM item_mass WHERE product_parent = 'FURNITURE'",
     "labelled_constituents": "SELECT l.product_class, l.yr, concat('element ', lower(l.element_class)) AS label, round(l.amount, 9) AS amount FROM leaf_mean l",
@@ -95,20 +95,20 @@ SQL = {
 }
 
 #: Questions: a mass with its uncertainty, for one class of products and one or several elements.
-_TOTAL = """SELECT round(SUM(kg), 4) AS kg, round(sqrt(SUM(power(sig, 2))), 6) AS sigma FROM (SELECT t.f * p.mass AS kg, t.f * p.mass * s.sigma_rel AS sig
- FROM path t JOIN prod p ON t.ord = p.ord JOIN stmt s ON t.ord = s.ord AND t.sup = s.sup AND t.prt = s.prt WHERE {where}) x"""
+_TOTAL = """SELECT round(SUM(kg), 4) AS kg, round(sqrt(SUM(power(sig, 2))), 6) AS sigma FROM (SELECT t.f * t.pmass AS kg, t.f * t.pmass * t.sigma_rel AS sig
+ FROM ppath t WHERE {where}) x"""
 SQL |= {
-    "question_al_diesel": _TOTAL.format(where="p.product_class = 'BUILDING/NATION_6' AND t.element_class = 'LARGE'"),
-    "question_cu_petrol": _TOTAL.format(where="p.product_class = 'MACHINERY/NATION_6' AND t.element_class = 'PROMO'"),
-    "question_cu_hev": _TOTAL.format(where="p.product_class = 'FURNITURE/NATION_6' AND t.element_class = 'PROMO'"),
-    "question_crm_total_bev": _TOTAL.format(where="p.product_parent = 'BUILDING' AND p.yr = 1995 AND t.element_class IN ('PROMO', 'LARGE', 'SMALL')"),
-    "question_crm_total_phev": _TOTAL.format(where="p.product_parent = 'MACHINERY' AND p.yr = 1995 AND t.element_class IN ('PROMO', 'LARGE', 'SMALL')"),
-    "question_ree_in_motor": _TOTAL.format(where="t.component_class = 'NATION_12' AND p.product_parent = 'BUILDING' AND t.element_class IN ('MEDIUM', 'ECONOMY')"),
-    "question_cu_distribution": "SELECT t.component_class, round(SUM(t.f * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE p.product_parent = 'BUILDING' AND t.element_class = 'PROMO' GROUP BY 1",
-    "question_al_alloy_demand": "SELECT t.material_class, round(SUM(t.f1 * t.f2 * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE t.material_class LIKE 'Brand#1%' AND p.product_parent = 'FURNITURE' GROUP BY 1",
-    "question_cu_by_segment": "SELECT p.product_class, round(SUM(t.f * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE p.yr = 1996 AND t.element_class = 'PROMO' GROUP BY 1",
-    "question_al5_by_segment": "SELECT p.product_class, round(SUM(t.f1 * t.f2 * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE p.yr = 1996 AND t.material_class = 'Brand#11' GROUP BY 1",
-    "question_elements_embedded": "SELECT t.element_class, round(SUM(t.f * p.mass), 4) AS kg FROM path t JOIN prod p ON t.ord = p.ord WHERE t.component_class = 'NATION_18' GROUP BY 1",
+    "question_al_diesel": _TOTAL.format(where="t.product_class = 'BUILDING/NATION_6' AND t.element_class = 'LARGE'"),
+    "question_cu_petrol": _TOTAL.format(where="t.product_class = 'MACHINERY/NATION_6' AND t.element_class = 'PROMO'"),
+    "question_cu_hev": _TOTAL.format(where="t.product_class = 'FURNITURE/NATION_6' AND t.element_class = 'PROMO'"),
+    "question_crm_total_bev": _TOTAL.format(where="t.product_parent = 'BUILDING' AND t.yr = 1995 AND t.element_class IN ('PROMO', 'LARGE', 'SMALL')"),
+    "question_crm_total_phev": _TOTAL.format(where="t.product_parent = 'MACHINERY' AND t.yr = 1995 AND t.element_class IN ('PROMO', 'LARGE', 'SMALL')"),
+    "question_ree_in_motor": _TOTAL.format(where="t.component_class = 'NATION_12' AND t.product_parent = 'BUILDING' AND t.element_class IN ('MEDIUM', 'ECONOMY')"),
+    "question_cu_distribution": "SELECT t.component_class, round(SUM(t.f * t.pmass), 4) AS kg FROM ppath t WHERE t.product_parent = 'BUILDING' AND t.element_class = 'PROMO' GROUP BY 1",
+    "question_al_alloy_demand": "SELECT t.material_class, round(SUM(t.f1 * t.f2 * t.pmass), 4) AS kg FROM ppath t WHERE t.material_class LIKE 'Brand#1%' AND t.product_parent = 'FURNITURE' GROUP BY 1",
+    "question_cu_by_segment": "SELECT t.product_class, round(SUM(t.f * t.pmass), 4) AS kg FROM ppath t WHERE t.yr = 1996 AND t.element_class = 'PROMO' GROUP BY 1",
+    "question_al5_by_segment": "SELECT t.product_class, round(SUM(t.f1 * t.f2 * t.pmass), 4) AS kg FROM ppath t WHERE t.yr = 1996 AND t.material_class = 'Brand#11' GROUP BY 1",
+    "question_elements_embedded": "SELECT t.element_class, round(SUM(t.f * t.pmass), 4) AS kg FROM ppath t WHERE t.component_class = 'NATION_18' GROUP BY 1",
     "question_cu_recovery": "SELECT DISTINCT m.element_class, k.process FROM mat m JOIN (SELECT * FROM (VALUES ('PROMO', 'smelting'), ('LARGE', 'leaching')) AS t(element, process)) k ON m.element_class = k.element",
     "question_crm_recovered": "SELECT a.ord, COUNT(*) AS pairs FROM reach a JOIN reach b ON a.ord = b.ord JOIN (SELECT * FROM (VALUES ('PROMO', 'LARGE'), ('SMALL', 'PROMO')) AS t(element, base)) k ON a.element_class = k.element AND b.element_class = k.base GROUP BY 1",
     "question_crm_recovered_table": "SELECT k.element, k.base, COUNT(*) AS n FROM reach a JOIN reach b ON a.ord = b.ord JOIN (SELECT * FROM (VALUES ('PROMO', 'LARGE'), ('SMALL', 'PROMO')) AS t(element, base)) k ON a.element_class = k.element AND b.element_class = k.base GROUP BY 1, 2",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from masschain.operators import facts, graph, joins, rollup, search, served, textlog
 from masschain.streaming import sources
 
-from .tables import sql_query, with_ctes
+from .tables import CHECK_CTES, sql_query, with_ctes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -14,7 +14,7 @@ for _part in (facts, joins, rollup, served, textlog):
     for _name, _body in _part.SQL.items():
         _spark, _ansi = _body if isinstance(_body, tuple) else (_body, _body)
         QUERIES[_name] = sql_query(_spark)
-        ORACLE_SQL[_name] = with_ctes(_ansi)
+        ORACLE_SQL[_name] = with_ctes(_ansi, CHECK_CTES)
 
 QUERIES |= graph.QUERIES | sources.QUERIES | search.QUERIES
-ORACLE_SQL |= {k: with_ctes(v) for k, v in (graph.ORACLE | sources.ORACLE).items()}
+ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | sources.ORACLE).items()}
