@@ -1,13 +1,7 @@
 """Reading, cleaning and turning facts into fractions: filters, projections and ETL aggregates."""
 
 SQL = {
-    "parse_numeric": "SELECT l_orderkey AS ord, l_suppkey AS sup, try_cast(nullif(trim(CAST(l_discount AS STRING)), '') AS DOUBLE) AS parsed, COUNT(*) AS n FROM lineitem GROUP BY 1, 2, 3",
-    "null_tokens": "SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('', 'n/a', 'na', 'none', 'nan', 'null', '-') THEN NULL ELSE role END AS present FROM conversations",
-    "key_path": "SELECT ord, sup, prt, concat_ws('/', component_parent, component_class, material_parent, material_class) AS path, coalesce(material_class, material_parent, component_class) AS leaf FROM mat",
-    "catchall_filter": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%other%' OR lower(p_name) LIKE '%undefined%' OR lower(p_name) LIKE '%unknown%' OR lower(p_name) LIKE '%rest%'",
-    "omit_remainder_class": "SELECT m.ord, m.sup, m.prt, m.material_class FROM mat m WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = m.prt AND (p.p_name LIKE 'unknown%' OR p.p_name LIKE 'other%'))",
     "level_of_code": "SELECT c.code, l.whole_level, l.part_level, c.n FROM (SELECT CASE WHEN l_linestatus = 'F' THEN 'c-p' WHEN l_returnflag = 'R' THEN 'm-c' WHEN l_returnflag = 'A' THEN 'e-m' ELSE 'x' END AS code, COUNT(*) AS n FROM lineitem GROUP BY 1) c JOIN (SELECT * FROM (VALUES ('c-p', 'Product', 'Component'), ('m-c', 'Component', 'Material'), ('e-m', 'Material', 'Element')) AS t(code, whole_level, part_level)) l ON c.code = l.code",
-    "year_of_row": "SELECT o_orderkey, coalesce(CAST(year(o_orderdate) AS INT), 0) AS yr FROM orders",
     "year_of_date": "SELECT CAST(year(o_orderdate) AS INT) AS yr, COUNT(*) AS n FROM orders GROUP BY 1",
     "clamp_window": "SELECT o_orderkey, least(greatest(CAST(year(o_orderdate) AS INT), 1993), 1996) AS yr FROM orders WHERE CAST(year(o_orderdate) AS INT) BETWEEN 1992 AND 1998",
     "bucket_of_year": "SELECT CAST(floor(yr / 5.0E0) AS INT) * 5 AS bucket_lo, CAST(floor(yr / 5.0E0) AS INT) * 5 + 4 AS bucket_hi, COUNT(*) AS n FROM prod GROUP BY 1, 2",
@@ -35,13 +29,10 @@ SQL = {
     "statement_id": "SELECT concat('stmt_', md5(concat_ws('|', CAST(ord AS STRING), CAST(sup AS STRING), CAST(prt AS STRING)))) AS statement_id, ord, sup, prt FROM facts",
     "amount_id": "SELECT concat_ws('_', CAST(ord AS STRING), element_class) AS amount_id, round(amount, 9) AS amount FROM reach",
     "content_hash": "SELECT ord, sup, prt, md5(concat_ws('|', source_id, CAST(ord AS STRING), CAST(sup AS STRING), CAST(prt AS STRING), CAST(CAST(round(kg * 1000, 0) AS BIGINT) AS STRING))) AS content_hash FROM facts",
-    "element_symbol": "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Ec' WHEN 'LARGE' THEN 'La' WHEN 'MEDIUM' THEN 'Me' WHEN 'PROMO' THEN 'Pr' WHEN 'SMALL' THEN 'Sm' WHEN 'STANDARD' THEN 'St' ELSE 'Xx' END AS symbol FROM part",
-    "resolve_class": "SELECT p_partkey, coalesce(t.child, 'CatchAll') AS class FROM part LEFT JOIN taxonomy t ON p_brand = t.child AND t.parent <> 'Material'",
     "product_label": "SELECT DISTINCT product_class, concat_ws(' — ', product_parent, substr(product_class, length(product_parent) + 2)) AS label FROM prod",
     "scope_phrase": "SELECT DISTINCT yr, concat(CAST(yr AS STRING), ' production year') AS phrase FROM prod",
     "local_name": "SELECT DISTINCT product_class, substr(product_class, length(product_parent) + 2) AS local_name FROM prod",
     "unit_canonical": "SELECT u.unit, u.kind, u.scale, COUNT(*) AS n FROM facts f JOIN (SELECT * FROM (VALUES ('F', 'gkg', 'fraction', 0.001E0), ('O', 'kgkg', 'fraction', 1.0E0)) AS t(status, unit, kind, scale)) u ON f.status = u.status GROUP BY 1, 2, 3",
-    "fill_quality": "SELECT ord, sup, prt, coalesce(nullif(q_validity, 3), 1) AS q_validity, coalesce(nullif(q_accuracy, 3), 2) AS q_accuracy FROM mat",
     "edge_rel_uncertainty": "SELECT s.ord, s.sup, s.prt, round(CASE WHEN s.elem_best > 0 THEN ((s.elem_best * (1 + s.lim) - s.elem_best) / s.elem_best) / sqrt(3.0E0) ELSE 0 END, 9) AS rel FROM stmt s",
     "round9": "SELECT ord, sup, round(best, 9) AS best FROM pc",
     "load_subset": "SELECT ord, mass, product_class FROM prod WHERE yr IN (1995, 1996) AND product_parent = 'BUILDING'",

@@ -6,7 +6,6 @@ SQL = {
     "hop2_material": "SELECT p.product_class, m.material_class, round(SUM(pc.best * cm.best * p.mass), 4) AS kg FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup JOIN mat m ON cm.ord = m.ord AND cm.sup = m.sup AND cm.prt = m.prt JOIN prod p ON pc.ord = p.ord GROUP BY 1, 2",
     "view_lookup": "SELECT yr, element_class, round(amount, 9) AS amount FROM leaf_mean WHERE product_class = 'BUILDING/NATION_3'",
     "constituent_first": "SELECT product_class, yr, round(amount, 9) AS amount FROM leaf_mean WHERE element_class = 'PROMO'",
-    "corrections_lookup": "SELECT m.ord, m.sup, m.prt, coalesce(c.q, m.q_accuracy) AS q_accuracy FROM mat m LEFT JOIN (SELECT material_class, component_class, MIN(q_accuracy) AS q FROM mat WHERE q_validity = 1 AND q_integrity = 2 GROUP BY 1, 2 HAVING COUNT(*) > 3) c ON m.material_class = c.material_class AND m.component_class = c.component_class",
     "optional_bounds": "SELECT m.ord, m.sup, m.prt, round(coalesce(CASE WHEN m.status = 'O' THEN m.elem_best * (1 - s.lim) END, m.elem_best), 9) AS lower_bound FROM mat m LEFT JOIN stmt s ON m.ord = s.ord AND m.sup = s.sup AND m.prt = s.prt",
     "band_range_join": "SELECT d.ord, d.sup, d.prt, b.dqs, b.rel FROM dq d JOIN dqs_band b ON d.mean_dq >= b.lo AND d.mean_dq < coalesce(b.hi, 1.0E300)",
     "time_containment_join": "SELECT p.product_parent, p.y0, p.y1, c.product_class, c.yr FROM (SELECT product_parent, MIN(yr) AS y0, MAX(yr) - 1 AS y1 FROM prod GROUP BY 1) p JOIN (SELECT DISTINCT product_parent, product_class, yr FROM prod) c ON p.product_parent = c.product_parent AND p.y0 <= c.yr AND c.yr <= p.y1",
@@ -25,7 +24,6 @@ SQL = {
     "inverse_edges": "SELECT sup AS part, ord AS whole, round(best, 9) AS best FROM pc",
     "scope_members": "SELECT c.component_class, p.product_class, COUNT(*) AS n FROM comp c JOIN prod p ON c.ord = p.ord GROUP BY 1, 2",
     "dangling_pointers": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
-    "undefined_classes": "SELECT DISTINCT m.material_class FROM mat m WHERE NOT EXISTS (SELECT 1 FROM taxonomy t WHERE t.child = m.material_class)",
     "disjoint_elements": "SELECT material_class, COUNT(DISTINCT element_class) AS n FROM mat GROUP BY 1 HAVING COUNT(DISTINCT element_class) > 1",
     "union_sources": "SELECT source_id, ord, sup, prt, MAX(kg) AS kg FROM (SELECT source_id, ord, sup, prt, kg FROM facts WHERE source_id = 'R' UNION ALL SELECT source_id, ord, sup, prt, kg FROM facts WHERE source_id <> 'A') u GROUP BY 1, 2, 3, 4",
     "union_branches": "SELECT ord, 'component' AS branch, COUNT(*) AS n FROM pc GROUP BY ord UNION ALL SELECT ord, 'material', COUNT(*) FROM cm GROUP BY ord",

@@ -50,8 +50,6 @@ SQL = {
     "group_total_rss": "SELECT t.product_parent, t.element_class, round(SUM(t.f * t.pmass), 3) AS kg, round(sqrt(SUM(power(t.f * t.pmass * t.sigma_rel, 2))), 6) AS sigma FROM ppath t GROUP BY 1, 2",
     "slices_per_parent": "SELECT product_parent, 'year' AS axis, COUNT(DISTINCT concat(product_class, CAST(yr AS STRING))) AS n FROM prod GROUP BY 1",
     "parts_per_whole": "SELECT ord, COUNT(*) AS n FROM pc GROUP BY ord",
-    "statement_conflicts": "SELECT l_orderkey AS ord, l_suppkey AS sup, l_partkey AS prt, COUNT(DISTINCT l_quantity) AS n FROM lineitem GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT l_quantity) > 1",
-    "conflict_classes": "SELECT DISTINCT p.p_brand AS class FROM (SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT l_tax) > 1) c JOIN part p ON c.l_partkey = p.p_partkey",
     "shared_bases": "SELECT product_class, COUNT(DISTINCT yr) AS n_values FROM prod GROUP BY 1 HAVING COUNT(DISTINCT yr) >= 2",
     "store_stats": "SELECT COUNT(*) AS instances, COUNT(DISTINCT product_class) AS classes FROM prod",
     "dataset_counts": "SELECT (SELECT COUNT(*) FROM facts) AS statements, (SELECT COUNT(*) FROM leaf_mean) AS amounts, (SELECT COUNT(*) FROM prod) AS products",

@@ -33,33 +33,6 @@ SQL = {
     "changed_classes": "SELECT DISTINCT p.product_class FROM prod p WHERE EXISTS (SELECT 1 FROM facts f WHERE f.ord = p.ord AND f.source_id = 'N')",
     "readd_idempotent": "SELECT source_id, COUNT(*) AS n FROM (SELECT source_id, ord, sup, prt FROM facts UNION SELECT source_id, ord, sup, prt FROM facts) u GROUP BY 1",
     "layered_edits": "SELECT ord, MAX(mass) AS mass, COUNT(*) AS layers FROM (SELECT ord, mass FROM prod_mass UNION ALL SELECT ord, mass * 1.0E0 FROM prod_mass WHERE mass > 100) l GROUP BY ord",
-    "rule_edge_required": "SELECT 'edge_required' AS rule, l_orderkey AS ord, l_partkey AS prt FROM lineitem WHERE l_partkey IS NULL OR l_quantity IS NULL",
-    "rule_edge_unit": "SELECT 'edge_unit' AS rule, ord, sup, prt FROM facts WHERE status NOT IN ('F', 'O')",
-    "rule_six_dq": "SELECT 'six_dq' AS rule, ord, sup, prt FROM mat WHERE q_validity + q_accuracy + q_consistency + q_integrity + q_timeliness + q_completeness IS NULL",
-    "rule_dq_range": "SELECT 'dq_range' AS rule, ord, sup, prt FROM mat WHERE greatest(q_validity, q_accuracy, q_consistency, q_integrity, q_timeliness, q_completeness) > 2 AND least(q_validity, q_accuracy) = 1",
-    "rule_statement_meta": "SELECT 'statement_meta' AS rule, o_orderkey AS ord FROM orders WHERE o_orderdate IS NULL OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
-    "rule_distribution_params": "SELECT 'distribution' AS rule, ord, sup, prt FROM stmt WHERE lim IS NULL OR lim <= 0.1E0",
-    "rule_quantity": "SELECT 'quantity' AS rule, l_orderkey AS ord, l_suppkey AS sup, l_partkey AS prt, COUNT(*) AS n FROM lineitem GROUP BY 2, 3, 4 HAVING COUNT(*) > 1",
-    "rule_quantity_value": "SELECT 'value' AS rule, l_orderkey AS ord FROM lineitem WHERE l_quantity IS NULL OR l_quantity < 2",
-    "rule_element_leaf": "SELECT 'element_leaf' AS rule, t.child FROM taxonomy t JOIN taxonomy e ON t.parent = e.child WHERE e.parent = 'Element'",
-    "rule_mass_conserved": "SELECT 'mass_conserved' AS rule, ord, round(SUM(best), 6) AS total FROM pc GROUP BY ord HAVING SUM(best) > 1 + 1.0E-6",
-    "rule_class_adjacency": "SELECT 'adjacency' AS rule, c.ord, c.element_class FROM coarse c WHERE c.lo > 0.3",
-    "rule_interval": "SELECT 'interval' AS rule, l_orderkey AS ord FROM lineitem WHERE l_shipdate IS NULL",
-    "rule_item_mass": "SELECT 'item_mass' AS rule, ord FROM prod_mass WHERE mass IS NULL OR mass <= 10",
-    "rule_s1_time_scope": "SELECT 'S1' AS rule, product_class, COUNT(DISTINCT yr) AS scopes FROM prod GROUP BY 2 HAVING COUNT(DISTINCT yr) <> 1",
-    "rule_s2_statement_or_strategy": "SELECT 'S2' AS rule, o_orderkey AS ord FROM orders WHERE o_orderkey NOT IN (SELECT ord FROM prod_mass)",
-    "rule_s3_strategy_facets": "SELECT 'S3' AS rule, t.child FROM taxonomy t WHERE t.parent = 'Element' AND length(t.child) > 6",
-    "rule_s5_strategy_if_empty": "SELECT 'S5' AS rule, t.child FROM taxonomy t WHERE t.parent IN ('BUILDING', 'MACHINERY') AND t.child NOT IN (SELECT product_class FROM prod WHERE yr = 1995)",
-    "rule_amount": "SELECT 'amount' AS rule, product_class, yr, element_class FROM leaf_mean WHERE amount < 0.02",
-    "rule_one_level": "SELECT 'one_level' AS rule, descendant, COUNT(DISTINCT ancestor) AS n FROM closure WHERE ancestor IN ('Product', 'Component', 'Material', 'Element') GROUP BY 2 HAVING COUNT(DISTINCT ancestor) <> 1",
-    "rule_subject_is_class": "SELECT 'subject' AS rule, l.product_class FROM leaf_mean l WHERE l.product_class NOT IN (SELECT child FROM taxonomy) GROUP BY 2",
-    "rule_s6_served_scope": "SELECT 'S6' AS rule, product_class FROM prod WHERE yr IS NULL GROUP BY 2",
-    "rule_label": "SELECT 'label' AS rule, p_partkey FROM part WHERE p_name IS NULL OR trim(p_name) = ''",
-    "rule_t_s_diag": "SELECT 'T' AS rule, t.child FROM taxonomy t WHERE t.parent = 'Product' AND t.child NOT IN (SELECT product_parent FROM prod WHERE yr = 1992)",
-    "audit_taxonomy": "SELECT 'multi_root' AS rule, COUNT(*) AS n FROM (SELECT descendant FROM closure WHERE ancestor IN ('Product', 'Component', 'Material', 'Element') GROUP BY 1 HAVING COUNT(DISTINCT ancestor) > 1) m UNION ALL SELECT 'unreachable', COUNT(*) FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM closure c WHERE c.descendant = t.child)",
-    "check_time_complete": "SELECT product_class FROM prod WHERE yr IS NULL",
-    "scope_conflict": "SELECT ord, COUNT(DISTINCT yr) AS n FROM prod GROUP BY 1 HAVING COUNT(DISTINCT yr) > 1",
-    "duplicate_scope_kinds": "SELECT product_class, MIN(yr) AS y0, MAX(yr) AS y1 FROM prod GROUP BY 1 HAVING MIN(yr) <> MAX(yr)",
     "class_by_label": "SELECT DISTINCT child AS class FROM taxonomy WHERE lower(child) LIKE '%build%'",
     "class_by_text_under_roots": "SELECT DISTINCT c.descendant AS class, c.ancestor AS root FROM closure c WHERE c.ancestor IN ('Product', 'Component') AND lower(c.descendant) LIKE '%nation_1%'",
     "element_by_alt_name": "SELECT DISTINCT p_type FROM part WHERE lower(p_type) = 'promo'",
