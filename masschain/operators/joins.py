@@ -4,8 +4,6 @@ SQL = {
     "edge_node_join": "SELECT e.ord, e.sup, p.product_class, c.component_class, round(e.best, 9) AS best FROM pc e JOIN prod p ON e.ord = p.ord JOIN comp c ON e.ord = c.ord AND e.sup = c.sup",
     "hop3_composition": "SELECT t.product_class, t.element_class, round(SUM(t.f * t.pmass), 4) AS kg, COUNT(DISTINCT t.ord) AS n_products FROM ppath t GROUP BY 1, 2",
     "hop2_material": "SELECT p.product_class, m.material_class, round(SUM(pc.best * cm.best * p.mass), 4) AS kg FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup JOIN mat m ON cm.ord = m.ord AND cm.sup = m.sup AND cm.prt = m.prt JOIN prod p ON pc.ord = p.ord GROUP BY 1, 2",
-    "view_lookup": "SELECT yr, element_class, round(amount, 9) AS amount FROM leaf_mean WHERE product_class = 'BUILDING/NATION_3'",
-    "constituent_first": "SELECT product_class, yr, round(amount, 9) AS amount FROM leaf_mean WHERE element_class = 'PROMO'",
     "optional_bounds": "SELECT m.ord, m.sup, m.prt, round(coalesce(CASE WHEN m.status = 'O' THEN m.elem_best * (1 - s.lim) END, m.elem_best), 9) AS lower_bound FROM mat m LEFT JOIN stmt s ON m.ord = s.ord AND m.sup = s.sup AND m.prt = s.prt",
     "band_range_join": "SELECT d.ord, d.sup, d.prt, b.dqs, b.rel FROM dq d JOIN dqs_band b ON d.mean_dq >= b.lo AND d.mean_dq < coalesce(b.hi, 1.0E300)",
     "time_containment_join": "SELECT p.product_parent, p.y0, p.y1, c.product_class, c.yr FROM (SELECT product_parent, MIN(yr) AS y0, MAX(yr) - 1 AS y1 FROM prod GROUP BY 1) p JOIN (SELECT DISTINCT product_parent, product_class, yr FROM prod) c ON p.product_parent = c.product_parent AND p.y0 <= c.yr AND c.yr <= p.y1",
@@ -14,7 +12,6 @@ SQL = {
     "family_members_semi": "SELECT m.ord, m.sup, m.prt, m.material_class FROM mat m WHERE m.material_class IN (SELECT descendant FROM closure WHERE ancestor = 'Brand#1')",
     "direct_child_anti": "SELECT c.descendant, c.ancestor FROM closure c WHERE NOT EXISTS (SELECT 1 FROM closure a JOIN closure b ON a.ancestor = b.descendant WHERE a.descendant = c.descendant AND b.ancestor = c.ancestor)",
     "most_specific_class": "SELECT t.ord, t.class FROM (SELECT ord, product_class AS class FROM prod UNION ALL SELECT ord, product_parent FROM prod) t WHERE NOT EXISTS (SELECT 1 FROM prod p JOIN closure c ON c.descendant = p.product_class WHERE p.ord = t.ord AND c.ancestor = t.class)",
-    "critical_elements": "SELECT t.product_class, round(SUM(t.f * t.pmass), 4) AS kg FROM ppath t JOIN (SELECT DISTINCT element FROM (VALUES ('PROMO', 'CRITICAL'), ('LARGE', 'CRITICAL'), ('PROMO', 'STRATEGIC')) AS k(element, importance) WHERE importance = 'CRITICAL') c ON t.element_class = c.element GROUP BY 1",
     "recovery_routes_element": "SELECT DISTINCT m.component_class, r.process FROM mat m JOIN (SELECT * FROM (VALUES ('PROMO', 'smelting', 'target'), ('LARGE', 'leaching', 'main'), ('SMALL', 'none', 'lost')) AS k(element, process, effectiveness)) r ON m.element_class = r.element WHERE r.effectiveness IN ('target', 'main')",
     "recovery_copresent": "SELECT a.ord, a.sup, COUNT(*) AS routes FROM (SELECT DISTINCT ord, sup, element_class FROM mat) a JOIN (SELECT DISTINCT ord, sup, element_class FROM mat) b ON a.ord = b.ord AND a.sup = b.sup JOIN (SELECT * FROM (VALUES ('PROMO', 'LARGE'), ('SMALL', 'PROMO'), ('ECONOMY', 'STANDARD')) AS k(element, base)) r ON a.element_class = r.element AND b.element_class = r.base GROUP BY 1, 2",
     "recovery_full_table": "SELECT a.element_class, b.element_class AS base_metal, COUNT(*) AS n FROM (SELECT DISTINCT ord, element_class FROM mat) a JOIN (SELECT DISTINCT ord, element_class FROM mat) b ON a.ord = b.ord WHERE a.element_class <> b.element_class GROUP BY 1, 2",
@@ -33,7 +30,6 @@ SQL = {
     "table_diff": "SELECT coalesce(a.ord, b.ord) AS ord, coalesce(a.element_class, b.element_class) AS element_class, CASE WHEN a.ord IS NULL THEN 'unexpected' WHEN b.ord IS NULL THEN 'missing' WHEN abs(a.amount - b.lo) > 1.0E-9 * abs(a.amount) + 1.0E-12 THEN 'drifted' ELSE 'same' END AS status FROM reach a FULL OUTER JOIN coarse b ON a.ord = b.ord AND a.element_class = b.element_class",
     "order_desc": "SELECT product_class, element_class, yr, round(amount, 9) AS amount FROM leaf_mean ORDER BY amount DESC, product_class, element_class, yr",
     "order_two_keys": "SELECT component_parent, component_class, COUNT(*) AS n FROM mat GROUP BY 1, 2 ORDER BY component_parent, component_class",
-    "constituents_ranked": "SELECT element_class, yr, round(amount, 9) AS amount, CAST(row_number() OVER (PARTITION BY yr ORDER BY round(amount, 9) DESC, element_class) AS BIGINT) AS place FROM leaf_mean WHERE product_class = 'BUILDING/NATION_3'",
     "limit_rows": "SELECT ord, mass FROM prod_mass ORDER BY mass DESC, ord LIMIT 50",
     "sum_check_levels": "SELECT ord, round(SUM(best), 6) AS total FROM pc GROUP BY ord",
 }

@@ -29,60 +29,16 @@ SQL = {
     "item_mass_projection": "SELECT product_class, yr, round(mass, 6) AS mass FROM item_mass",
     "refresh_view": "SELECT product_class, yr, element_class, round(amount, 9) AS amount FROM leaf_mean WHERE product_parent <> 'BUILDING' UNION ALL SELECT product_class, yr, element_class, round(amount, 9) FROM leaf_mean WHERE product_parent = 'BUILDING'",
     "derive_affected": "SELECT t.product_class, t.element_class, round(SUM(t.f), 6) AS total FROM ppath t WHERE t.product_class IN (SELECT DISTINCT q.product_class FROM prod q JOIN facts f ON q.ord = f.ord WHERE f.source_id = 'R' AND q.yr = 1995) GROUP BY 1, 2",
-    "slice_view": "SELECT product_class, yr, element_class, round(amount, 9) AS amount FROM leaf_mean WHERE product_class IN (SELECT descendant FROM closure WHERE ancestor = 'FURNITURE')",
     "changed_classes": "SELECT DISTINCT p.product_class FROM prod p WHERE EXISTS (SELECT 1 FROM facts f WHERE f.ord = p.ord AND f.source_id = 'N')",
     "readd_idempotent": "SELECT source_id, COUNT(*) AS n FROM (SELECT source_id, ord, sup, prt FROM facts UNION SELECT source_id, ord, sup, prt FROM facts) u GROUP BY 1",
     "layered_edits": "SELECT ord, MAX(mass) AS mass, COUNT(*) AS layers FROM (SELECT ord, mass FROM prod_mass UNION ALL SELECT ord, mass * 1.0E0 FROM prod_mass WHERE mass > 100) l GROUP BY ord",
-    "class_by_label": "SELECT DISTINCT child AS class FROM taxonomy WHERE lower(child) LIKE '%build%'",
-    "class_by_text_under_roots": "SELECT DISTINCT c.descendant AS class, c.ancestor AS root FROM closure c WHERE c.ancestor IN ('Product', 'Component') AND lower(c.descendant) LIKE '%nation_1%'",
-    "element_by_alt_name": "SELECT DISTINCT p_type FROM part WHERE lower(p_type) = 'promo'",
-    "element_category_members": "SELECT a.descendant FROM closure a JOIN closure b ON a.descendant = b.descendant WHERE a.ancestor = 'Material' AND b.ancestor = 'Brand#1'",
-    "absolute_kg_per_element": "SELECT l.product_class, l.yr, l.element_class, round(l.amount * i.mass, 6) AS kg FROM leaf_mean l JOIN item_mass i ON l.product_class = i.product_class AND l.yr = i.yr",
-    "element_with_band": "SELECT product_class, yr, element_class, round(amount, 9) AS amount, round(amount * 0.9E0, 9) AS low, round(amount * 1.1E0, 9) AS high FROM leaf_mean WHERE element_class = 'SMALL'",
-    "elements_in_product": "SELECT element_class, yr, round(amount, 9) AS amount FROM leaf_mean WHERE product_class = 'MACHINERY/NATION_18'",
-    "component_in_product_lookup": "SELECT p.yr, round(AVG(e.best), 9) AS share FROM pc e JOIN prod p ON e.ord = p.ord WHERE e.component_class = 'NATION_18' AND p.product_parent = 'BUILDING' GROUP BY 1",
-    "material_in_component_lookup": "SELECT cm.material_class, round(AVG(cm.best), 9) AS share FROM cm JOIN comp c ON cm.ord = c.ord AND cm.sup = c.sup WHERE c.component_class = 'NATION_6' GROUP BY 1",
-    "component_context_lookup": "SELECT t.product_parent, t.component_class, t.element_class, round(AVG(t.f2 * t.f3), 9) AS amount FROM ppath t WHERE t.component_class = 'NATION_12' GROUP BY 1, 2, 3",
-    "item_mass_of_class": "SELECT yr, round(mass, 6) AS mass FROM item_mass WHERE product_class = 'BUILDING/NATION_8'",
-    "item_mass_by_year": "SELECT product_class, yr, round(mass, 6) AS mass FROM item_mass WHERE product_parent = 'FURNITURE'",
-    "labelled_constituents": "SELECT l.product_class, l.yr, concat('element ', lower(l.element_class)) AS label, round(l.amount, 9) AS amount FROM leaf_mean l",
-    "all_criticality": "SELECT * FROM (VALUES ('PROMO', 'CRITICAL', 2023), ('LARGE', 'CRITICAL', 2023), ('PROMO', 'STRATEGIC', 2023)) AS t(element, importance, yr) WHERE element IN (SELECT p_type FROM part)",
-    "recoverability_of_contained": "SELECT r.ord, r.element_class, k.effectiveness FROM reach r LEFT JOIN (SELECT * FROM (VALUES ('PROMO', 'target'), ('LARGE', 'main')) AS t(element, effectiveness)) k ON r.element_class = k.element",
-    "recoverability_of_element": "SELECT DISTINCT p_type AS element, k.base, k.process FROM part LEFT JOIN (SELECT * FROM (VALUES ('PROMO', 'LARGE', 'smelting'), ('SMALL', CAST(NULL AS STRING), 'leaching')) AS t(element, base, process)) k ON p_type = k.element",
     "unknown_remainder_rows": "SELECT product_class, yr, round(1 - SUM(amount), 9) AS unknown FROM leaf_mean GROUP BY 1, 2",
-    "instances_of_class": "SELECT p.ord FROM prod p JOIN closure c ON p.product_class = c.descendant WHERE c.ancestor = 'BUILDING'",
-    "instance_by_label": "SELECT ord, product_class FROM prod WHERE ord = 1 OR ord = 7",
     "direct_constituents": "SELECT ord, sup, round(best, 9) AS best, 'kgkg' AS unit, CAST(row_number() OVER (PARTITION BY ord ORDER BY round(best, 9) DESC, sup) AS BIGINT) AS place FROM pc",
     "amount_with_unit": "SELECT ord, sup, prt, CASE WHEN status = 'F' THEN 'gkg' ELSE 'kgkg' END AS unit, round(CASE WHEN status = 'F' THEN elem_best * 1000 ELSE elem_best END, 6) AS amount FROM mat",
     "amount_with_interval": "SELECT m.ord, m.sup, m.prt, m.elem_best AS best, CASE WHEN m.status = 'O' THEN round(m.elem_best * (1 - s.lim), 9) END AS lo FROM mat m LEFT JOIN stmt s ON m.ord = s.ord AND m.sup = s.sup AND m.prt = s.prt",
-    "two_hop_share": "SELECT pc.ord, cm.material_class, round(SUM(pc.best * cm.best), 9) AS share FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup WHERE cm.material_class = 'Brand#11' GROUP BY 1, 2",
-    "wholes_containing": "SELECT DISTINCT ord FROM pc WHERE component_class = 'NATION_17'",
     "item_mass_of_instance": "SELECT ord, mass FROM prod_mass WHERE mass > 50",
     "quality_of_edge": "SELECT ord, sup, prt, 'Validity' AS dim, q_validity AS score FROM mat UNION ALL SELECT ord, sup, prt, 'Accuracy', q_accuracy FROM mat",
-    "catalog_digest": "SELECT source_id, COUNT(*) AS n, MIN(ord) AS first_ord, MAX(ord) AS last_ord, COUNT(DISTINCT sup) AS components FROM facts GROUP BY 1",
-    "catalog_route": "SELECT source_id FROM (SELECT f.source_id, MIN(p.yr) AS y0, MAX(p.yr) AS y1 FROM facts f JOIN prod p ON f.ord = p.ord GROUP BY 1) c WHERE y0 <= 1995 AND y1 >= 1996",
-    "routed_query": "SELECT f.source_id, SUM(f.kg) AS kg FROM facts f JOIN prod p ON f.ord = p.ord WHERE p.yr = 1996 GROUP BY 1",
     "class_label": "SELECT DISTINCT product_class, coalesce(CASE WHEN product_parent = 'BUILDING' THEN concat('Building of ', substr(product_class, 10)) END, lower(product_class)) AS label FROM prod",
     "class_comment": "SELECT t.parent, concat('mean of ', CAST(COUNT(*) AS STRING), ' classes') AS comment FROM taxonomy t GROUP BY t.parent",
     "humanise_name": "SELECT DISTINCT p_type, concat(substr(p_type, 1, 1), lower(substr(p_type, 2))) AS label FROM part",
 }
-
-#: Questions: a mass with its uncertainty, for one class of products and one or several elements.
-_TOTAL = """SELECT round(SUM(kg), 4) AS kg, round(sqrt(SUM(power(sig, 2))), 6) AS sigma FROM (SELECT t.f * t.pmass AS kg, t.f * t.pmass * t.sigma_rel AS sig
- FROM ppath t WHERE {where}) x"""
-SQL |= {
-    "question_al_diesel": _TOTAL.format(where="t.product_class = 'BUILDING/NATION_6' AND t.element_class = 'LARGE'"),
-    "question_cu_petrol": _TOTAL.format(where="t.product_class = 'MACHINERY/NATION_6' AND t.element_class = 'PROMO'"),
-    "question_cu_hev": _TOTAL.format(where="t.product_class = 'FURNITURE/NATION_6' AND t.element_class = 'PROMO'"),
-    "question_crm_total_bev": _TOTAL.format(where="t.product_parent = 'BUILDING' AND t.yr = 1995 AND t.element_class IN ('PROMO', 'LARGE', 'SMALL')"),
-    "question_crm_total_phev": _TOTAL.format(where="t.product_parent = 'MACHINERY' AND t.yr = 1995 AND t.element_class IN ('PROMO', 'LARGE', 'SMALL')"),
-    "question_ree_in_motor": _TOTAL.format(where="t.component_class = 'NATION_12' AND t.product_parent = 'BUILDING' AND t.element_class IN ('MEDIUM', 'ECONOMY')"),
-    "question_cu_distribution": "SELECT t.component_class, round(SUM(t.f * t.pmass), 4) AS kg FROM ppath t WHERE t.product_parent = 'BUILDING' AND t.element_class = 'PROMO' GROUP BY 1",
-    "question_al_alloy_demand": "SELECT t.material_class, round(SUM(t.f1 * t.f2 * t.pmass), 4) AS kg FROM ppath t WHERE t.material_class LIKE 'Brand#1%' AND t.product_parent = 'FURNITURE' GROUP BY 1",
-    "question_cu_by_segment": "SELECT t.product_class, round(SUM(t.f * t.pmass), 4) AS kg FROM ppath t WHERE t.yr = 1996 AND t.element_class = 'PROMO' GROUP BY 1",
-    "question_al5_by_segment": "SELECT t.product_class, round(SUM(t.f1 * t.f2 * t.pmass), 4) AS kg FROM ppath t WHERE t.yr = 1996 AND t.material_class = 'Brand#11' GROUP BY 1",
-    "question_elements_embedded": "SELECT t.element_class, round(SUM(t.f * t.pmass), 4) AS kg FROM ppath t WHERE t.component_class = 'NATION_18' GROUP BY 1",
-    "question_cu_recovery": "SELECT DISTINCT m.element_class, k.process FROM mat m JOIN (SELECT * FROM (VALUES ('PROMO', 'smelting'), ('LARGE', 'leaching')) AS t(element, process)) k ON m.element_class = k.element",
-    "question_crm_recovered": "SELECT a.ord, COUNT(*) AS pairs FROM reach a JOIN reach b ON a.ord = b.ord JOIN (SELECT * FROM (VALUES ('PROMO', 'LARGE'), ('SMALL', 'PROMO')) AS t(element, base)) k ON a.element_class = k.element AND b.element_class = k.base GROUP BY 1",
-    "question_crm_recovered_table": "SELECT k.element, k.base, COUNT(*) AS n FROM reach a JOIN reach b ON a.ord = b.ord JOIN (SELECT * FROM (VALUES ('PROMO', 'LARGE'), ('SMALL', 'PROMO')) AS t(element, base)) k ON a.element_class = k.element AND b.element_class = k.base GROUP BY 1, 2",
-}

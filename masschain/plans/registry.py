@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from masschain.operators import cells, facts, graph, joins, rollup, rules, search, served, textlog
+from masschain.operators import cells, facts, graph, joins, lookups, questions, rollup, rules, search, served, textlog
 from masschain.streaming import sources
 
 from .tables import CHECK_CTES, sql_query, with_ctes
@@ -10,7 +10,7 @@ from .tables import CHECK_CTES, sql_query, with_ctes
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _part in (cells, facts, joins, rollup, rules, served, textlog):
+for _part in (cells, facts, joins, lookups, questions, rollup, rules, served, textlog):
     for _name, _body in _part.SQL.items():
         _spark, _ansi = _body if isinstance(_body, tuple) else (_body, _body)
         QUERIES[_name] = sql_query(_spark)
