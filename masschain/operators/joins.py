@@ -4,10 +4,11 @@ SQL = {
     "edge_node_join": "SELECT e.ord, e.sup, p.product_class, c.component_class, round(e.best, 9) AS best FROM pc e JOIN prod p ON e.ord = p.ord JOIN comp c ON e.ord = c.ord AND e.sup = c.sup",
     "hop3_composition": "SELECT t.product_class, t.element_class, round(SUM(t.f * t.pmass), 4) AS kg, COUNT(DISTINCT t.ord) AS n_products FROM ppath t GROUP BY 1, 2",
     "hop2_material": "SELECT p.product_class, m.material_class, round(SUM(pc.best * cm.best * p.mass), 4) AS kg FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup JOIN mat m ON cm.ord = m.ord AND cm.sup = m.sup AND cm.prt = m.prt JOIN prod p ON pc.ord = p.ord GROUP BY 1, 2",
-    "optional_bounds": "SELECT m.ord, m.sup, m.prt, round(coalesce(CASE WHEN m.status = 'O' THEN m.elem_best * (1 - s.lim) END, m.elem_best), 9) AS lower_bound FROM mat m LEFT JOIN stmt s ON m.ord = s.ord AND m.sup = s.sup AND m.prt = s.prt",
+    "optional_bounds": "SELECT m.ord, m.sup, m.prt, round(coalesce(s.lo, m.elem_best), 9) AS lower_bound FROM mat m LEFT JOIN (SELECT ord, sup, prt, lo FROM stmt WHERE status = 'O') s ON m.ord = s.ord AND m.sup = s.sup AND m.prt = s.prt",
     "band_range_join": "SELECT d.ord, d.sup, d.prt, b.dqs, b.rel FROM dq d JOIN dqs_band b ON d.mean_dq >= b.lo AND d.mean_dq < coalesce(b.hi, 1.0E300)",
     "time_containment_join": "SELECT p.product_parent, p.y0, p.y1, c.product_class, c.yr FROM (SELECT product_parent, MIN(yr) AS y0, MAX(yr) - 1 AS y1 FROM prod GROUP BY 1) p JOIN (SELECT DISTINCT product_parent, product_class, yr FROM prod) c ON p.product_parent = c.product_parent AND p.y0 <= c.yr AND c.yr <= p.y1",
-    "statement_scope_check": "SELECT o_orderkey AS ord, CAST(year(o_orderdate) AS INT) AS scope_year, CAST(MAX(year(l_shipdate)) AS INT) AS last_year FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate HAVING MAX(year(l_shipdate)) <> year(o_orderdate)",
+    "statement_scope_check": """SELECT p.ord, p.product_class, s.first_year, s.last_year, c.y0, c.y1 FROM placed p JOIN (SELECT l_orderkey AS ord, CAST(MIN(year(l_shipdate)) AS INT) AS first_year, CAST(MAX(year(l_shipdate)) AS INT) AS last_year FROM lineitem GROUP BY l_orderkey) s ON p.ord = s.ord
+        JOIN class_time c ON c.class = concat(p.product_class, '_Y', CAST(p.yr AS STRING)) WHERE s.first_year < c.y0 OR s.first_year > c.y1""",
     "direct_subclass_breakdown": "SELECT t.child AS class, l.element_class, round(AVG(l.amount), 9) AS amount FROM taxonomy t JOIN leaf_mean l ON l.product_class = t.child WHERE t.parent = 'MACHINERY' GROUP BY 1, 2",
     "family_members_semi": "SELECT m.ord, m.sup, m.prt, m.material_class FROM mat m WHERE m.material_class IN (SELECT descendant FROM closure WHERE ancestor = 'Brand#1')",
     "direct_child_anti": "SELECT c.descendant, c.ancestor FROM closure c WHERE NOT EXISTS (SELECT 1 FROM closure a JOIN closure b ON a.ancestor = b.descendant WHERE a.descendant = c.descendant AND b.ancestor = c.ancestor)",
