@@ -37,10 +37,122 @@ def fixpoint_closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFr
     return closure_with_depth(edges, most_rounds).select(F.col("descendant").alias("child"), "ancestor")
 
 
+def roots_of(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(node, root) for each child of edges (child, parent), by pointer jumping; a child with several parents has all their roots.
+
+    Rounds follow the logarithm of the depth. Nodes on a cycle have no root and no row.
+    """
+    shared.checkpoint_folder(edges.sparkSession)
+    step = edges.select("child", "parent").filter("child != parent").distinct().checkpoint()
+    tops = step.select(F.col("parent").alias("node")).distinct().join(step.select(F.col("child").alias("node")), "node", "left_anti")
+    found = tops.select("node", F.col("node").alias("root")).checkpoint()
+    at = step.select(F.col("child").alias("node"), F.col("parent").alias("up"))
+    out = None
+    for _ in range(most_rounds):
+        done = at.join(found.withColumnsRenamed({"node": "up"}), "up").select("node", "root").distinct().checkpoint()
+        out = done if out is None else out.unionByName(done).distinct()
+        open_ = at.join(tops.withColumnRenamed("node", "up"), "up", "left_anti")
+        jump = step.select(F.col("child").alias("up"), F.col("parent").alias("next"))
+        at = open_.join(jump, "up").select("node", F.col("next").alias("up")).distinct().checkpoint()
+        if at.isEmpty():
+            return out.distinct()
+    raise RuntimeError(f"a path of more than {most_rounds} edges, or a cycle")
+
+
+def granular_reach(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Paths (whole, part, fraction, depth, levels) over edges (whole, part, best, whole_rank, part_rank) whose ranks step by 0 or 1.
+
+    Paths grow by one edge a round until none can; one that would meet a node again ends.
+    """
+    shared.checkpoint_folder(edges.sparkSession)
+    step = edges.filter("part_rank - whole_rank BETWEEN 0 AND 1 AND whole <> part")
+    reach = step.select("whole", "part", F.col("best").alias("fraction"), F.lit(1).alias("depth"), F.array("whole", "part").alias("met"), F.array("part_rank").alias("levels")).checkpoint()
+    out = reach
+    onward = step.select(F.col("whole").alias("part"), F.col("part").alias("next"), "best", "part_rank")
+    for _ in range(most_rounds):
+        longer = reach.join(onward, "part").filter(~F.array_contains("met", F.col("next")))
+        reach = longer.select("whole", F.col("next").alias("part"), (F.col("fraction") * F.col("best")).alias("fraction"), (F.col("depth") + 1).alias("depth"), F.array_append("met", F.col("next")).alias("met"), F.array_append("levels", F.col("part_rank")).alias("levels")).checkpoint()
+        if reach.isEmpty():
+            return out.drop("met")
+        out = out.unionByName(reach)
+    raise RuntimeError(f"a path of more than {most_rounds} edges")
+
+
+def node_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql_query(EDGES)(spark, sf_dir)
+
+
 def rule_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = sql_query("SELECT child, parent FROM taxonomy")(spark, sf_dir)
     return fixpoint_closure(edges)
 
 
-QUERIES = {"rule_fixpoint": rule_fixpoint}
-ORACLE = {"rule_fixpoint": "SELECT DISTINCT descendant AS child, ancestor FROM closure WHERE descendant <> ancestor"}
+def root_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roots_of(node_edges(spark, sf_dir).select(F.col("part").alias("child"), F.col("whole").alias("parent")))
+
+
+def granular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return granular_reach(node_edges(spark, sf_dir)).select("whole", "part", "depth", F.round("fraction", 9).alias("fraction"))
+
+
+#: Levels by rank.
+_NAMES = ("Product", "Component", "Material", "Element")
+
+
+def known_path_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels strictly between each product and its elements' class, on the deepest path."""
+    paths = granular_reach(node_edges(spark, sf_dir)).filter("whole LIKE 'P%' AND part LIKE 'E%'")
+    kind = sql_query("SELECT concat('E', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)) AS part, element_class FROM mat")(spark, sf_dir)
+    names = F.array(*map(F.lit, _NAMES))
+    between = F.transform(F.slice("levels", F.lit(1), F.size("levels") - 1), lambda r: F.get(names, r))
+    deepest = paths.join(kind, "part").groupBy("whole", "element_class").agg(F.max_by(F.array_join(between, "/"), F.size("levels")).alias("between_levels"))
+    return deepest
+
+
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse edges against the sums of their paths: (whole, element_class, coarse, granular, unknown)."""
+    paths = granular_reach(node_edges(spark, sf_dir)).filter("whole LIKE 'P%' AND part LIKE 'E%'")
+    kind = sql_query("SELECT concat('E', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)) AS part, element_class FROM mat")(spark, sf_dir)
+    fine = paths.join(kind, "part").groupBy("whole", "element_class").agg(F.sum("fraction").alias("granular"))
+    coarse = sql_query("SELECT concat('P', CAST(ord AS STRING)) AS whole, element_class, lo AS coarse FROM coarse")(spark, sf_dir)
+    met = coarse.join(fine, ["whole", "element_class"], "left").withColumn("granular", F.coalesce("granular", F.lit(0.0)))
+    return met.withColumn("unknown", F.greatest(F.col("coarse") - F.col("granular"), F.lit(0.0)))
+
+
+def reconcile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = reconciled(spark, sf_dir)
+    return met.select("whole", "element_class", F.round("unknown", 9).alias("unknown"), (F.col("granular") <= F.col("coarse") + 1e-6).alias("conserved"))
+
+
+def materialize_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules in order, each with the number of rows it adds and what they sum to."""
+    fillers = sql_query("SELECT c.ord FROM coarse c JOIN (SELECT * FROM (VALUES ('Component', 1), ('Material', 2)) AS t(level, rank)) l ON l.rank > 0 AND l.rank < 3")(spark, sf_dir)
+    lifted = sql_query("SELECT DISTINCT p.product_class, e.component_class FROM pc e JOIN placed p ON e.ord = p.ord")(spark, sf_dir)
+    edges = node_edges(spark, sf_dir)
+    reach, met = granular_reach(edges), reconciled(spark, sf_dir)
+    kept = edges.groupBy("whole").agg(F.sum("best").alias("total"))
+    step = lambda name, df, value: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum(value), F.lit(0.0)), 4).alias("total")).select(F.lit(name).alias("rule"), "n", "total")
+    parts = [step("fillers", fillers, F.lit(0.0)), step("lift", lifted, F.lit(0.0)), step("propagate", reach, F.col("fraction")), step("reconcile", met, F.col("unknown")), step("conservation", kept.filter("total > 1 + 1e-6"), F.col("total"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+EDGES = """SELECT concat('P', CAST(ord AS STRING)) AS whole, concat('C', CAST(ord AS STRING), '_', CAST(sup AS STRING)) AS part, best, 0 AS whole_rank, 1 AS part_rank FROM pc
+    UNION ALL SELECT concat('C', CAST(ord AS STRING), '_', CAST(sup AS STRING)), concat('M', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), best, 1, 2 FROM cm
+    UNION ALL SELECT concat('M', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), concat('E', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), best, 2, 3 FROM me"""
+_REACH = f"""(SELECT whole, part, 1 AS depth, best AS fraction FROM ({EDGES}) e UNION ALL SELECT concat('P', CAST(pc.ord AS STRING)), concat('M', CAST(cm.ord AS STRING), '_', CAST(cm.sup AS STRING), '_', CAST(cm.prt AS STRING)), 2, pc.best * cm.best FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup
+    UNION ALL SELECT concat('C', CAST(cm.ord AS STRING), '_', CAST(cm.sup AS STRING)), concat('E', CAST(cm.ord AS STRING), '_', CAST(cm.sup AS STRING), '_', CAST(cm.prt AS STRING)), 2, cm.best * me.best FROM cm JOIN me ON cm.ord = me.ord AND cm.sup = me.sup AND cm.prt = me.prt
+    UNION ALL SELECT concat('P', CAST(ord AS STRING)), concat('E', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), 3, f FROM path) r"""
+QUERIES = {"rule_fixpoint": rule_fixpoint, "root_of": root_of, "granular_reach": granular, "known_path_levels": known_path_levels, "reconcile_rules": reconcile_rules, "materialize_rules": materialize_rules}
+ORACLE = {
+    "rule_fixpoint": "SELECT DISTINCT descendant AS child, ancestor FROM closure WHERE descendant <> ancestor",
+    "root_of": f"SELECT part AS node, concat('P', regexp_extract(part, '[0-9]+')) AS root FROM ({EDGES}) e",
+    "granular_reach": f"SELECT whole, part, depth, round(fraction, 9) AS fraction FROM {_REACH}",
+    "known_path_levels": "SELECT DISTINCT concat('P', CAST(ord AS STRING)) AS whole, element_class, 'Component/Material' AS between_levels FROM path",
+    "reconcile_rules": "SELECT concat('P', CAST(c.ord AS STRING)) AS whole, c.element_class, round(greatest(c.lo - coalesce(r.amount, 0), 0), 9) AS unknown, coalesce(r.amount, 0) <= c.lo + 1.0E-6 AS conserved FROM coarse c LEFT JOIN reach r ON c.ord = r.ord AND c.element_class = r.element_class",
+    "materialize_rules": f"""SELECT 'fillers' AS rule, 2 * COUNT(*) AS n, 0.0E0 AS total FROM coarse UNION ALL SELECT 'lift', COUNT(*), 0.0E0 FROM (SELECT DISTINCT p.product_class, e.component_class FROM pc e JOIN placed p ON e.ord = p.ord) l
+        UNION ALL SELECT 'propagate', COUNT(*), round(SUM(fraction), 4) FROM {_REACH} UNION ALL SELECT 'reconcile', COUNT(*), round(SUM(greatest(c.lo - r.amount, 0)), 4) FROM coarse c JOIN reach r ON c.ord = r.ord AND c.element_class = r.element_class
+        UNION ALL SELECT 'conservation', COUNT(*), coalesce(SUM(t), 0.0E0) FROM (SELECT SUM(best) AS t FROM ({EDGES}) e GROUP BY whole HAVING SUM(best) > 1 + 1.0E-6) c""",
+}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from masschain.operators import cells, facts, graph, joins, lookups, questions, rollup, rules, search, served, textlog
-from masschain.streaming import sources
+from masschain.streaming import incremental, sources
 
 from .tables import CHECK_CTES, sql_query, with_ctes
 
@@ -16,5 +16,5 @@ for _part in (cells, facts, joins, lookups, questions, rollup, rules, served, te
         QUERIES[_name] = sql_query(_spark)
         ORACLE_SQL[_name] = with_ctes(_ansi, CHECK_CTES)
 
-QUERIES |= graph.QUERIES | sources.QUERIES | search.QUERIES
-ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | sources.ORACLE).items()}
+QUERIES |= graph.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
+ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
