@@ -41,7 +41,5 @@ SQL = {
     "edge_rel_uncertainty": "SELECT s.ord, s.sup, s.prt, round(CASE WHEN s.elem_best > 0 THEN ((s.elem_best * (1 + s.lim) - s.elem_best) / s.elem_best) / sqrt(3.0E0) ELSE 0 END, 9) AS rel FROM stmt s",
     "round9": "SELECT ord, sup, round(best, 9) AS best FROM pc",
     "load_subset": "SELECT ord, mass, product_class FROM prod WHERE yr IN (1995, 1996) AND product_parent = 'BUILDING'",
-    "scan_corrections": "SELECT material_class, component_class, MAX(CASE WHEN q_accuracy > 2 THEN q_accuracy END) AS override_accuracy, COUNT(*) AS n FROM mat GROUP BY 1, 2",
-    "sink_split_layers": "SELECT 'structural' AS layer, COUNT(*) AS n FROM pc UNION ALL SELECT 'structural_material', COUNT(*) FROM cm UNION ALL SELECT 'chemistry', COUNT(*) FROM me",
     "distinct_units": "SELECT DISTINCT CASE WHEN status = 'F' THEN 'gkg' ELSE 'kgkg' END AS unit FROM facts",
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from masschain.operators import cells, facts, graph, joins, lookups, questions, rollup, rules, search, served, textlog
+from masschain.operators import cells, facts, graph, joins, lookups, questions, rollup, rules, sampling, search, served, textlog
+from masschain.sources import files
 from masschain.streaming import incremental, sources
 
 from .tables import CHECK_CTES, sql_query, with_ctes
@@ -10,11 +11,11 @@ from .tables import CHECK_CTES, sql_query, with_ctes
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _part in (cells, facts, joins, lookups, questions, rollup, rules, served, textlog):
+for _part in (cells, facts, joins, lookups, questions, rollup, rules, sampling, served, textlog):
     for _name, _body in _part.SQL.items():
         _spark, _ansi = _body if isinstance(_body, tuple) else (_body, _body)
         QUERIES[_name] = sql_query(_spark)
         ORACLE_SQL[_name] = with_ctes(_ansi, CHECK_CTES)
 
-QUERIES |= graph.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
-ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
+QUERIES |= graph.QUERIES | files.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
+ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | files.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
