@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import reduce
@@ -115,10 +116,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[j]-S[i] = the hash of data[i:j] times base^i; see span_hash."""
+#: A value for each byte, for hashes that shall not collide where plain ones do.
+SECOND = np.random.default_rng(20240817).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def prefix_hash(data: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """S with S[j]-S[i] = the hash of data[i:j] times base^i; see span_hash. table: the bytes' values, else 1 to 256."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=out[1:])
+    values = data.astype(np.uint64) + np.uint64(1) if table is None else table[data]
+    np.cumsum(values * powers(len(data))[0], out=out[1:])
     return out
 
 
@@ -131,7 +137,8 @@ def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column (null: empty) and the offsets of its rows in them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()) if not pa.types.is_large_binary(column.type) else column, "")
+    large = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = pc.fill_null(column.cast(large), "")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -140,8 +147,18 @@ def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, column: str, most: int = 3 << 20):
-    """Record batches cut so that each holds about `most` bytes of text, one row at least."""
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on beside the stages that follow."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches, column: str, most: int = 1 << 19):
+    """Record batches cut so that each holds about `most` bytes of text, one row at least.
+
+    Arrays over a slice take some hundred times its bytes, so small slices bound a task's memory.
+    """
     for batch in batches:
         _, offsets = utf8_buffer(batch.column(column))
         at = 0
@@ -149,6 +166,7 @@ def slices(batches, column: str, most: int = 3 << 20):
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

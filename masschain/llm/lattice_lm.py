@@ -36,7 +36,7 @@ from . import common, trie
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 12 << 20
-MOST_WORDS = 400_000  # distinct words that a task holds before it sends them on
+MOST_WORDS = 200_000  # distinct words that a task holds before it sends them on
 PRIOR = 1e-3
 CODE_POINTS = 0x110000
 
@@ -55,7 +55,7 @@ def _count_words(batches):
                 )
 
     counts: dict[int, tuple[Counter, dict]] = {}
-    for batch in common.slices(batches, "text", 2 << 20):
+    for batch in common.slices(batches, "text"):
         for text, block, held in zip(batch.column("text").to_pylist(), batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
             words = (text or "").encode().lower().split()
             train, all_ = counts.setdefault(block, (Counter(), {}))
@@ -68,17 +68,18 @@ def _count_words(batches):
     yield from out(counts)
 
 
-def _word_matrices(words: list[bytes]):
-    mark = trie.MARK.encode()
-    return trie.by_length([mark + w for w in words], 1 << 18)
+def _word_matrices(column):
+    """The words of a column as matrices, each led by a space."""
+    cells, at = trie.led_by_space(*common.utf8_buffer(column))
+    return trie.by_length(cells, at[:-1], np.diff(at))
 
 
 def _expected(lattice):
     def expected(batches):
-        total = np.zeros(len(lattice.value.scores) + 1)
+        total = np.zeros(len(lattice.value.scores))
         for batch in batches:
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float)
-            for own, rows, lengths in _word_matrices(words):
+            n = batch.column("n").to_numpy().astype(float)
+            for own, rows, lengths in _word_matrices(batch.column("word")):
                 total += lattice.value.expected(rows, lengths, n[own])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "n"])
@@ -89,9 +90,8 @@ def _expected(lattice):
 def _marginals(lattice):
     def marginals(batches):
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            score = np.zeros(len(words))
-            for own, rows, lengths in _word_matrices(words):
+            score = np.zeros(batch.num_rows)
+            for own, rows, lengths in _word_matrices(batch.column("word")):
                 score[own] = lattice.value.marginal(rows, lengths)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(score / math.log(10))], names=["word", "n", "score"])
 

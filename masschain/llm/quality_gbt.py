@@ -150,7 +150,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
 
 
 def _statistics(batches):
-    for batch in common.slices(batches, "text", 2 << 20):
+    for batch in common.slices(batches, "text"):
         x = statistics(*common.utf8_buffer(batch.column("text")))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.reshape(-1)))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "quality", "rank")), lists], names=["doc_id", "quality", "rank", "x"])
@@ -190,7 +190,7 @@ def trained(docs: DataFrame, labels: DataFrame, held_out, most_rows: int = MOST_
 
 def _scores(model):
     def scores(batches):
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text"):
             p = model.value.score(statistics(*common.utf8_buffer(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p)], names=["doc_id", "held_out", "score"])
 

@@ -1,17 +1,21 @@
 """A double-array trie over the pieces of an existing vocabulary, and lattices over it in numpy.
 
 Pieces are UTF-8 byte strings with log scores. A step from state s by byte b leads to
-base[s] + b if check[base[s] + b] == s. Texts are walked as matrices, one row for each
-of many short strings, so that a step of all rows is one array operation.
+base[s] + b if check[base[s] + b] == s. Strings are walked as matrices, one row for each
+of many short strings: all places of a block of columns take a step in the trie at once,
+and the recursions over a lattice take a column of all rows at once. A few long strings
+(words of megabytes) go through the same blocks edge by edge instead, since a column of
+one row is no array; memory beyond the block is a few numbers for each byte.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
-MARK = "▁"  # stands for a space in pieces
+MARK = "▁"  # stands for a space in pieces; strings are matched with plain spaces
 
 
 @dataclass
@@ -35,6 +39,18 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, scores, byte_ids, normal)
 
 
+def log_weights(v: Vocabulary) -> np.ndarray:
+    """Log probabilities of the pieces by their scores, which are read as ranks (0, -1, -2, ...): weight 1 / (rank + 10).
+
+    Pieces that the trie does not hold get the lowest.
+    """
+    weight = 1 / (10 - np.minimum(v.scores, 0))
+    total = weight[v.normal].sum()
+    out = np.full(len(weight), weight[v.normal].min() / total)
+    out[v.normal] = weight[v.normal] / total
+    return np.log(out)
+
+
 @dataclass
 class DoubleArray:
     base: np.ndarray
@@ -92,112 +108,201 @@ class DoubleArray:
                 check[at + b] = state[node]
                 piece[at + b] = ends[child]
                 queue.append(child)
-        return cls(base, check, piece, max(map(len, keys), default=0))
+        return cls(base.astype(np.int32), check.astype(np.int32), piece.astype(np.int32), max(map(len, keys), default=0))
+
+
+_WIDTH = np.ones(256, np.int64)  # of a character by its first byte
+_WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:] = 2, 3, 4
+BLOCK_CELLS = 1 << 17
+FEW_ROWS = 16
 
 
 class Lattice:
-    """All segmentations of short byte strings into pieces, as matrices over many strings."""
+    """All segmentations of byte strings into pieces, as matrices over many strings (rows, lengths)."""
 
     def __init__(self, vocabulary: Vocabulary, scores: np.ndarray, unknown: float):
         """scores: of all pieces; unknown: of a character that no piece covers, which becomes its bytes."""
-        self.v, self.scores, self.unknown = vocabulary, scores, unknown
-        keys = [vocabulary.pieces[i].encode() for i in vocabulary.normal]
+        self.v, self.unknown = vocabulary, unknown
+        self.scores = np.append(scores, unknown)  # the last, at -1: of an unknown character
+        keys = [vocabulary.pieces[i].replace(MARK, " ").encode() for i in vocabulary.normal]
         self.trie = DoubleArray.build(keys, vocabulary.normal.tolist())
 
-    def edges(self, rows: np.ndarray, lengths: np.ndarray):
-        """For each start column, the (row, end, piece, score) of all pieces there; rows: bytes, one string a row."""
+    def edges(self, rows: np.ndarray, lengths: np.ndarray, lo: int, hi: int):
+        """(row, start, end, piece) of the pieces that start in columns lo to hi-1, by start.
+
+        A character without a piece of its own is an edge of piece -1.
+        """
         trie, n = self.trie, rows.shape[1]
-        lead = (rows & 0xC0) != 0x80
-        for start in range(n):
-            live = np.flatnonzero((lengths > start) & lead[:, start])
-            if not len(live):
-                continue
-            # the character's own length, for the fallback
-            first = rows[live, start]
-            width = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
-            width = np.minimum(width, lengths[live] - start)
-            covered = np.zeros(len(live), bool)
-            found = []
-            state, who = np.zeros(len(live), np.int64), np.arange(len(live))
-            for step in range(min(trie.depth, n - start)):
-                inside = lengths[live[who]] > start + step
+        part = rows[:, lo:hi]
+        here = ((part & 0xC0) != 0x80) & (np.arange(lo, lo + part.shape[1]) < lengths[:, None])
+        at = np.flatnonzero(here.T.reshape(-1))
+        start, row = lo + at // len(rows), at % len(rows)
+        cells, flat, left = rows.reshape(-1), row * n + start, lengths[row] - start
+        width = np.minimum(_WIDTH[cells[flat]], left)
+        covered = np.zeros(len(at), bool)
+        state, who = np.zeros(len(at), np.int32), np.arange(len(at))
+        found = []
+        for step in range(trie.depth):
+            if step:
+                inside = left[who] > step
                 state, who = state[inside], who[inside]
-                nxt = trie.base[state] + rows[live[who], start + step]
-                ok = trie.check[nxt] == state
-                state, who = nxt[ok], who[ok]
-                if not len(who):
-                    break
-                piece = trie.piece[state]
-                hit = np.flatnonzero(piece >= 0)
-                if len(hit):
-                    found.append((live[who[hit]], start + step + 1, piece[hit], self.scores[piece[hit]]))
-                    covered[who[hit]] |= width[who[hit]] == step + 1
-            bare = np.flatnonzero(~covered)
-            for w in np.unique(width[bare]):
-                some = live[bare[width[bare] == w]]
-                found.append((some, start + int(w), np.full(len(some), -1), np.full(len(some), self.unknown)))
-            yield start, found
+            nxt = trie.base[state] + cells[flat[who] + step]
+            ok = trie.check[nxt] == state
+            state, who = nxt[ok], who[ok]
+            if not len(who):
+                break
+            piece = trie.piece[state]
+            hit = np.flatnonzero(piece >= 0)
+            own = who[hit]
+            found.append((own, piece[hit], np.full(len(own), step + 1)))
+            covered[own] |= width[own] == step + 1
+        bare = np.flatnonzero(~covered)
+        found.append((bare, np.full(len(bare), -1, np.int32), width[bare]))
+        who, piece, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(who, kind="stable")  # places go by start, then row
+        who = who[order]
+        return row[who], start[who], start[who] + size[order], piece[order]
+
+    def _blocks(self, rows: np.ndarray):
+        step = max(1, BLOCK_CELLS // len(rows))
+        return [(lo, min(lo + step, rows.shape[1])) for lo in range(0, rows.shape[1], step)]
+
+    def _forward(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Natural log of the summed weight of all segmentations of each row's first bytes, by their number."""
+        n = rows.shape[1] + 1
+        alpha = np.full(len(rows) * n, -np.inf)
+        alpha[::n] = 0
+        for lo, hi in self._blocks(rows):
+            row, start, end, piece = self.edges(rows, lengths, lo, hi)
+            _spread(alpha, row * n + start, row * n + end, self.scores[piece], start, lo, hi, len(rows))
+        return alpha.reshape(len(rows), n)
 
     def marginal(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log of the summed weight of all segmentations of each row, by forward recursion in log space."""
-        return self._forward(rows, lengths, False)[0]
-
-    def _forward(self, rows: np.ndarray, lengths: np.ndarray, keep: bool):
-        alpha = np.full((len(rows), rows.shape[1] + 1), -np.inf)
-        alpha[:, 0] = 0
-        kept = []
-        for start, found in self.edges(rows, lengths):
-            for row, end, piece, score in found:
-                alpha[row, end] = np.logaddexp(alpha[row, end], alpha[row, start] + score)
-            if keep:
-                kept.append((start, found))
-        return alpha[np.arange(len(rows)), lengths], alpha, kept
+        return self._forward(rows, lengths)[np.arange(len(rows)), lengths]
 
     def expected(self, rows: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected count of each piece over all segmentations, rows weighted; the last entry is of unknown characters."""
-        total, alpha, kept = self._forward(rows, lengths, True)
-        beta = np.full_like(alpha, -np.inf)
-        beta[np.arange(len(rows)), lengths] = 0
-        counts = np.zeros(len(self.scores) + 1)
-        for start, found in reversed(kept):
-            for row, end, piece, score in found:
-                on = beta[row, end] + score
-                beta[row, start] = np.logaddexp(beta[row, start], on)
-                with np.errstate(invalid="ignore"):
-                    share = np.exp(alpha[row, start] + on - total[row])
-                np.add.at(counts, piece, np.nan_to_num(share) * weights[row])
+        n = rows.shape[1] + 1
+        alpha = self._forward(rows, lengths)
+        total = alpha[np.arange(len(rows)), lengths]
+        alpha = alpha.reshape(-1)
+        beta = np.full(len(rows) * n, -np.inf)
+        beta[np.arange(len(rows)) * n + lengths] = 0
+        counts = np.zeros(len(self.scores))
+        for lo, hi in reversed(self._blocks(rows)):
+            row, start, end, piece = self.edges(rows, lengths, lo, hi)
+            own = self.scores[piece]
+            back = np.argsort(-end, kind="stable")
+            # the furthest ends first: what lies beyond an end is summed before it is used
+            _spread(beta, (row * n + end)[back], (row * n + start)[back], own[back], -end[back], -(hi + self.trie.depth), 1 - lo, len(rows))
+            with np.errstate(invalid="ignore"):
+                share = np.exp(alpha[row * n + start] + own + beta[row * n + end] - total[row])
+            counts += np.bincount(piece % len(counts), weights=np.nan_to_num(share) * weights[row], minlength=len(counts))
         return counts
 
-    def best(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Viterbi: the best score up to each column, and the start and piece of the last step there.
+    def best(self, rows: np.ndarray, lengths: np.ndarray):
+        """Viterbi: the score of each row's best segmentation, and its steps (row, begin, end, piece) in order.
 
-        Of equal scores, the step that starts first (the longest last piece) wins.
+        Of equal scores, the step that starts first (the longest last piece) wins. A row that
+        is no UTF-8 becomes its bytes.
         """
-        shape = (len(rows), rows.shape[1] + 1)
-        score, start_of, piece_of = np.full(shape, -np.inf), np.full(shape, -1, np.int32), np.full(shape, -1, np.int32)
-        score[:, 0] = 0
-        for start, found in self.edges(rows, lengths):
-            for row, end, piece, own in found:
-                new = score[row, start] + own
-                better = new > score[row, end]
-                row, piece = row[better], piece[better]
-                score[row, end], start_of[row, end], piece_of[row, end] = new[better], start, piece
-        return score, start_of, piece_of
-
-
-def by_length(strings: list[bytes], most_cells: int = 1 << 20):
-    """The strings as byte matrices of similar lengths: (indices, rows, lengths)."""
-    lengths = np.array([len(s) for s in strings], np.int64)
+        n = rows.shape[1] + 1
+        score = np.full(len(rows) * n, -np.inf)
+        score[::n] = 0
+        from_, piece_of = np.full(len(score), -1, np.int64), np.full(len(score), -1, np.int32)
+        for lo, hi in self._blocks(rows):
+            row, start, end, piece = self.edges(rows, lengths, lo, hi)
+            source, target, own = row * n + start, row * n + end, self.scores[piece]
+            if len(rows) < FEW_ROWS:
+                values = dict(zip(source.tolist(), score[source].tolist(), strict=True)) | dict(zip(target.tolist(), score[target].tolist(), strict=True))
+                won: dict[int, tuple[int, int]] = {}
+                for s, t, p, w in zip(source.tolist(), target.tolist(), piece.tolist(), own.tolist(), strict=True):
+                    if values[s] + w > values[t]:
+                        values[t] = values[s] + w
+                        won[t] = s, p
+                to = np.fromiter(won, np.int64, len(won))
+                score[to] = [values[t] for t in won]
+                from_[to], piece_of[to] = np.array(list(won.values()), np.int64).reshape(-1, 2).T
+                continue
+            bounds = np.searchsorted(start, np.arange(lo, hi + 1)).tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a < b:
+                    new = score[source[a:b]] + own[a:b]
+                    better = new > score[target[a:b]]
+                    to = target[a:b][better]
+                    score[to], from_[to], piece_of[to] = new[better], source[a:b][better], piece[a:b][better]
+        first = np.arange(len(rows)) * n
+        at = first + lengths
+        total = score[at]
+        broken = np.flatnonzero(np.isneginf(total))
+        total[broken] = lengths[broken] * self.unknown
+        size = lengths[broken]
+        byte = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        done = [(np.repeat(broken, size), byte, byte + 1, np.full(len(byte), -1))]
+        row = np.flatnonzero((lengths > 0) & ~np.isneginf(score[at]))
+        at = at[row]
+        while len(row) >= FEW_ROWS:
+            done.append((row, from_[at] - first[row], at - first[row], piece_of[at]))
+            at = from_[at]
+            more = at > first[row]
+            row, at = row[more], at[more]
+        for r, t in zip(row.tolist(), at.tolist(), strict=True):
+            steps, begin = [], int(first[r])
+            while t > begin:
+                s = int(from_[t])
+                steps.append((s, t, int(piece_of[t])))
+                t = s
+            if steps:
+                s, t, p = np.array(steps, np.int64).T
+                done.append((np.full(len(steps), r), s - begin, t - begin, p))
+        row, begin, end, piece = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.lexsort((begin, row))
+        return total, row[order], begin[order], end[order], piece[order]
+
+
+def _spread(value: np.ndarray, source: np.ndarray, target: np.ndarray, own: np.ndarray, column: np.ndarray, lo: int, hi: int, rows: int) -> None:
+    """Adds, in log space, value[source] + own to value[target], edge after edge, or a column (ascending in lo..hi-1) at once."""
+    if rows < FEW_ROWS:
+        values = dict(zip(target.tolist(), value[target].tolist(), strict=True)) | dict(zip(source.tolist(), value[source].tolist(), strict=True))
+        none, log1p, exp = -math.inf, math.log1p, math.exp
+        for s, t, w in zip(source.tolist(), target.tolist(), own.tolist(), strict=True):
+            a, b = values[s] + w, values[t]
+            if a < b:
+                a, b = b, a
+            values[t] = a + log1p(exp(b - a)) if a > none else none
+        value[np.fromiter(values, np.int64, len(values))] = list(values.values())
+        return
+    bounds = np.searchsorted(column, np.arange(lo, hi + 1)).tolist()
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if a < b:
+            to = target[a:b]
+            value[to] = np.logaddexp(value[to], value[source[a:b]] + own[a:b])
+
+
+def led_by_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A buffer and its offsets with a space before each row that is not empty."""
+    sizes = np.diff(offsets)
+    full = sizes > 0
+    led = np.concatenate([[0], np.cumsum(sizes + full)])
+    body = np.full(led[-1], 32, np.uint8)
+    body[np.arange(len(data)) + np.repeat(np.cumsum(full), sizes)] = data
+    return body, led
+
+
+def by_length(cells: np.ndarray, start: np.ndarray, lengths: np.ndarray, most_cells: int = 1 << 18):
+    """The spans of a buffer as byte matrices of similar lengths: (indices, rows, lengths)."""
     order = np.argsort(lengths, kind="stable")
+    ranked = lengths[order]
     at = 0
     while at < len(order):
-        width = max(int(lengths[order[at]]), 1)
-        end = at + 1
+        width = max(int(ranked[at]), 1)
         limit = width + max(2, width // 8)
-        while end < len(order) and lengths[order[end]] <= limit and (end - at) * limit < most_cells:
-            end += 1
+        end = min(int(np.searchsorted(ranked, limit, "right")), at + max(1, most_cells // limit))
         own = order[at:end]
-        width = max(int(lengths[own].max()), 1)
-        rows = np.frombuffer(b"".join(strings[i].ljust(width, b"\0") for i in own), np.uint8).reshape(len(own), width)
-        yield own, rows, lengths[own]
+        size = lengths[own]
+        column = np.arange(max(int(size.max()), 1))
+        where = np.minimum(start[own][:, None] + column, max(len(cells) - 1, 0))
+        rows = np.where(column < size[:, None], cells[where], 0).astype(np.uint8) if len(cells) else np.zeros(where.shape, np.uint8)
+        yield own, rows, size
         at = end
