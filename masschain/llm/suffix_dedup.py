@@ -9,14 +9,16 @@ the same text or another. Strings are judged on the input.
 2. A run can hold a repeated window only if its key occurs in two runs, or if the
    smallest gram changes place within it. All other runs end here, which is an exact
    filter: what is left are the places around repeats.
-3. Runs of equal bytes (copies) collapse to one with a count. The bytes of each distinct
-   run are fetched once and dealt to shards by key; a key with more than SHARD_BYTES of
-   distinct bytes is dealt over several shards.
+3. Runs of equal bytes (copies) collapse to one with a count. A key whose runs are all
+   copies of one is settled by that: all of it is repeated. Of the others, the bytes of
+   each distinct run are fetched once and dealt to shards by key; a key with more than
+   SHARD_BYTES of distinct bytes is dealt over several shards.
 4. Each shard sorts its suffixes by Larsson-Sadakane refinement in numpy, gets common
    prefixes by Kasai's method, and finds windows with an equal neighbour.
-5. For keys dealt over several shards, each shard sends the sorted, distinct digests of
-   its windows to a merge by ranges of digest; there each shard's list is looked up in
-   the others' by binary search.
+5. For keys dealt over several shards, each shard sends the sorted digests (128 bits) of
+   its distinct windows to a merge by ranges of digest, packed in one row a range, so that
+   no window is hot: each shard names it once. There each shard's list is looked up in
+   the sorted lists of all by binary search.
 6. Ranges found go back to all runs, and to one row per text.
 
 Defined results: a null text counts as empty and stays so; rows that repeat an id or a
@@ -38,7 +40,9 @@ from . import common
 
 LENGTH = 200
 GRAM = 32
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+RANGE_WINDOWS = 1 << 19  # about so many windows meet in a task of the merge
+FIRST_CODES = 7  # codes, of 9 bits each, that the first sort takes at once
 _PLACE_BITS = 26  # of the packed (hash, place) values; chunks are cut below 2^26 bytes unless one text is longer
 
 
@@ -85,7 +89,7 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 def _runs(length: int, gram: int):
     def runs(batches):
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text"):
             row, begin, count, key, whole, moves = window_runs(*common.utf8_buffer(batch.column("text")), length, gram)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -103,17 +107,24 @@ def _runs(length: int, gram: int):
 def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of an integer string sorted by their first `depth` codes at least, and their ranks.
 
-    Larsson-Sadakane refinement: suffixes are sorted by one code, then, while groups of
-    equal rank remain, only those groups are sorted by the rank of the suffix that
-    starts h further on, with h doubling. A group's rank is its last place.
+    Larsson-Sadakane refinement: suffixes are sorted by their first codes, packed into
+    one number, then, while groups of equal rank remain, only those groups are sorted by
+    the rank of the suffix that starts h further on, with h doubling. A group's rank is
+    its last place. Codes lie below 511.
     """
     n = len(codes)
-    order = np.argsort(codes, kind="stable")
-    ranked = codes[order]
+    padded = np.zeros(n + FIRST_CODES - 1, np.uint64)
+    padded[:n] = codes + 1
+    packed = np.zeros(n, np.uint64)
+    for i in range(FIRST_CODES):
+        packed = (packed << np.uint64(9)) | padded[i : i + n]
+    order = np.argsort(packed)  # those of one group in any order
+    ranked = packed[order]
     last = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]), n - 1)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(last, np.diff(np.append(-1, last)))
-    h = 1
+    del packed, padded, ranked
+    h = FIRST_CODES
     while h < depth:
         group = rank[order]
         size_one = np.ones(n, bool)
@@ -122,16 +133,20 @@ def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
         open_ = np.flatnonzero(~size_one)
         if not len(open_):
             break
-        suffix = order[open_]
+        suffix, own = order[open_], group[open_]
         follow = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)], -1)
         # groups lie one after another, so one sort by (group, follower) sorts within each
-        resorted = np.argsort(group[open_] * (n + 1) + follow + 1, kind="stable")
-        suffix, follow, own = suffix[resorted], follow[resorted], group[open_]
+        resorted = np.argsort(own * (n + 1) + follow + 1)
+        suffix, follow = suffix[resorted], follow[resorted]
         order[open_] = suffix
         ends = np.append((own[1:] != own[:-1]) | (follow[1:] != follow[:-1]), True)
         stops = np.flatnonzero(ends)
         rank[suffix] = np.repeat(open_[stops], np.diff(np.append(-1, stops)))
         h *= 2
+    # suffixes that are equal so far go by place, so that repeats keep one distance along the text
+    same = np.flatnonzero(rank[order][1:] == rank[order][:-1])
+    tied = np.union1d(same, same + 1)
+    order[tied] = np.sort(rank[order[tied]] * n + order[tied]) % n
     return order, rank
 
 
@@ -191,7 +206,7 @@ def repeated_windows(blocks: list[bytes], many: np.ndarray, length: int) -> list
     order, _ = suffix_order(codes, length)
     shared = common_prefixes(codes, order, length)
     starts = ends - sizes + np.arange(len(blocks))
-    block = np.searchsorted(starts, order, "right") - 1
+    block = np.repeat(np.arange(len(blocks)), sizes + 1)[order]
     valid = order + length <= starts[block] + sizes[block]
     new_class = np.append(shared[1:] < length, True)  # does a class end here
     klass = np.concatenate([[0], np.cumsum(new_class)[:-1]])
@@ -201,6 +216,21 @@ def repeated_windows(blocks: list[bytes], many: np.ndarray, length: int) -> list
     return [twice[s : s + max(z - length + 1, 0)] for s, z in zip(starts, sizes, strict=True)]
 
 
+def window_digests(blocks: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted, distinct digests (16 bytes) of the windows of all blocks, and the block and place where each first stands."""
+    sizes = np.array([len(b) for b in blocks], np.int64)
+    data = np.frombuffer(b"".join(blocks), np.uint8)
+    many = np.maximum(sizes - length + 1, 0)
+    block = np.repeat(np.arange(len(blocks)), many)
+    place = np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
+    start = (np.cumsum(sizes) - sizes)[block] + place
+    pair = np.empty((len(start), 2), ">u8")
+    for i, table in enumerate((None, common.SECOND)):
+        pair[:, i] = common.span_hash(common.prefix_hash(data, table), start, start + length)
+    digest, first = np.unique(pair.reshape(-1).view("S16"), return_index=True)
+    return digest, block[first], place[first]
+
+
 def ranges(windows: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     """Byte ranges covered by the windows set in a mask."""
     at = np.flatnonzero(windows)
@@ -210,57 +240,66 @@ def ranges(windows: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return at[np.append(0, gap + 1)].tolist(), (at[np.append(gap, len(at) - 1)] + length).tolist()
 
 
-def _shard(length: int):
+_FOUND = "key long, run_hash long, windows int, starts array<int>, stops array<int>, shard long, block int, range int, digests binary, places binary"
+
+
+def _shard(length: int, bits: int):
+    """Ranges found in a shard, a row for each block; and its distinct windows' digests, a row for each of 2^bits ranges, if keys go on elsewhere."""
+
     def shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = [bytes(b) for b in pdf["bytes"]]
-        many = (pdf["copies"].to_numpy() > 1).astype(float)
-        twice = repeated_windows(blocks, many, length)
+        twice = repeated_windows(blocks, (pdf["copies"].to_numpy() > 1).astype(float), length)
         found = [ranges(t, length) for t in twice]
-        digests = [b""] * len(blocks)
-        for i in np.flatnonzero(pdf["parts"].to_numpy() > 1):
-            text = blocks[i]
-            digests[i] = b"".join(hashlib.blake2b(text[j : j + length], digest_size=16).digest() for j in range(len(text) - length + 1))
-        return pd.DataFrame({
-            "key": pdf["key"], "run_hash": pdf["run_hash"], "windows": pdf["windows"],
-            "starts": [f[0] for f in found], "stops": [f[1] for f in found], "digests": digests, "shard": key[0],
+        out = pd.DataFrame({
+            "key": pdf["key"].to_numpy(), "run_hash": pdf["run_hash"].to_numpy(), "windows": pdf["windows"].to_numpy(),
+            "starts": [f[0] for f in found], "stops": [f[1] for f in found], "shard": key[0], "block": np.arange(len(blocks), dtype=np.int32),
+            "range": pd.array([None] * len(blocks), "Int32"), "digests": None, "places": None,
+        })
+        common.give_back()
+        parted = np.flatnonzero(pdf["parts"].to_numpy() > 1)
+        if not len(parted):
+            return out
+        digest, block, place = window_digests([blocks[i] for i in parted], length)
+        block = parted[block]
+        settled = np.concatenate([twice[i] for i in parted])
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in twice])])[block] if len(parted) == len(blocks) else None
+        if offsets is None:
+            size = np.zeros(len(blocks) + 1, np.int64)
+            size[parted + 1] = [len(twice[i]) for i in parted]
+            offsets = np.cumsum(size)[block]
+        place = np.where(settled[offsets + place], -1, place)  # what the shard has found already needs no answer
+        cell = (digest.view(">u8")[::2].astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(digest), np.int64)
+        cuts = np.searchsorted(cell, np.arange((1 << bits) + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        both = np.stack([block, place], 1).astype(np.int32)
+        sent = pd.DataFrame({
+            "key": np.int64(0), "run_hash": np.int64(0), "windows": np.int32(0), "starts": None, "stops": None, "shard": key[0], "block": np.int32(-1),
+            "range": pd.array(full, "Int32"), "digests": [digest[cuts[i] : cuts[i + 1]].tobytes() for i in full], "places": [both[cuts[i] : cuts[i + 1]].tobytes() for i in full],
         })
+        return pd.concat([out, sent], ignore_index=True)
 
     return shard
 
 
-_FOUND = "key long, run_hash long, windows int, starts array<int>, stops array<int>"
-
-
-def _window_rows(batches):
-    """A row for each window of runs whose key is dealt over several shards."""
-    for batch in batches:
-        pdf = batch.to_pandas()
-        for key, run, windows, shard, digests in zip(pdf["key"], pdf["run_hash"], pdf["windows"], pdf["shard"], pdf["digests"], strict=True):
-            d = np.frombuffer(digests, ">i8").reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({
-                "key": np.full(len(d), key), "run_hash": np.full(len(d), run), "windows": np.full(len(d), windows, np.int32),
-                "shard": np.full(len(d), shard), "at": np.arange(len(d), dtype=np.int32), "d1": d[:, 0].copy(), "d2": d[:, 1].copy(),
-            })
-
-
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one range of digests that stand in another shard as well, by binary search of each shard's list in the next ones'."""
-    digest = np.rec.fromarrays([pdf["d1"].to_numpy(), pdf["d2"].to_numpy()], names="a,b")
-    shard = pdf["shard"].to_numpy()
-    distinct, inverse = np.unique(digest, return_inverse=True)
-    least, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
-    np.minimum.at(least, inverse, shard)
-    np.maximum.at(most, inverse, shard)
-    at = np.searchsorted(distinct, digest)
-    return pdf.loc[least[at] != most[at], ["key", "run_hash", "windows", "at"]]
+    """Windows of one range of digests that stand in another shard as well, by binary search of each shard's list in the sorted lists of all."""
+    lists = [np.frombuffer(d, "S16") for d in pdf["digests"]]
+    pooled = np.sort(np.concatenate(lists))
+    out = []
+    for shard, own, places in zip(pdf["shard"], lists, pdf["places"], strict=True):
+        elsewhere = np.searchsorted(pooled, own, "right") - np.searchsorted(pooled, own, "left") > 1
+        block, at = np.frombuffer(places, np.int32).reshape(-1, 2)[elsewhere].T
+        asked = at >= 0
+        out.append(pd.DataFrame({"shard": np.int64(shard), "block": block[asked], "at": at[asked]}))
+    return pd.concat(out, ignore_index=True)
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """docs keyed by (id, row_hash), and for each key the ranges to remove, unmerged."""
+    """docs keyed by (__id, __row_hash), and for each key the ranges to remove, unmerged."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("row_hash", F.xxhash64(text))
-    source = keyed.select("id", "row_hash", text.alias("text"))
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__row_hash", F.xxhash64(text))
+    source = keyed.select(F.col("__id").alias("id"), F.col("__row_hash").alias("row_hash"), text.alias("text"))
     runs = common.scratch_table(
         source.mapInArrow(_runs(length, gram), "id long, row_hash long, begin int, windows int, key long, run_hash long, moves boolean"), "runs"
     )
@@ -268,72 +307,71 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     places = common.scratch_table(runs.join(keys, "key", "left_semi"), "places")
     place = F.struct("id", "row_hash", "begin")
     distinct = places.groupBy("key", "run_hash", "windows").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("p"))
-    weight = distinct.groupBy("key").agg(F.sum(F.col("windows") + (length - 1)).alias("key_bytes"))
+    weight = distinct.groupBy("key").agg(F.sum(F.col("windows") + (length - 1)).alias("key_bytes"), F.count(F.lit(1)).alias("runs"))
     parts = F.ceil(F.col("key_bytes") / SHARD_BYTES).cast("int")
     wanted = common.scratch_table(
-        distinct.join(weight, "key").select("key", "run_hash", "windows", "copies", parts.alias("parts"), F.col("p.id").alias("id"), F.col("p.row_hash").alias("row_hash"), F.col("p.begin").alias("begin")), "wanted"
+        distinct.join(weight, "key").select(
+            "key", "run_hash", "windows", "copies", parts.alias("parts"), ((F.col("runs") == 1) & (F.col("copies") > 1)).alias("settled"),
+            F.col("p.id").alias("id"), F.col("p.row_hash").alias("row_hash"), F.col("p.begin").alias("begin"),
+        ), "wanted"
     )
-    total = wanted.agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
-    shards = max(spark.sparkContext.defaultParallelism, -(-int(total) // (SHARD_BYTES // 2)))
+    to_sort = wanted.filter("NOT settled")
+    total, parted = to_sort.agg(F.sum(F.col("windows") + (length - 1)), F.sum(F.when(F.col("parts") > 1, F.col("windows")))).first()
+    shards = max(spark.sparkContext.defaultParallelism, -(-int(total or 0) // (SHARD_BYTES // 2)))
+    bits = (int(parted or 0) // RANGE_WINDOWS).bit_length()
     salt = F.pmod(F.xxhash64("run_hash"), F.col("parts"))
     # rows that repeat an id and text hold the same bytes: one of them is enough
     body = F.substring(F.col("text").cast("binary"), F.col("begin") + 1, F.col("windows") + (length - 1))
-    blocks = wanted.join(source, ["id", "row_hash"]).select(
+    blocks = to_sort.join(source, ["id", "row_hash"]).select(
         "key", "run_hash", "windows", "copies", "parts", body.alias("bytes"),
         F.pmod(F.when(F.col("parts") > 1, F.xxhash64("key", salt)).otherwise(F.xxhash64("key")), F.lit(shards)).alias("shard"),
     ).dropDuplicates(["key", "run_hash", "windows"])
-    found = common.scratch_table(
-        blocks.groupBy("shard").applyInPandas(_shard(length), f"{_FOUND}, digests binary, shard long"), "found"
-    )
-    cut = found.filter(F.length("digests") > 0)
-    across = None
-    if not cut.isEmpty():
-        rows = cut.select("key", "run_hash", "windows", "shard", "digests").mapInArrow(_window_rows, "key long, run_hash long, windows int, shard long, at int, d1 long, d2 long")
-        merged = rows.withColumn("range", F.pmod("d1", F.lit(64 * shards))).groupBy("range").applyInPandas(_merge, "key long, run_hash long, windows int, at int")
-        across = merged.groupBy("key", "run_hash", "windows").agg(F.collect_set("at").alias("starts")).withColumn("stops", F.transform("starts", lambda s: s + length))
-    found = found.select("key", "run_hash", "windows", "starts", "stops").filter(F.size("starts") > 0)
-    if across is not None:
-        found = found.unionByName(across)
+    found = common.scratch_table(blocks.groupBy("shard").applyInPandas(_shard(length, bits), _FOUND), "found")
+    sorted_ = found.filter("range IS NULL")
+    settled = wanted.filter("settled").select("key", "run_hash", "windows", F.array(F.lit(0)).alias("starts"), F.array(F.col("windows") + (length - 1)).alias("stops"))
+    ranges_ = sorted_.filter(F.size("starts") > 0).select("key", "run_hash", "windows", "starts", "stops").unionByName(settled)
+    if parted:
+        merged = found.filter("range IS NOT NULL").select("range", "shard", "digests", "places").groupBy("range").applyInPandas(_merge, "shard long, block int, at int")
+        across = merged.join(sorted_.select("shard", "block", "key", "run_hash", "windows"), ["shard", "block"])
+        across = across.groupBy("key", "run_hash", "windows").agg(F.collect_set("at").alias("starts"))
+        ranges_ = ranges_.unionByName(across.withColumn("stops", F.transform("starts", lambda s: s + length)))
     shift = lambda c: F.transform(c, lambda x: x + F.col("begin"))
-    back = places.join(found, ["key", "run_hash", "windows"]).select("id", "row_hash", shift("starts").alias("starts"), shift("stops").alias("stops"))
+    back = places.join(ranges_, ["key", "run_hash", "windows"]).select("id", "row_hash", shift("starts").alias("starts"), shift("stops").alias("stops"))
     # starts and stops stay together: one may be equal between two finds of a run while the other differs
     finds = back.groupBy("id", "row_hash").agg(F.collect_set(F.struct("starts", "stops")).alias("finds"))
-    spans = finds.select("id", "row_hash", F.flatten("finds.starts").alias("starts"), F.flatten("finds.stops").alias("stops"))
+    spans = finds.select(F.col("id").alias("__id"), F.col("row_hash").alias("__row_hash"), F.flatten("finds.starts").alias("__starts"), F.flatten("finds.stops").alias("__stops"))
     return keyed, spans
 
 
-def merged_spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted, disjoint ranges from sorted starts and the sorted stops of any ranges that cover the same bytes."""
-    starts, stops = np.sort(starts), np.sort(stops)
-    first = np.append(True, starts[1:] > stops[:-1]) if len(starts) else np.zeros(0, bool)
-    last = np.append(first[1:], True) if len(starts) else first
-    return starts[first], stops[last]
-
-
 def _cut(batches):
-    for batch in batches:
-        n, removed, spans, kept = [], [], [], []
-        for text, starts, stops in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("stops").to_pylist(), strict=True):
-            raw = (text or "").encode()
-            a, b = merged_spans(np.array(starts or [], np.int64), np.array(stops or [], np.int64))
-            edges = np.concatenate([[0], np.stack([a, b], 1).reshape(-1), [len(raw)]]).astype(int).tolist()
-            kept.append(b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-            n.append(len(raw))
-            removed.append(int((b - a).sum()))
-            spans.append(len(a))
-        rest = [c for c in batch.schema.names if c not in ("starts", "stops")]
+    for batch in common.slices(batches, "text"):
+        data, offsets = common.utf8_buffer(batch.column("text"))
+        sizes = np.diff(offsets)
+        change = np.zeros(len(data) + 1, np.int32)
+        for name, step in (("__starts", 1), ("__stops", -1)):
+            column = batch.column(name).fill_null([])
+            count = column.value_lengths().to_numpy(zero_copy_only=False)
+            np.add.at(change, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(offsets[:-1], count), step)
+        gone = np.cumsum(change[:-1]) > 0
+        first = gone.copy()  # of a run of removed bytes in its row
+        inner = np.ones(len(data), bool)
+        inner[offsets[:-1][sizes > 0]] = False
+        first[1:] &= ~(gone[:-1] & inner[1:])
+        removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (gone, first))
+        kept = pa.py_buffer(data[~gone].tobytes())
+        ends = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
+        rest = [c for c in batch.schema.names if c not in ("__starts", "__stops")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in rest), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+            [*(batch.column(c) for c in rest), pa.array(sizes), pa.array(removed), pa.array(spans), pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), kept])],
             names=[*rest, "n_bytes", "n_removed", "n_spans", "kept_bytes"],
         )
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept_bytes (binary)."""
-    clash = ("n_bytes", "n_removed", "n_spans", "kept_bytes", "id", "row_hash", "starts", "stops")
-    keyed, spans = removed_ranges(docs.drop(*clash), length, gram)
-    joined = keyed.join(spans, ["id", "row_hash"], "left").drop("id", "row_hash")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("starts", "stops"))
+    keyed, spans = removed_ranges(docs.drop("n_bytes", "n_removed", "n_spans", "kept_bytes"), length, gram)
+    joined = keyed.join(spans, ["__id", "__row_hash"], "left").drop("__id", "__row_hash")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("__starts", "__stops"))
     return joined.mapInArrow(_cut, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
 
 
