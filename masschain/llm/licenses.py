@@ -7,7 +7,11 @@ parser, with `with` binding before `and`, and `and` before `or`.
 
 Score, from 0 (no licence) to 1 (permissive): a label has a fixed value; `or` takes the
 better of both sides, `and` the worse, `with` the mean of its licence and 1; a text's
-score is the least over all its findings.
+score is the least over all its findings, but for a phrase inside a longer one (such as
+the general public license in the lesser). An expression ends before a word that cannot
+go on with it, so prose may follow. A malformed one (two operators, one without its
+second licence, an open bracket) grants nothing: its licences keep their labels, with
+`unknown`, and it scores 0.
 
 Defined results: null and empty texts have no words and score 0; rows stand each for
 itself, repeated ones and null ids included; columns named like the results are replaced.
@@ -62,23 +66,20 @@ def evaluate(expression: str) -> tuple[float, set[str]] | None:
     """Score and labels of the licence expression that a (lower-case) text starts with; None if there is none."""
     values: list[tuple[float, set[str]]] = []
     operators: list[str] = []
+    named: set[str] = set()
 
-    def reduce_top() -> bool:
+    def reduce_top() -> None:
         op = operators.pop()
-        if len(values) < 2:
-            return False
         (b, right), (a, left) = values.pop(), values.pop()
-        score = {"or": max(a, b), "and": min(a, b), "with": (a + 1) / 2}[op]
-        values.append((score, left | right))
-        return True
+        values.append(({"or": max(a, b), "and": min(a, b), "with": (a + 1) / 2}[op], left | right))
 
-    operand_next, good = True, True
+    operand_next = True
     for token in _TOKENS.findall(expression):
         if token in _BINDS:
             if operand_next:
                 break
-            while good and operators and operators[-1] != "(" and _BINDS[operators[-1]] >= _BINDS[token]:
-                good = reduce_top()
+            while operators and operators[-1] != "(" and _BINDS[operators[-1]] >= _BINDS[token]:
+                reduce_top()
             operators.append(token)
             operand_next = True
         elif token == "(":
@@ -86,23 +87,27 @@ def evaluate(expression: str) -> tuple[float, set[str]] | None:
                 break
             operators.append(token)
         elif token == ")":
-            while good and operators and operators[-1] != "(":
-                good = reduce_top()
-            if not operators:
+            if operand_next or "(" not in operators:
                 break
+            while operators[-1] != "(":
+                reduce_top()
             operators.pop()
-        else:
-            if not operand_next:
-                break
+        elif operand_next:
             label = label_of(token.rstrip(".,;"))
+            named |= {label} if label else set()
             values.append((FREEDOM[label], {label}) if label else (0.0, set()))
             operand_next = False
-    while good and operators:
-        if operators[-1] == "(" or len(values) < 2:
-            operators.pop()
         else:
-            good = reduce_top()
-    return values[0] if values and values[0][1] else None
+            break
+    if not named:
+        return None
+    if operand_next or "(" in operators:
+        # what is left of it is read for its names alone
+        later = (label_of(t.rstrip(".,;")) for t in _TOKENS.findall(expression) if t not in _BINDS and t not in "()")
+        return 0.0, {x for x in later if x} | {"unknown"}
+    while operators:
+        reduce_top()
+    return values[0]
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -120,17 +125,26 @@ def scan(text: str | None, finder) -> tuple:
     lowered = (text or "").translate(_UPPER) if not (text or "").isascii() else (text or "").lower()
     words = _WORDS.findall(lowered)
     joined = f" {' '.join(words)} "
-    starts, base, labels, scores = [], set(), set(), []
+    starts, base, labels, scores, spans = [], set(), set(), [], []
     tagged = False
+    counted = words_before = 0  # spaces of the text up to there
     for end, (phrase, label) in finder.iter(joined):
+        begin = end - len(phrase) - 1
         if phrase == TAG:
             tagged = True
             continue
         if phrase in BASE_PHRASES:
-            starts.append(joined.count(" ", 0, end - len(phrase) - 1))
+            words_before += joined.count(" ", counted, begin) if begin >= counted else -joined.count(" ", begin, counted)
+            counted = begin
+            starts.append(words_before)
             base.add(label)
         labels.add(label)
-        scores.append(FREEDOM[label])
+        spans.append((begin, -end, label))
+    furthest = -1
+    for _, end, label in sorted(spans):
+        if -end > furthest:
+            scores.append(FREEDOM[label])
+            furthest = -end
     if tagged:
         for expression in _TAGGED.findall(lowered):
             if (value := evaluate(expression)) is not None:
@@ -145,7 +159,7 @@ def scan(text: str | None, finder) -> tuple:
 def _scan(batches):
     finder = automaton()
     results = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-    for batch in common.slices(batches, "text", 4 << 20):
+    for batch in common.slices(batches, "text"):
         found = list(zip(*(scan(t, finder) for t in batch.column("text").to_pylist()), strict=True)) or [[]] * 7
         names = [*batch.schema.names, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, t) for f, t in zip(found, results, strict=True))], names=names)
