@@ -3,24 +3,21 @@
 1. Tasks turn each text into its set of word shingles (64-bit hashes), a digest of the
    set, and 64 minimum hashes, dealt to 16 trees as orders of depth 4.
 2. Documents with equal sets collapse to one node by the digest, before anything else.
-3. Per tree, nodes that share a prefix of depth 2 form a region; a region with more
-   than DENSE nodes is cut deeper, to depth 4. All nodes of a shallow region are paired
-   with its smallest one (a star, found by an aggregate and a join), which is linear in
-   the nodes: first in FIRST_TREES trees, then in the others across components.
+3. Per tree, nodes that share a prefix of depth 2 form a region. All nodes of a region are
+   paired with its smallest one (a star, found by an aggregate and a join), which is linear
+   in the nodes: first in FIRST_TREES trees, then in the others across components.
 4. Pairs are confirmed on the full sets, and links joined to components.
-5. In regions that still hold several components, nodes are sorted by signature and each
-   is paired with the neighbours of longest common prefix before it, up to DENSE of
-   them (all, in a region of that size), that are of another component and whose
-   signatures agree like those of linked pairs. A region that is larger at full depth
-   sends one node for each component, again and again until that adds no link.
-6. What is left of regions of depth 2 with more than DENSE nodes and several components
-   is settled exactly: nodes are joined on the rarest shingles of their full sets, as many
-   as any pair above the threshold must share one of (a prefix-filter join), with bounds
-   from sizes and places; popular shingles are dealt over many tasks.
+5. Regions that still hold several components adapt their depth: one of more than DENSE
+   nodes is cut at depth 3 or, where that is too many still, at 4. Nodes are sorted by
+   signature, and each is paired with its nearest neighbours there, those of longest
+   common prefix, that are of another component and agree with it in enough hashes.
+6. What is left of regions of depth 2 with several components is settled exactly: nodes are
+   joined on the rarest shingles of their full sets, as many as any pair above the
+   threshold must share one of (a prefix-filter join), with bounds from sizes and places;
+   popular shingles are dealt over many tasks.
 
 A pair of likeness 0.8 shares depth 2 in one of 16 trees at least but for a chance of
-(1 - 0.8^2)^16 = 8e-8. In a region of up to DENSE nodes it is then missed with a chance of 1e-5 (its
-signatures' agreement), in a larger one never, whatever its size at depth 4.
+(1 - 0.8^2)^16 = 8e-8; within a region none is missed. Sets are compared by 64-bit hashes of their shingles.
 
 Defined results: null ids belong to no real id: they may join a group, never name it,
 and stay if their group has no real id; null, empty and blank texts have no shingles
@@ -40,6 +37,7 @@ from . import common
 
 TREES, DEPTH = 16, 4
 DENSE = 256
+NEIGHBOURS = 4
 FIRST_TREES = 2
 LEAST_AGREEMENT = 38  # of 64 minimum hashes; a pair of likeness 0.8 has fewer with a chance of 1e-5
 POSTING = 512  # nodes of one shingle that one task holds against others at a time
@@ -78,7 +76,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 
 def _sketch(k: int):
     def sketch(batches):
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text"):
             data, offsets = common.utf8_buffer(batch.column("text"))
             sets, at = shingle_sets(data, offsets, k)
             n = np.diff(at)
@@ -103,7 +101,7 @@ def _sketch(k: int):
 
 def _confirm(k: int, threshold: int):
     def confirm(batches):
-        for batch in common.slices(batches, "text_a", 1 << 20):
+        for batch in common.slices(batches, "text_a"):
             sizes, keys = [], []
             for side in ("text_a", "text_b"):
                 sets, at = shingle_sets(*common.utf8_buffer(batch.column(side)), k)
@@ -124,8 +122,8 @@ def _confirm(k: int, threshold: int):
 def _agreeing(batches):
     """Pairs of nodes of one region and different components whose signatures agree enough.
 
-    Rows come sorted by region; each is held against the up to DENSE rows before it, all
-    rows of a batch at once for each distance.
+    Rows come sorted by region and signature; each is held against the NEIGHBOURS rows before
+    it, all rows of a batch at once for each distance.
     """
     held = None
     for batch in batches:
@@ -137,7 +135,7 @@ def _agreeing(batches):
             now, signature = [np.concatenate([h, x]) for h, x in zip(held[:3], now, strict=True)], np.concatenate([held[3], signature])
         deep, node, comp = now
         a, b = [], []
-        for j in range(1, DENSE + 1):
+        for j in range(1, NEIGHBOURS + 1):
             to = np.arange(max(fresh, j), len(deep))
             same = deep[to] == deep[to - j]
             if not same.any():
@@ -148,7 +146,7 @@ def _agreeing(batches):
             b.append(np.maximum(node[to], node[to - j]))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-        held = [x[-DENSE:] for x in (*now, signature)]
+        held = [x[-NEIGHBOURS:] for x in (*now, signature)]
 
 
 def _near_in_region(rows: DataFrame) -> DataFrame:
@@ -159,7 +157,7 @@ def _near_in_region(rows: DataFrame) -> DataFrame:
 
 def _shingles(k: int):
     def shingles(batches):
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text"):
             sets, at = shingle_sets(*common.utf8_buffer(batch.column("text")), k)
             n = np.diff(at)
             owner = np.repeat(np.arange(batch.num_rows), n)
@@ -253,10 +251,15 @@ def linked_rows(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     )
     trees = nodes.select(
         "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("signature", t * DEPTH + 1, DEPTH))).alias("tree", "order")
-    ).withColumn("region", F.xxhash64("tree", F.slice("order", 1, 2)))
-    regions = trees.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    ).withColumns({f"region{d}": F.xxhash64("tree", F.slice("order", 1, d)) for d in (2, 3, 4)})
+    # sizes of regions by their deepest prefix, summed up to the shallower ones; a region of one node ends here
+    sizes = trees.groupBy("tree", "region2", "region3", "region4").agg(F.count(F.lit(1)).alias("n4"), F.min("node").alias("pivot"))
+    by2, by3 = Window.partitionBy("tree", "region2"), Window.partitionBy("tree", "region2", "region3")
+    sizes = sizes.select("*", F.sum("n4").over(by3).alias("n3")).select("*", F.sum("n4").over(by2).alias("n2"), F.min("pivot").over(by2).alias("least")).filter("n2 > 1")
+    deep = F.when(F.col("n2") <= DENSE, F.col("region2")).when(F.col("n3") <= DENSE, F.col("region3")).otherwise(F.col("region4"))
+    regions = sizes.select("tree", "region2", "region4", deep.alias("deep"), F.col("least").alias("pivot"))
     placed = common.scratch_table(
-        trees.join(regions, ["tree", "region"]).withColumn("deep", F.when(F.col("n") > DENSE, F.xxhash64("tree", "order")).otherwise(F.col("region"))), "placed"
+        trees.join(regions, ["tree", "region2", "region4"]).select("tree", F.col("region2").alias("region"), "deep", "pivot", "order", "node"), "placed"
     )
     # texts of the nodes that share a region with another: one row for each, kept for every confirmation
     involved = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.col("row.id").alias("id"), F.col("row.row_hash").alias("row_hash"))
@@ -285,32 +288,17 @@ def linked_rows(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
         return pairs.join(side("a"), "a").join(side("b"), "b").filter("comp_a != comp_b").select("a", "b")
 
     grown(apart(stars.filter(F.col("tree") >= FIRST_TREES).select("a", "b").distinct()))
-    # what is left: regions that hold several components
-    signatures = nodes.select("node", "signature")
 
-    def mixed() -> DataFrame:
-        here = placed.select("deep", "node", "order").join(comps, "node")
-        several = here.groupBy("deep").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-        return common.scratch_table(here.join(several.select("deep", "n"), "deep"), "mixed")
+    def mixed(region: str) -> DataFrame:
+        """Rows of regions that hold several components."""
+        here = placed.select(region, "node", "order").join(comps, "node")
+        several = here.groupBy(region).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+        return here.join(several.select(region), region, "left_semi")
 
-    regions_left = mixed()
-    small = regions_left.filter(F.col("n") <= DENSE)
-    grown(_near_in_region(small.join(signatures, "node")))
-    while True:
-        large = (regions_left if regions_left is not None else mixed()).filter(F.col("n") > DENSE)
-        if large.isEmpty():
-            break
-        # one node for each component of a region, in its order; fewer each round
-        first = large.groupBy("deep", "comp").agg(F.min(F.struct("order", "node")).alias("first")).select("deep", "comp", "first.order", "first.node")
-        if not grown(_near_in_region(first.join(signatures, "node"))):
-            break
-        regions_left = None
-    # one node for each component does not see all pairs: the rest of large regions, exactly
-    wide = placed.filter(F.col("n") > DENSE).select("tree", "region", "node").join(comps, "node")
-    several = wide.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-    unsettled = common.scratch_table(wide.join(several, ["tree", "region"], "left_semi").select("node", "comp").distinct(), "unsettled")
-    if not unsettled.isEmpty():
-        grown(_exact_pairs(unsettled, texts, k, threshold))
+    grown(_near_in_region(mixed("deep").join(nodes.select("node", "signature"), "node")))
+    # neighbours do not see all pairs: the rest, exactly
+    unsettled = common.scratch_table(mixed("region").select("node", "comp").distinct(), "unsettled")
+    grown(_exact_pairs(unsettled, texts, k, threshold))
 
     labels = nodes.select("d1", "d2", "node").join(comps, "node")
     return sketch.join(labels, ["d1", "d2"], "left").select("doc_id", "row_hash", "n_shingles", "node", "comp")
