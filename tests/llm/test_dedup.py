@@ -96,7 +96,7 @@ def cut(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [2 << 20, 700])
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 700])
 def test_repeated_strings_match_brute_force(spark, given, monkeypatch, shard_bytes):
     """With a small shard size, keys are dealt over several shards and merged."""
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)

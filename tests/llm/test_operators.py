@@ -100,9 +100,44 @@ def test_lattice_sums_all_segmentations():
         assert sum(c * len(q) for c, q in zip(counts, vocabulary.pieces, strict=False)) == pytest.approx(len(text))
 
 
+def test_few_rows_go_edge_by_edge_to_the_same_results():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = trie.load_vocabulary(pieces.VOCABULARY)
+    lattice = trie.Lattice(v, trie.log_weights(v), -25.0)
+    words = [("ab the der é日Z9"[i % 7 :] * 9)[: int(k)].encode() for i, k in enumerate(rng.integers(1, 90, 64))]
+    lengths = np.array([len(w) for w in words])
+    rows = np.stack([np.frombuffer(w.ljust(lengths.max(), b"\0"), np.uint8) for w in words])
+    weights = rng.random(len(words))
+    many = lattice.marginal(rows, lengths), lattice.expected(rows, lengths, weights), lattice.best(rows, lengths)
+    alone = [(rows[i : i + 1], lengths[i : i + 1]) for i in range(len(words))]
+    assert many[0] == pytest.approx([lattice.marginal(*a)[0] for a in alone])
+    assert many[1] == pytest.approx(sum(lattice.expected(*a, weights[i : i + 1]) for i, a in enumerate(alone)))
+    for i, a in enumerate(alone):
+        total, _, begin, end, piece = lattice.best(*a)
+        own = many[2][1] == i
+        assert total[0] == pytest.approx(many[2][0][i]) and [x.tolist() for x in (begin, end, piece)] == [x[own].tolist() for x in many[2][2:]]
+
+
+def test_words_of_a_megabyte(spark):
+    import time
+
+    word = "QmFzZTY0" * (1 << 17)
+    began = time.perf_counter()
+    docs = spark.createDataFrame([(1, word), (2, "a b"), (3, "\u65e5" * 300_000)], "doc_id long, text string")
+    encoded = pieces.encoded(docs).select("doc_id", "round_trip", F.size("piece_ids").alias("n")).collect()
+    assert all(r["round_trip"] and r["n"] > 0 for r in encoded)
+    scored = {r["doc_id"]: r["score"] for r in lattice_lm.lattice_scores(docs).collect()}
+    assert -1e7 < scored[1] < -1e4 and math.isfinite(scored[3])
+    assert time.perf_counter() - began < 120
+
+
 def test_pieces_round_trip_and_best_score(spark, given, odd):
     encoder = pieces.Encoder(pieces.VOCABULARY)
-    scores = {encoder.v.pieces[i]: max(encoder.v.scores[i], encoder.unknown) for i in encoder.v.normal}
+    weights = trie.log_weights(encoder.v)
+    assert sum(math.exp(weights[i]) for i in encoder.v.normal) == pytest.approx(1)
+    scores = {encoder.v.pieces[i]: weights[i] for i in encoder.v.normal}
 
     def best(text):
         marked = f" {text}".replace(" ", trie.MARK)
@@ -171,11 +206,74 @@ def test_licenses(spark, odd):
     finder = licenses.automaton()
     assert licenses.scan("MIT License, mit-LICENSE", finder)[:6] == (4, 2, 0, 2, "mit", "mit")
     assert licenses.scan("GNU General\nPublic License", finder)[:6] == (4, 1, 1, 1, "gpl", "gpl")
+    assert licenses.scan("GNU Lesser General Public License", finder)[1:] == (1, 2, 2, "gpl", "gpl,lgpl", 0.6)
     assert licenses.scan("SPDX-License-Identifier: MIT OR GPL-2.0 AND Apache-2.0", finder)[5:] == ("apache,gpl,mit", 1.0)
     assert licenses.scan("SPDX-License-Identifier: (MIT OR GPL-2.0) AND CC-BY-NC-4.0", finder)[6] == 0.1
+    assert licenses.scan("SPDX-License-Identifier: MIT is what we use", finder)[5:] == ("mit", 1.0)
     assert licenses.evaluate("gpl-2.0 with classpath-exception-2.0")[0] == pytest.approx(0.7)
+    for malformed, labels in (("mit or and gpl-2.0", {"mit", "gpl"}), ("mit or", {"mit"}), ("(mit", {"mit"}), ("mit and (gpl-2.0 or", {"mit", "gpl"})):
+        assert licenses.evaluate(malformed) == (0.0, labels | {"unknown"})
+    assert licenses.evaluate("") is None and licenses.evaluate("or mit") is None and licenses.evaluate("see below") is None
     assert licenses.scan(None, finder) == (0, 0, None, None, "", "", 0.0)
     assert licenses.scanned(odd).count() == len(ODD)
+    assert licenses.scanned(odd.limit(0)).count() == 0
+
+
+def value_of(expression):
+    """A licence expression by recursive descent; its tokens are in order."""
+    tokens = re.findall(r"\(|\)|[a-z0-9.+-]+", expression)
+
+    def term(level):
+        if level == 3:
+            token = tokens.pop(0)
+            if token == "(":
+                inner = term(0)
+                assert tokens.pop(0) == ")"
+                return inner
+            return licenses.FREEDOM.get(licenses.label_of(token), 0.0)
+        value = term(level + 1)
+        while tokens and tokens[0] == ("or", "and", "with")[level]:
+            tokens.pop(0)
+            value = (max, min, lambda a, _: (a + 1) / 2)[level](value, term(level + 1))
+        return value
+
+    return term(0)
+
+
+def test_license_expressions_match_recursive_descent():
+    import random
+
+    rng = random.Random(5)
+
+    def made(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice(["mit", "gpl-2.0", "apache-2.0", "cc-by-nc-4.0", "lgpl-3.0", "own-1.0", "mpl-2.0"])
+        if kind < 0.5:
+            return f"({made(depth - 1)})"
+        return f"{made(depth - 1)} {rng.choice(['or', 'and', 'with'])} {made(depth - 1)}"
+
+    for _ in range(300):
+        expression = made(4)
+        found = licenses.evaluate(expression)
+        assert (found is None and not any(licenses.label_of(t) for t in re.findall(r"[a-z0-9.+-]+", expression))) or found[0] == pytest.approx(value_of(expression))
+
+
+def test_license_places_match_brute_force(spark, given):
+    phrases = {tuple(p.split()): label for p, label in licenses.BASE_PHRASES.items()}
+    more = {tuple(p.split()): label for p, label in licenses.PHRASES.items()}
+    long = "the mit license of x " * 60_000  # beyond a slice, and many places
+    docs = given.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, long), (-2, "Apache LICENSE\n" * 3), (None, "mit  license")], "doc_id long, text string"))
+    assert docs.count() > 100
+    for r in licenses.scanned(docs).collect():
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or ""))
+        at = {p: [i for i in range(len(words) - len(p) + 1) if words[i] == p[0] and tuple(words[i : i + len(p)]) == p] for p in (*phrases, *more)}
+        base = sorted(i for p in phrases for i in at[p])
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(base), min(base, default=None), max(base, default=None))
+        assert r["base_labels"] == ",".join(sorted({phrases[p] for p in phrases if at[p]}))
+        if "spdx" not in words:
+            assert r["labels"] == ",".join(sorted({(phrases | more)[p] for p in at if at[p]}))
+            assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"])
 
 
 def test_pipeline_keeps_columns_and_clean_documents(spark, given, tmp_path):

@@ -64,3 +64,49 @@ def test_training_rows_of_a_hot_id_are_bounded(spark):
         quality_gbt.fit = fit
     # all ten rows of label 0 stay beside the hot id; without a cut all rows count
     assert seen == [(40, 10), (620, 10)]
+
+
+def highest_quotients(targets, seats, most):
+    """Seat by seat, to the highest target / (2 * seats so far + 1)."""
+    got = dict.fromkeys(targets, 0)
+    for _ in range(seats):
+        able = [k for k in targets if targets[k] > 0 and got[k] < most[k]]
+        if not able:
+            break
+        got[min(able, key=lambda k: (-targets[k] / (2 * got[k] + 1), k))] += 1
+    return got
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_quotas_are_those_of_highest_quotients(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    sizes = {f"0s{i:02}": rng.choice([rng.randrange(60, 300), rng.randrange(2000, 9000), 40]) for i in range(rng.choice([1, 3, 17, 40]))}
+    aimed = mixing.targets(spark.createDataFrame(list(sizes.items()), "key string, source_size long"))
+    rows = {r["key"]: r for r in mixing.quotas(aimed).collect()}
+    block = next(iter(rows.values()))["block"]
+    target = {k: r["target"] for k, r in rows.items()}
+    assert {k: r["quota"] for k, r in rows.items()} == highest_quotients(target, int(sum(target.values()) / block + 0.5), {k: 3 * s // block for k, s in sizes.items()})
+    by_shard = collections.defaultdict(dict)
+    own = mixing.quotas(aimed).withColumnRenamed("key", "source")
+    for r in mixing.shard_quotas(own).collect():
+        by_shard[r["source"]][r["key"]] = (r["shard_blocks"], r["quota"])
+    for key, found in by_shard.items():
+        blocks = {s: sum(b % 8 == s for b in range(rows[key]["blocks"])) for s in range(8)}
+        assert {s: b for s, (b, _) in found.items()} == blocks
+        assert {s: q for s, (_, q) in found.items()} == highest_quotients(blocks, rows[key]["quota"], {s: 3 * b for s, b in blocks.items()})
+
+
+def test_mix_takes_each_shard_quota_of_blocks(spark):
+    """The words taken are those of as many whole blocks of each shard as its quota says; clashing columns pass through."""
+    rows = [(i, f"w{i} " * 8, "ab"[i % 2]) for i in range(400)]
+    docs = table(spark, rows).withColumns({c: F.lit("own") for c in ("key", "bucket", "quota", "at", "block", "spread")})
+    found = mixing.mixed(docs).collect()
+    assert all(r[c] == "own" for r in found for c in ("key", "bucket", "quota", "at", "block", "spread"))
+    sizes = spark.createDataFrame([("0a", 1600), ("0b", 1600)], "key string, source_size long")
+    quota = {r["key"][1:]: r["quota"] for r in mixing.quotas(mixing.targets(sizes)).collect()}
+    for source in "ab":
+        own = [r for r in found if r["source"] == source]
+        # blocks of 8 words are documents here
+        assert all(r["taken"] % 8 == 0 for r in own) and sum(r["taken"] for r in own) == 8 * quota[source]
