@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of a stated set of query vectors, in blocks."""
+"""Exact nearest neighbours of a stated set of query vectors, in one pass over the table for many queries."""
 
 from __future__ import annotations
 
@@ -7,51 +7,73 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048  # query vectors that a task holds at once
+BLOCK = 2048  # query vectors that a task holds against a batch at once
+PASS = 32_768  # query vectors that one pass over the table serves; they go out as a broadcast of so many rows at most
+SAMPLE = 20_000  # rows, about, that give each query a first bound on its k-th similarity
 QUERY_EVERY = 50
 
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, k: int):
-    """Per task, the k nearest rows it has seen for each query of the block."""
+def _unit(vectors) -> np.ndarray:
+    rows = np.array(list(vectors), np.float64).reshape(len(vectors), -1)
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norm > 0, norm, 1)
+
+
+def _nearest(shared, k: int):
+    """Per task, the k nearest rows it has seen for each query, but those below the query's bound."""
 
     def nearest(batches):
-        best_score = np.full((len(ids), 0), 0.0)
-        best_id = np.zeros((len(ids), 0), np.int64)
+        ids, vectors, bound = shared.value
+        best = [(np.zeros((min(BLOCK, len(ids) - at), 0)), np.zeros((min(BLOCK, len(ids) - at), 0), np.int64)) for at in range(0, len(ids), BLOCK)]
         for pdf in batches:
-            rows = np.array(pdf["embedding"].tolist(), float).reshape(len(pdf), -1)
-            norm = np.linalg.norm(rows, axis=1, keepdims=True)
-            score = np.round(vectors @ (rows / np.where(norm > 0, norm, 1)).T, 6)
-            own = pdf["vec_id"].to_numpy()
-            score[ids[:, None] == own[None, :]] = -np.inf
-            best_score, best_id = np.hstack([best_score, score]), np.hstack([best_id, np.broadcast_to(own, score.shape)])
-            order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        if best_score.shape[1]:
-            out = pd.DataFrame({"query_id": np.repeat(ids, best_id.shape[1]), "vec_id": best_id.reshape(-1), "similarity": best_score.reshape(-1)})
-            yield out[np.isfinite(out["similarity"])]
+            rows, own = _unit(pdf["embedding"]), pdf["vec_id"].to_numpy()
+            for i, (score_so_far, id_so_far) in enumerate(best):
+                part = slice(i * BLOCK, (i + 1) * BLOCK)
+                score = np.round(vectors[part] @ rows.T, 6)
+                score[ids[part][:, None] == own[None, :]] = -np.inf
+                score[score < bound[part][:, None]] = -np.inf
+                score, named = np.hstack([score_so_far, score]), np.hstack([id_so_far, np.broadcast_to(own, score.shape)])
+                order = np.lexsort((named, -score), axis=1)[:, :k]
+                best[i] = np.take_along_axis(score, order, 1), np.take_along_axis(named, order, 1)
+        for i, (score, named) in enumerate(best):
+            if score.shape[1]:
+                out = pd.DataFrame({"query_id": np.repeat(ids[i * BLOCK : i * BLOCK + len(score)], score.shape[1]), "vec_id": named.reshape(-1), "similarity": score.reshape(-1)})
+                yield out[np.isfinite(out["similarity"])]
 
     return nearest
 
 
+_FOUND = "query_id long, vec_id long, similarity double"
+
+
 def nearest_k(vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, place (1 to k), vec_id, similarity (cosine, 6 digits) for every row whose id is divisible by
-    QUERY_EVERY, against all other rows. k is held to 1..50.
+    QUERY_EVERY, against all other rows. k lies in 1..50.
 
-    Queries go out in blocks of about BLOCK vectors, whatever their number; each block is one
-    pass over the table, whose tasks send on k rows a query.
+    PASS queries go out at a time, whatever their number. A sample of rows bounds each query's k-th
+    similarity from below first, so that tasks send on few rows beyond the k that count; the result
+    is exact. Defined results: rows with a null id or vector take no part; a vector of zeros
+    has similarity 0 to all; equal similarities go by id; rows that repeat an id count each.
     """
-    k = max(1, min(k, 50))
+    if not 1 <= k <= 50:
+        raise ValueError("k lies in 1..50")
+    spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding").filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     queries = rows.filter(F.col("vec_id") % QUERY_EVERY == 0)
-    n = queries.count()
+    total, n = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % QUERY_EVERY == 0, 1))).first()
+    passes = max(1, -(-n // PASS))
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(max(1, total // SAMPLE))) == 0)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     found = None
-    for block in range(max(1, -(-n // BLOCK))):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // BLOCK)))) == block).toPandas()
-        q = np.array(part["embedding"].tolist(), float).reshape(len(part), -1)
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        near = rows.mapInPandas(_nearest(part["vec_id"].to_numpy(np.int64), q / np.where(norm > 0, norm, 1), k), "query_id long, vec_id long, similarity double")
+    for number in range(passes):
+        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == number).toPandas()
+        ids, unit, bound = part["vec_id"].to_numpy(np.int64), _unit(part["embedding"]), np.full(len(part), -np.inf)
+        if total > SAMPLE:
+            first = sample.mapInPandas(_nearest(spark.sparkContext.broadcast((ids, unit, bound)), k), _FOUND).withColumn("place", place).filter(F.col("place") == k)
+            known = dict(first.select("query_id", "similarity").collect())  # a row for each query of the pass at most
+            bound = np.array([known.get(i, -np.inf) for i in ids.tolist()])
+        near = rows.mapInPandas(_nearest(spark.sparkContext.broadcast((ids, unit, bound)), k), _FOUND)
         found = near if found is None else found.unionByName(near)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
@@ -60,3 +82,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"nearest_k": query}
+ORACLE = {
+    "nearest_k": """SELECT query_id, CAST(place AS INT) AS place, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (
+        SELECT q.vec_id AS query_id, r.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id) s) p WHERE place <= 10"""
+}

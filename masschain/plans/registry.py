@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from masschain.operators import cells, facts, graph, joins, lookups, questions, rollup, rules, sampling, search, served, textlog
+from masschain.operators import cells, facts, graph, joins, lookups, plugins, questions, rollup, rules, sampling, search, served, textlog
 from masschain.sources import files
 from masschain.streaming import incremental, sources
 
@@ -17,5 +17,6 @@ for _part in (cells, facts, joins, lookups, questions, rollup, rules, sampling,
         QUERIES[_name] = sql_query(_spark)
         ORACLE_SQL[_name] = with_ctes(_ansi, CHECK_CTES)
 
-QUERIES |= graph.QUERIES | files.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
-ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | files.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
+QUERIES |= graph.QUERIES | files.QUERIES | plugins.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
+ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | files.ORACLE | plugins.ORACLE | search.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
+ORACLE_SQL |= plugins.FULL_ORACLE
