@@ -45,7 +45,7 @@ SQL = {
     "inferred_unknown_content": """SELECT p.product_class, 'Component' AS first_level, 'Material' AS tail, r.element_class, round(SUM(greatest(r.lo - r.amount, 0)) / MIN(n.n), 9) AS unknown FROM levels r JOIN placed p ON r.ord = p.ord
         JOIN (SELECT product_class, SUM(n) AS n FROM item_mass GROUP BY product_class) n ON p.product_class = n.product_class WHERE r.lo - r.amount > 1.0E-12 GROUP BY p.product_class, r.element_class""",
     "balance_level": "SELECT ord, sup, prt, 'Unknown' AS element_class, round(1 - SUM(best), 9) AS amount FROM me GROUP BY 1, 2, 3 HAVING 1 - SUM(best) > 1.0E-9",
-    "decompose_unknown": """SELECT ord, level, holder, part, round(fraction, 9) AS fraction FROM (WITH u AS (SELECT ord, element_class, greatest(lo - amount, 0) AS unknown FROM levels), h AS (SELECT ord, SUM(unknown) AS unknown FROM u GROUP BY ord HAVING SUM(unknown) > 1.0E-9)
+    "decompose_unknown": """SELECT ord, level, holder, part, round(fraction + 1.0E-12, 9) AS fraction FROM (WITH u AS (SELECT ord, element_class, greatest(lo - amount, 0) AS unknown FROM levels), h AS (SELECT ord, SUM(unknown) AS unknown FROM u GROUP BY ord HAVING SUM(unknown) > 1.0E-9)
         SELECT ord, 'Component' AS level, 'product' AS holder, 'unknownComponent' AS part, unknown AS fraction FROM h UNION ALL SELECT ord, 'Material', 'unknownComponent', 'unknownMaterial', 1.0E0 FROM h
         UNION ALL SELECT u.ord, 'Element', 'unknownMaterial', u.element_class, u.unknown / h.unknown FROM u JOIN h ON u.ord = h.ord WHERE u.unknown > 0) d""",
     "remainder_projection": "SELECT product_class, yr, 'Unknown' AS element_class, round(1 - SUM(amount), 9) AS amount FROM leaf_mean GROUP BY 1, 2 HAVING 1 - SUM(amount) > 1.0E-9",

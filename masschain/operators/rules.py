@@ -33,7 +33,7 @@ SQL = {
     "rule_amount": "SELECT 'amount' AS rule, product_class, yr, element_class FROM leaf_mean WHERE amount IS NULL OR amount < 0 OR amount > 1 UNION ALL SELECT 'twice', product_class, yr, element_class FROM leaf_mean GROUP BY product_class, yr, element_class HAVING COUNT(*) > 1",
     "rule_one_level": f"SELECT 'one_level' AS rule, descendant, COUNT(DISTINCT ancestor) AS n FROM closure WHERE ancestor IN {_LEVELS} GROUP BY descendant HAVING COUNT(DISTINCT ancestor) <> 1",
     "rule_subject_is_class": "SELECT DISTINCT 'subject' AS rule, l.product_class FROM leaf_mean l WHERE NOT EXISTS (SELECT 1 FROM taxonomy t WHERE t.child = l.product_class)",
-    "rule_s6_served_scope": "SELECT DISTINCT 'S6' AS rule, m.product_class FROM item_mass m LEFT JOIN class_time c ON c.class = concat(m.product_class, '_Y', CAST(m.yr AS STRING)) WHERE c.class IS NULL OR c.y0 > c.y1",
+    "rule_s6_served_scope": "SELECT DISTINCT 'S6' AS rule, m.product_class FROM item_mass m LEFT JOIN class_time c ON c.class = (m.product_class || '_Y' || CAST(m.yr AS STRING)) WHERE c.class IS NULL OR c.y0 > c.y1",
     "rule_label": "SELECT 'label' AS rule, p_partkey FROM part WHERE p_name IS NULL OR trim(p_name) = ''",
     "rule_t_s_diag": """SELECT 'T' AS rule, t.child FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM class_time c WHERE c.class = t.child) AND NOT EXISTS (SELECT 1 FROM subclass s JOIN class_time c ON s.child = c.class WHERE s.parent = t.child)
         AND EXISTS (SELECT 1 FROM closure k WHERE k.descendant = t.child AND k.ancestor IN ('Product', 'Component'))

@@ -14,7 +14,7 @@ QUERY_EVERY = 50
 
 
 def _unit(vectors) -> np.ndarray:
-    rows = np.array(list(vectors), np.float64).reshape(len(vectors), -1)
+    rows = np.array(list(vectors), np.float64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norm > 0, norm, 1)
 

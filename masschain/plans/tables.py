@@ -35,24 +35,24 @@ _TAXONOMY = """SELECT DISTINCT concat(c_mktsegment, '/', n_name) AS child, c_mkt
     UNION SELECT DISTINCT p_type, 'Element' FROM part"""
 #: A year slice of a class, its scope, and what it is averaged into: the slice of the parent class, and the class itself.
 _SLICES = {
-    "class_time": (("scopes",), """SELECT concat(product_class, '_Y', CAST(yr AS STRING)) AS class, yr AS y0, yr AS y1 FROM scopes
-        UNION SELECT concat(product_parent, '_Y', CAST(yr AS STRING)), yr, yr FROM scopes"""),
-    "slices": (("scopes",), """SELECT concat(product_class, '_Y', CAST(yr AS STRING)) AS class, product_class AS parent, 'year' AS axis FROM scopes
-        UNION SELECT concat(product_parent, '_Y', CAST(yr AS STRING)), product_parent, 'year' FROM scopes"""),
-    "subclass": (("scopes",), """SELECT concat(product_class, '_Y', CAST(yr AS STRING)) AS child, concat(product_parent, '_Y', CAST(yr AS STRING)) AS parent FROM scopes
-        UNION SELECT concat(product_class, '_Y', CAST(yr AS STRING)), product_class FROM scopes UNION SELECT concat(product_parent, '_Y', CAST(yr AS STRING)), product_parent FROM scopes
+    "class_time": (("scopes",), """SELECT (product_class || '_Y' || CAST(yr AS STRING)) AS class, yr AS y0, yr AS y1 FROM scopes
+        UNION SELECT (product_parent || '_Y' || CAST(yr AS STRING)), yr, yr FROM scopes"""),
+    "slices": (("scopes",), """SELECT (product_class || '_Y' || CAST(yr AS STRING)) AS class, product_class AS parent, 'year' AS axis FROM scopes
+        UNION SELECT (product_parent || '_Y' || CAST(yr AS STRING)), product_parent, 'year' FROM scopes"""),
+    "subclass": (("scopes",), """SELECT (product_class || '_Y' || CAST(yr AS STRING)) AS child, (product_parent || '_Y' || CAST(yr AS STRING)) AS parent FROM scopes
+        UNION SELECT (product_class || '_Y' || CAST(yr AS STRING)), product_class FROM scopes UNION SELECT (product_parent || '_Y' || CAST(yr AS STRING)), product_parent FROM scopes
         UNION SELECT product_class, product_parent FROM scopes"""),
-    "strategy": (("scopes",), "SELECT DISTINCT concat(product_parent, '_Y', CAST(yr AS STRING)) AS class, 'equal-subclass-mean' AS strategy FROM scopes UNION SELECT DISTINCT product_parent, 'year-slice-mean' FROM scopes"),
+    "strategy": (("scopes",), "SELECT DISTINCT (product_parent || '_Y' || CAST(yr AS STRING)) AS class, 'equal-subclass-mean' AS strategy FROM scopes UNION SELECT DISTINCT product_parent, 'year-slice-mean' FROM scopes"),
     # a scoped parent takes scoped children inside its span; one that is a mean of slices, declared or sliced, takes scoped children; any other takes none
     "gate": (("subclass", "class_time", "strategy", "slices"), """SELECT e.parent, e.child FROM subclass e JOIN class_time c ON e.child = c.class LEFT JOIN class_time p ON e.parent = p.class
         LEFT JOIN strategy s ON e.parent = s.class LEFT JOIN (SELECT DISTINCT parent AS sliced FROM slices) l ON e.parent = l.sliced
         WHERE CASE WHEN p.class IS NOT NULL THEN p.y0 <= c.y0 AND c.y1 <= p.y1 ELSE s.strategy = 'year-slice-mean' OR (s.strategy IS NULL AND l.sliced IS NOT NULL) END"""),
-    "slice_mean": (("leaf_mean",), "SELECT concat(product_class, '_Y', CAST(yr AS STRING)) AS class, element_class, amount FROM leaf_mean WHERE amount > 0"),
+    "slice_mean": (("leaf_mean",), "SELECT (product_class || '_Y' || CAST(yr AS STRING)) AS class, element_class, amount FROM leaf_mean WHERE amount > 0"),
     # by height: slices of parents and classes from leaf slices, then parents from their slices
     "mean_1": (("slice_mean", "gate"), "SELECT g.parent AS class, m.element_class, AVG(m.amount) AS amount, COUNT(*) AS n_children FROM slice_mean m JOIN gate g ON m.class = g.child GROUP BY g.parent, m.element_class"),
     "mean_2": (("mean_1", "gate"), "SELECT g.parent AS class, m.element_class, AVG(m.amount) AS amount, COUNT(*) AS n_children FROM mean_1 m JOIN gate g ON m.class = g.child GROUP BY g.parent, m.element_class"),
     "gated_mean": (("mean_1", "mean_2"), "SELECT * FROM mean_1 UNION ALL SELECT * FROM mean_2"),
-    "slice_mass": (("item_mass",), "SELECT concat(product_class, '_Y', CAST(yr AS STRING)) AS class, mass FROM item_mass"),
+    "slice_mass": (("item_mass",), "SELECT (product_class || '_Y' || CAST(yr AS STRING)) AS class, mass FROM item_mass"),
     "mass_1": (("slice_mass", "gate"), "SELECT g.parent AS class, AVG(m.mass) AS mass, COUNT(*) AS n_children FROM slice_mass m JOIN gate g ON m.class = g.child GROUP BY g.parent"),
     "mass_2": (("mass_1", "gate"), "SELECT g.parent AS class, AVG(m.mass) AS mass, COUNT(*) AS n_children FROM mass_1 m JOIN gate g ON m.class = g.child GROUP BY g.parent"),
     "gated_mass": (("mass_1", "mass_2"), "SELECT * FROM mass_1 UNION ALL SELECT * FROM mass_2"),
