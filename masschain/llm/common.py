@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections import defaultdict
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -18,7 +20,8 @@ SPLIT = "[ \t-\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_root: list[str] = []
-_open_tables: list[str] = []
+_open_tables: dict[tuple[str, str], list[str]] = defaultdict(list)  # by session and scope
+_scopes = ["operators"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,21 +50,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def scratch_table(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
-    """df written to the shared folder and read again; if it stays, drop_scratch_tables leaves it."""
+@contextmanager
+def scratch_scope(name: str):
+    """Scratch tables written inside belong to this scope."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again; it stays until its scope's tables are dropped."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not stays:
-        _open_tables.append(path)
+    _open_tables[spark.sparkContext.applicationId, _scopes[-1]].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch_tables(spark: SparkSession) -> None:
-    """Deletes the scratch tables written so far; for callers that hold no lazy result over them."""
+def drop_scratch_tables(spark: SparkSession, scope: str = "operators") -> None:
+    """Deletes the scratch tables of this session and scope; for callers that hold no lazy result over them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _open_tables:
-        path = jvm.org.apache.hadoop.fs.Path(_open_tables.pop())
+    paths = _open_tables.pop((spark.sparkContext.applicationId, scope), [])
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -149,6 +149,9 @@ def with_verdicts(df: DataFrame) -> DataFrame:
             known, F.array().cast("array<double>"),
         )
 
+    # helper columns start with `__`; an input column that does too goes under another name meanwhile
+    held = {c: f"own{i}:{c}" for i, c in enumerate(df.columns) if c.startswith("__")}
+    df = df.withColumnsRenamed(held)
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     own = [c for c in df.columns if c not in (*results, "base_failed", "char_distance", "word_distance", "kept")]
     featured = with_features(df)
@@ -162,11 +165,12 @@ def with_verdicts(df: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn(
         "kept", (F.col("__row") >= 0) & ~F.col("base_failed") & (F.col("char_distance") <= MOST_CHAR_DISTANCE) & (F.col("word_distance") <= MOST_WORD_DISTANCE)
-    ).drop("__row")
+    ).drop("__row").withColumnsRenamed({v: k for k, v in held.items()})
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
     return with_verdicts(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
     )
