@@ -155,7 +155,8 @@ def with_ctes(body: str, known: dict | None = None) -> str:
 
     def visit(name: str) -> None:
         for other in known[name][0]:
-            visit(other)
+            if other in known:
+                visit(other)
         if name not in needed:
             needed.append(name)
 

@@ -22,12 +22,24 @@ ORDER = {
 _written: dict[tuple, str] = {}
 
 
+#: The projection above leaf slices, which it takes as given.
+ABOVE_LEAVES = {k: v for k, v in tables.CTES.items() if k not in ("leaf_mean", "item_mass")} | {"scopes": ((), "SELECT DISTINCT product_class, product_parent, yr FROM item_mass")}
+
+
+def above_leaves(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
+    """A query over means above leaf slices, from the served tables of these."""
+    text = tables.with_ctes(body, ABOVE_LEAVES)
+    return tables.run(spark, sf_dir, text, leaf_mean=served(spark, sf_dir, "leaf_mean"), item_mass=served(spark, sf_dir, "item_mass"))
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the view, not yet written."""
     if name == "closure":
         from masschain.operators import graph
 
         return graph.closure_with_depth(tables.run(spark, sf_dir, tables.CTES["taxonomy"][1]))
+    if name in ("gated_mean", "gated_mass"):
+        return above_leaves(spark, sf_dir, f"SELECT * FROM {name}")
     return tables.run(spark, sf_dir, tables.with_ctes(f"SELECT * FROM {name}"))
 
 
