@@ -113,7 +113,7 @@ def _fact_files(spark: SparkSession, sf_dir: str) -> str:
     """Fact files by source, a folder for each, and a sidecar beside them."""
     path = shared.new_path(spark, "fact-files")
     cells = tables.sql_query(_CELLS)(spark, sf_dir)
-    marked = cells.withColumnRenamed(FACT_COLUMNS[0], f"﻿{FACT_COLUMNS[0]}").withColumn("source", F.concat(F.lit("elv_"), "reference"))
+    marked = cells.withColumnRenamed(FACT_COLUMNS[0], f"\ufeff{FACT_COLUMNS[0]}").withColumn("source", F.concat(F.lit("elv_"), "reference"))
     marked.write.option("header", True).option("emptyValue", "").partitionBy("source").csv(f"{path}/facts")
     return path
 
