@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as rules
+from . import vector_codes as codes
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = r"[ \t\n\x0b\f\r]+"
@@ -58,4 +59,23 @@ far AS (SELECT f.*, CASE WHEN word_chars >= {rules.MIN_CHARS} THEN round(coalesc
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND char_distance <= {rules.MOST_CHAR_DISTANCE} AND word_distance <= {rules.MOST_WORD_DISTANCE} AS kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM far"""
 
 
-ORACLE_SQL = {"op2_quality_rules": quality(), "op4_repeated_strings": REPEATED_STRINGS, "op5_near_duplicates": NEAR_DUPLICATES}
+def vector_codes_sql() -> str:
+    """Integer parts, squared distances to all entries, floors of means, twice; then codes and errors."""
+    parts, entries = codes.PARTS, codes.ENTRIES
+    distance = "list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i])))"
+    near = lambda k: f"""n{k} AS (SELECT p.r, p.p, any_value(p.v) AS v, MIN([CAST({distance} AS BIGINT), b.e]) AS m FROM p JOIN b{k} b ON p.p = b.p GROUP BY p.r, p.p)"""
+    books = lambda k: f"""s{k} AS (SELECT p, e, i, CAST(floor(CAST(SUM(x) AS DOUBLE) / COUNT(*)) AS BIGINT) AS x FROM (SELECT p, m[2] AS e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM n{k - 1}) y GROUP BY p, e, i),
+b{k} AS (SELECT b.p, b.e, coalesce(s.v, b.v) AS v FROM b{k - 1} b LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS v FROM s{k} GROUP BY p, e) s ON b.p = s.p AND b.e = s.e)"""
+    rounds = "".join(f"{books(k)},\n{near(k)},\n" for k in range(1, codes.ROUNDS + 1))
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * {codes.SCALE}) AS BIGINT)) AS x
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT r, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS v FROM (SELECT r, x, unnest(range({parts})) AS p FROM k) y),
+b0 AS (SELECT p, r - 1 AS e, v FROM p WHERE r <= {entries}),
+{near(0)},
+{rounds}
+c AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, CAST(SUM(m[1]) AS BIGINT) AS error FROM n{codes.ROUNDS} n JOIN k ON n.r = k.r GROUP BY k.r, k.vec_id, k.label),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM b{codes.ROUNDS}) y)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM c, h"""
+
+
+ORACLE_SQL = {"op13_vector_codes": vector_codes_sql(), "op2_quality_rules": quality(), "op4_repeated_strings": REPEATED_STRINGS, "op5_near_duplicates": NEAR_DUPLICATES}
