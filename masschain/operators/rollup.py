@@ -13,12 +13,8 @@ SQL = {
     "path_fraction": "SELECT ord, element_class, round(MAX(f), 9) AS best_path FROM path GROUP BY 1, 2",
     "level_rollup_check": "SELECT r.ord, r.element_class, abs(r.amount - c.amount) < 1.0E-9 AS equal FROM reach r JOIN (SELECT pc.ord, k.element_class, SUM(pc.best * k.amount) AS amount FROM pc JOIN (SELECT cm.ord, cm.sup, me.element_class, SUM(cm.best * me.best) AS amount FROM cm JOIN me ON cm.ord = me.ord AND cm.sup = me.sup AND cm.prt = me.prt GROUP BY 1, 2, 3) k ON pc.ord = k.ord AND pc.sup = k.sup GROUP BY 1, 2) c ON r.ord = c.ord AND r.element_class = c.element_class",
     "class_leaf_mean": "SELECT product_class, yr, element_class, round(amount, 9) AS amount FROM leaf_mean",
-    "class_ancestor_mean": "SELECT class, element_class, round(amount, 9) AS amount, n_children FROM gated_mean",
     "parent_gate": "SELECT parent, child FROM gate",
-    "item_mass_mean": "SELECT class, round(mass, 6) AS mass, n_children FROM gated_mass",
     "rss_combine": "SELECT s.material_class, round(sqrt(SUM(power(s.elem_best * s.sigma_rel, 2))) / nullif(SUM(s.elem_best), 0), 9) AS rel FROM stmt s GROUP BY 1",
-    "class_uncertainty": "SELECT t.product_class, t.yr, t.element_class, round(sqrt(SUM(power(t.f * t.sigma_rel, 2))) / SUM(t.f), 9) AS rel FROM ppath t GROUP BY 1, 2, 3",
-    "class_dq": "SELECT t.product_class, t.element_class, round(SUM(t.f * t.mean_dq) / SUM(t.f), 9) AS mean_dq, MAX(t.dqs) AS dqs FROM ppath t GROUP BY 1, 2",
     "nodes_uncertainty_mean": "SELECT component_class, round(sqrt(SUM(power(elem_best * sigma_rel, 2))) / COUNT(*) / (SUM(elem_best) / COUNT(*)), 9) AS rel FROM stmt GROUP BY component_class",
     "nodes_uncertainty_weighted": "SELECT component_class, round(sqrt(SUM(power(elem * sigma * kg, 2))) / SUM(elem * kg), 9) AS rel FROM (SELECT s.component_class, s.sigma_rel AS sigma, s.elem_best AS elem, s.kg FROM stmt s) t GROUP BY 1",
     "nodes_material_uncertainty": "SELECT s.component_class, s.material_class, round(sqrt(SUM(power(s.kg * s.sigma_rel, 2))) / SUM(s.kg), 9) AS rel FROM stmt s GROUP BY 1, 2",
@@ -31,12 +27,8 @@ SQL = {
     "amount_uncertainty_indirect": """SELECT t.product_class, t.element_class, round(sqrt(SUM(power(t.f * t.sigma_rel, 2))) / SUM(t.f), 9) AS rel FROM ppath t WHERE NOT EXISTS (SELECT 1 FROM (SELECT p.product_class, c.element_class FROM coarse c JOIN placed p ON c.ord = p.ord WHERE c.lo > 0.35 GROUP BY p.product_class, c.element_class) d
         WHERE d.product_class = t.product_class AND d.element_class = t.element_class) GROUP BY t.product_class, t.element_class""",
     "component_totals": "SELECT component_class, element_class, round(SUM(f2 * f3) / MIN(n), 9) AS amount FROM (SELECT t.component_class, t.element_class, t.f2, t.f3, n.n FROM path t JOIN (SELECT component_class, COUNT(*) AS n FROM comp GROUP BY 1) n ON t.component_class = n.component_class) x GROUP BY 1, 2",
-    "component_rollup": "SELECT x.component_parent, x.element_class, round(SUM(x.amount) / MIN(g.n), 9) AS amount FROM (SELECT c.component_parent, t.component_class, t.element_class, SUM(t.f2 * t.f3) / COUNT(DISTINCT concat(CAST(t.ord AS STRING), '_', CAST(t.sup AS STRING))) AS amount FROM path t JOIN comp c ON t.ord = c.ord AND t.sup = c.sup GROUP BY 1, 2, 3) x JOIN (SELECT component_parent, COUNT(DISTINCT component_class) AS n FROM comp GROUP BY 1) g ON x.component_parent = g.component_parent GROUP BY 1, 2",
     "scope_component_in_product": "SELECT concat(t.component_class, '_in_', p.product_class) AS scope_id, t.element_class, round(SUM(t.f2 * t.f3 * pc.part_mass) / SUM(pc.part_mass * t.f2), 9) AS amount FROM path t JOIN pc ON t.ord = pc.ord AND t.sup = pc.sup JOIN prod p ON t.ord = p.ord GROUP BY 1, 2",
     "scope_group_in_product": "SELECT c.component_parent, p.product_class, round(SUM(c.mass), 4) AS mass FROM comp c JOIN prod p ON c.ord = p.ord GROUP BY 1, 2",
-    "component_in_product": "SELECT p.product_class, e.component_class, round(SUM(e.best) / MIN(n.n), 9) AS share FROM pc e JOIN prod p ON e.ord = p.ord JOIN (SELECT product_class, COUNT(*) AS n FROM prod GROUP BY 1) n ON p.product_class = n.product_class GROUP BY 1, 2",
-    "material_in_product": "SELECT t.product_class, t.material_class, round(SUM(t.f1 * t.f2) / MIN(n.n), 9) AS share FROM ppath t JOIN (SELECT product_class, COUNT(*) AS n FROM prod GROUP BY 1) n ON t.product_class = n.product_class GROUP BY 1, 2",
-    "material_in_component": "SELECT m.component_class, m.material_class, round(SUM(c.best) / MIN(n.n), 9) AS share FROM cm c JOIN mat m ON c.ord = m.ord AND c.sup = m.sup AND c.prt = m.prt JOIN (SELECT component_class, COUNT(*) AS n FROM comp GROUP BY 1) n ON m.component_class = n.component_class GROUP BY 1, 2",
     "material_family_mass_weighted": "SELECT material_parent, element_class, round(SUM(kg * elem_best) / SUM(kg), 9) AS best, round(SUM(kg * lo) / SUM(kg), 9) AS lo, round(SUM(kg * hi) / SUM(kg), 9) AS hi FROM stmt GROUP BY material_parent, element_class",
     "mass_conservation": """SELECT level, whole, round(total, 9) AS total, total > 1 + 1.0E-6 AS overshoot FROM (SELECT 'Product' AS level, CAST(ord AS STRING) AS whole, SUM(best) AS total FROM pc GROUP BY ord
         UNION ALL SELECT 'Component', concat(CAST(ord AS STRING), '_', CAST(sup AS STRING)), SUM(kg * (1 - lim)) / SUM(kg) FROM stmt GROUP BY ord, sup UNION ALL SELECT 'Material', concat(CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), SUM(lo) FROM stmt GROUP BY ord, sup, prt) c""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from masschain.operators import cells, facts, graph, joins, lookups, plugins, questions, rollup, rules, sampling, search, served, textlog
+from masschain.operators import cells, facts, graph, heights, joins, lookups, plugins, questions, rollup, rules, sampling, search, served, textlog
 from masschain.sources import files
 from masschain.streaming import incremental, sources
 
@@ -20,10 +20,9 @@ for _part in (cells, facts, joins, lookups, questions, rollup, rules, sampling,
         QUERIES[_name] = sql_query(_spark)
         ORACLE_SQL[_name] = with_ctes(_ansi, CHECK_CTES)
 
-QUERIES |= graph.QUERIES | files.QUERIES | plugins.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
-ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | files.ORACLE | plugins.ORACLE | search.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
+QUERIES |= graph.QUERIES | heights.QUERIES | files.QUERIES | plugins.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
+ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | heights.ORACLE | files.ORACLE | plugins.ORACLE | search.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
 ORACLE_SQL |= plugins.FULL_ORACLE
 
-# means above leaf slices start from the served leaves
-for _name in ("class_ancestor_mean", "item_mass_mean", "parent_gate"):
-    QUERIES[_name] = partial(view.above_leaves, body=rollup.SQL[_name])
+# what stands above leaf slices starts from the served leaves
+QUERIES["parent_gate"] = partial(view.above_leaves, body=rollup.SQL["parent_gate"])

@@ -95,9 +95,9 @@ def ctes(rules: Ruleset = DEFAULT) -> dict[str, tuple[tuple[str, ...], str]]:
         "coarse": (("path",), "SELECT ord, element_class, SUM(kg_taxed * elem_best) / MIN(pmass) AS lo FROM path GROUP BY ord, element_class"),
         # fine and coarse sums of one pass, and of one element of each product a mark
         "levels": (("path",), """SELECT *, CAST(row_number() OVER (PARTITION BY ord ORDER BY element_class) = 1 AS INT) AS first
-            FROM (SELECT ord, element_class, SUM(f) AS amount, SUM(kg_taxed * elem_best) / MIN(pmass) AS lo, MIN(pmass) AS pmass FROM path GROUP BY ord, element_class)"""),
-        "leaf_mean": (("levels", "placed"), """SELECT product_class, product_parent, yr, element_class, total / SUM(firsts) OVER (PARTITION BY product_class, yr) AS amount
-            FROM (SELECT p.product_class, p.product_parent, p.yr, r.element_class, SUM(r.amount) AS total, SUM(r.first) AS firsts FROM levels r JOIN placed p ON r.ord = p.ord GROUP BY p.product_class, p.product_parent, p.yr, r.element_class)"""),
+            FROM (SELECT ord, element_class, SUM(f) AS amount, SUM(kg_taxed * elem_best) / MIN(pmass) AS lo, MIN(pmass) AS pmass, SUM(power(f * sigma_rel, 2)) AS variance, SUM(f * mean_dq) AS quality, MAX(dqs) AS dqs FROM path GROUP BY ord, element_class)"""),
+        "leaf_mean": (("levels", "placed"), """SELECT product_class, product_parent, yr, element_class, total / SUM(firsts) OVER (PARTITION BY product_class, yr) AS amount, rel, mean_dq, dqs
+            FROM (SELECT p.product_class, p.product_parent, p.yr, r.element_class, SUM(r.amount) AS total, SUM(r.first) AS firsts, sqrt(SUM(r.variance)) / nullif(SUM(r.amount), 0.0E0) AS rel, SUM(r.quality) / nullif(SUM(r.amount), 0.0E0) AS mean_dq, MAX(r.dqs) AS dqs FROM levels r JOIN placed p ON r.ord = p.ord GROUP BY p.product_class, p.product_parent, p.yr, r.element_class)"""),
         "item_mass": (("prod",), "SELECT product_class, product_parent, yr, AVG(mass) AS mass, COUNT(*) AS n FROM prod GROUP BY product_class, product_parent, yr"),
         "ancestor_mean": (("leaf_mean",), "SELECT product_parent, yr, element_class, AVG(amount) AS amount, COUNT(*) AS n_children FROM leaf_mean GROUP BY product_parent, yr, element_class"),
         "scopes": (("placed",), "SELECT DISTINCT product_class, product_parent, yr FROM placed WHERE ord IN (SELECT l_orderkey FROM lineitem)"),
@@ -133,8 +133,10 @@ def check_ctes(rules: Ruleset = DEFAULT) -> dict[str, tuple[tuple[str, ...], str
         "levels": (("reach", "coarse", "prod_mass"), "SELECT r.ord, r.element_class, r.amount, c.lo, p.mass AS pmass FROM reach r JOIN coarse c ON r.ord = c.ord AND r.element_class = c.element_class JOIN prod_mass p ON r.ord = p.ord"),
         "n_products": (("prod",), "SELECT product_class, yr, COUNT(*) AS n FROM prod GROUP BY product_class, yr"),
         "n_components": (("comp",), "SELECT component_class, COUNT(*) AS n FROM comp GROUP BY component_class"),
-        "leaf_mean": (("reach", "prod", "n_products"), """SELECT p.product_class, p.product_parent, p.yr, r.element_class, SUM(r.amount) / MIN(n.n) AS amount FROM reach r JOIN prod p ON r.ord = p.ord
+        "leaf_amount": (("reach", "prod", "n_products"), """SELECT p.product_class, p.product_parent, p.yr, r.element_class, SUM(r.amount) / MIN(n.n) AS amount FROM reach r JOIN prod p ON r.ord = p.ord
             JOIN n_products n ON p.product_class = n.product_class AND p.yr = n.yr GROUP BY p.product_class, p.product_parent, p.yr, r.element_class"""),
+        "leaf_quality": (("ppath",), """SELECT product_class, yr, element_class, sqrt(SUM(power(f * sigma_rel, 2))) / SUM(f) AS rel, SUM(f * mean_dq) / SUM(f) AS mean_dq, MAX(dqs) AS dqs FROM ppath GROUP BY product_class, yr, element_class"""),
+        "leaf_mean": (("leaf_amount", "leaf_quality"), """SELECT a.*, q.rel, q.mean_dq, q.dqs FROM leaf_amount a JOIN leaf_quality q ON a.product_class = q.product_class AND a.yr = q.yr AND a.element_class = q.element_class"""),
         "item_mass": (("prod",), "SELECT product_class, product_parent, yr, SUM(mass) / COUNT(*) AS mass, COUNT(*) AS n FROM prod GROUP BY product_class, product_parent, yr"),
         "ancestor_mean": (("leaf_mean",), "SELECT product_parent, yr, element_class, SUM(amount) / COUNT(*) AS amount, COUNT(*) AS n_children FROM leaf_mean GROUP BY product_parent, yr, element_class"),
         "scopes": (("prod",), "SELECT DISTINCT product_class, product_parent, yr FROM prod"),

@@ -39,7 +39,9 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
         return graph.closure_with_depth(tables.run(spark, sf_dir, tables.CTES["taxonomy"][1]))
     if name in ("gated_mean", "gated_mass"):
-        return above_leaves(spark, sf_dir, f"SELECT * FROM {name}")
+        from masschain.operators import heights
+
+        return (heights.class_means if name == "gated_mean" else heights.class_masses)(spark, sf_dir)
     return tables.run(spark, sf_dir, tables.with_ctes(f"SELECT * FROM {name}"))
 
 
