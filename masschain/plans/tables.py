@@ -59,6 +59,8 @@ _SLICES = {
 }
 #: What is written once and looked up: see view.py.
 SERVED = ("leaf_mean", "item_mass", "gated_mean", "gated_mass", "closure", "component_share", "material_share", "scope_amount")
+#: Small tables of classes that many queries read: Spark takes them from the view under their own names.
+SERVED_CLASSES = ("closure", "scopes", "gate")
 _SHARES = {
     "component_share": (("pc", "placed", "n_products"), """SELECT p.product_class, p.product_parent, p.yr, e.component_class, SUM(e.best) / MIN(n.n) AS share, AVG(e.best) AS mean_share, COUNT(*) AS n FROM pc e JOIN placed p ON e.ord = p.ord
         JOIN n_products n ON p.product_class = n.product_class AND p.yr = n.yr GROUP BY p.product_class, p.product_parent, p.yr, e.component_class"""),
@@ -186,14 +188,14 @@ def run(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> Dat
 
 def sql_query(body: str, rules: Ruleset | None = None) -> Callable[[SparkSession, str], DataFrame]:
     """A query over the base tables, the projection and the served view (v_ names)."""
-    text = with_ctes(body, CTES if rules is None else ctes(rules))
+    known = CTES if rules is None else ctes(rules)
+    text = with_ctes(body, {k: v for k, v in known.items() if k not in SERVED_CLASSES})
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         from . import view
 
         served = {f"v_{t}": view.served(spark, sf_dir, t) for t in SERVED if re.search(rf"(?:FROM|JOIN)\s+v_{t}\b", text)}
-        if re.search(r"(?:FROM|JOIN)\s+closure\b", text):
-            served["closure"] = view.served(spark, sf_dir, "closure")
+        served |= {t: view.served(spark, sf_dir, t) for t in SERVED_CLASSES if re.search(rf"(?:FROM|JOIN)\s+{t}\b", text)}
         return run(spark, sf_dir, text, **served)
 
     return query

@@ -8,6 +8,8 @@ a part of one. The tables lie in the session's shared folder and stay until drop
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import shared, tables
@@ -16,20 +18,21 @@ from . import shared, tables
 ORDER = {
     "leaf_mean": ("product_class", "yr", "element_class"), "item_mass": ("product_class", "yr"), "gated_mean": ("class", "element_class"), "gated_mass": ("class",),
     "closure": ("ancestor", "descendant"), "component_share": ("component_class", "product_class", "yr"), "material_share": ("component_class", "material_class"),
-    "scope_amount": ("component_class", "product_class", "element_class"),
+    "scope_amount": ("component_class", "product_class", "element_class"), "scopes": ("product_class", "yr"), "gate": ("parent", "child"),
 }
 
 _written: dict[tuple, str] = {}
 
 
 #: The projection above leaf slices, which it takes as given.
-ABOVE_LEAVES = {k: v for k, v in tables.CTES.items() if k not in ("leaf_mean", "item_mass")} | {"scopes": ((), "SELECT DISTINCT product_class, product_parent, yr FROM item_mass")}
+ABOVE_LEAVES = {k: v for k, v in tables.CTES.items() if k not in ("leaf_mean", "item_mass", *tables.SERVED_CLASSES)}
 
 
 def above_leaves(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     """A query over means above leaf slices, from the served tables of these."""
     text = tables.with_ctes(body, ABOVE_LEAVES)
-    return tables.run(spark, sf_dir, text, leaf_mean=served(spark, sf_dir, "leaf_mean"), item_mass=served(spark, sf_dir, "item_mass"))
+    names = [t for t in ("leaf_mean", "item_mass", "scopes", "gate") if re.search(rf"(?:FROM|JOIN)\s+{t}\b", text)]
+    return tables.run(spark, sf_dir, text, **{t: served(spark, sf_dir, t) for t in names})
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,10 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         from masschain.operators import graph
 
         return graph.closure_with_depth(tables.run(spark, sf_dir, tables.CTES["taxonomy"][1]))
+    if name == "scopes":
+        return above_leaves(spark, sf_dir, "SELECT DISTINCT product_class, product_parent, yr FROM item_mass")
+    if name == "gate":
+        return above_leaves(spark, sf_dir, tables.CTES["gate"][1])
     if name in ("gated_mean", "gated_mass"):
         from masschain.operators import heights
 
