@@ -103,9 +103,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = []
+#: Spans are hashed by polynomials modulo this prime, at two places chosen at random for each hash.
+PRIME = np.uint64((1 << 31) - 1)
+_BASES = [int(v) for v in np.random.default_rng(20240817).integers(1 << 20, (1 << 31) - 2, 4)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -118,31 +119,49 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0][:n], _powers[1][:n]
-
-
-#: A value for each byte, for hashes that shall not collide where plain ones do.
-SECOND = np.random.default_rng(20240817).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def prefix_hash(data: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-    """S with S[j]-S[i] = the hash of data[i:j] times base^i; see span_hash. table: the bytes' values, else 1 to 256."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    values = data.astype(np.uint64) + np.uint64(1) if table is None else table[data]
-    np.cumsum(values * powers(len(data))[0], out=out[1:])
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME but for a multiple of it; below 2^34 for any x, and about 2^31 for x below 2^62."""
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo PRIME for i < n."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        both = []
+        for b in (base, pow(base, -1, int(PRIME))):
+            out = np.ones(size, np.uint64)
+            known = 1
+            while known < size:
+                out[known : 2 * known] = out[:known] * np.uint64(pow(b, known, int(PRIME))) % PRIME
+                known *= 2
+            both.append(out)
+        _powers[base] = tuple(both)
+    up, down = _powers[base]
+    return up[:n], down[:n]
+
+
+def prefix_hash(data: np.ndarray, second: bool = False) -> list[tuple[int, np.ndarray]]:
+    """For span_hash: (base, S) with S[j] - S[i] = the sum of byte values times base^place over data[i:j]. second: another hash, of other bases."""
+    values = data.astype(np.uint64) + np.uint64(1)
+    out = []
+    for base in _BASES[2:] if second else _BASES[:2]:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_folded(values * powers(base, len(data))[0]), out=sums[1:])
+        out.append((base, sums))
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end), the same wherever the bytes stand."""
-    return mix64((sums[end] - sums[start]) * powers(len(sums))[1][start])
+def span_hash(sums: list[tuple[int, np.ndarray]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end), the same wherever the bytes stand.
+
+    Two unlike spans of n bytes agree at both places with a chance of (n / 2^31)^2 at most, whatever they hold.
+    """
+    packed = np.zeros(len(start), np.uint64)
+    for base, s in sums:
+        value = _folded(s[end] - s[start]) % PRIME * powers(base, len(s))[1][start] % PRIME
+        packed = (packed << np.uint64(32)) | value
+    return mix64(packed)
 
 
 def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,13 @@
 """Op 7: document fingerprints by threshold-scaled sketches.
 
 A sketch keeps the hashes of word shingles below a fixed fraction of the hash range, and
-always the smallest one, so that no text with a word has an empty sketch. Sketches of
-texts of very different sizes compare, and merge by union. Likeness is the share of
-common hashes in the union of two sketches (1 for two empty ones), containment that in
-the smaller one.
+nothing else, so that the union of two sketches is the sketch of both texts' shingles, and
+what is kept of a short text is kept of a long one that holds it. Likeness is the share of common hashes in
+the union of two sketches, containment that in the smaller one.
+
+Short texts may keep no hash. The smallest hash of a text stands beside its sketch for that:
+two texts that keep none compare by it (1 if equal, 0 if not; two texts without words are alike). The
+fingerprint lists the kept hashes, or that one after a `+`.
 
 The next document in ascending order of ids is found without a global sort in one task:
 narrow rows (id, length, hash of the text) are range-partitioned and written, each
@@ -30,7 +33,10 @@ ROWS_PER_RANGE = 100_000
 
 
 def sketch(text: Column, k: int = SHINGLE, fraction: int = FRACTION) -> Column:
-    """Sorted array<bigint> of the hashes kept; of fewer than k words, the whole sequence is one shingle."""
+    """struct(kept: sorted array<bigint> of the hashes below the threshold, least: the smallest hash of all).
+
+    Of fewer than k words, the whole sequence is one shingle; without words least is null.
+    """
 
     def hashes(w: Column) -> Column:
         whole = F.array(F.xxhash64(F.array_join(w, " ")))
@@ -39,24 +45,34 @@ def sketch(text: Column, k: int = SHINGLE, fraction: int = FRACTION) -> Column:
 
     below = -(1 << 63) + (1 << 64) // fraction
     bound = F.transform(F.array(common.words_of(text)), hashes)
-    kept = F.transform(bound, lambda h: F.concat(F.filter(h, lambda x: x < below), F.array_compact(F.array(F.array_min(h)))))
-    return F.element_at(F.transform(kept, lambda h: F.array_sort(F.array_distinct(h))), 1)
+    kept = lambda h: F.array_sort(F.array_distinct(F.filter(h, lambda x: x < below)))
+    return F.element_at(F.transform(bound, lambda h: F.struct(kept(h).alias("kept"), F.array_min(h).alias("least"))), 1)
+
+
+def _by_least(a: Column, b: Column) -> Column:
+    return a["least"].eqNullSafe(b["least"]).cast("double")
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of all shingles of two texts."""
+    return F.struct(F.array_sort(F.array_union(a["kept"], b["kept"])).alias("kept"), F.least(a["least"], b["least"]).alias("least"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """|a and b| / |a or b| of two sketches."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    union = F.size(F.array_union(a["kept"], b["kept"]))
+    return F.when(union == 0, _by_least(a, b)).otherwise(F.size(F.array_intersect(a["kept"], b["kept"])) / union)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """|a and b| / the smaller of |a| and |b|."""
-    smaller = F.least(F.size(a), F.size(b))
-    return F.when(smaller == 0, (F.size(a) == F.size(b)).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / smaller)
+    """|a and b| / the smaller of |a| and |b|; where that keeps nothing, 1 if the smallest hashes agree, else null: unknown."""
+    smaller = F.least(F.size(a["kept"]), F.size(b["kept"]))
+    return F.when(smaller == 0, F.when(a["least"].eqNullSafe(b["least"]), F.lit(1.0))).otherwise(F.size(F.array_intersect(a["kept"], b["kept"])) / smaller)
 
 
 def as_text(sketch_: Column) -> Column:
-    return F.array_join(F.transform(sketch_, lambda h: F.hex(h)), ",")
+    listed = F.array_join(F.transform(sketch_["kept"], lambda h: F.hex(h)), ",")
+    return F.when(F.size(sketch_["kept"]) > 0, listed).otherwise(F.coalesce(F.concat(F.lit("+"), F.hex(sketch_["least"])), F.lit("")))
 
 
 def followers(narrow: DataFrame) -> DataFrame:

@@ -131,7 +131,14 @@ class Encoder:
         if len(start):
             score[full] = np.add.reduceat(self.score[slot], row_of[:-1][full])
         exact = self._decodes(ids, count, body, led)
-        return ids, count, score, byte_pieces, exact
+        if exact.all():
+            return ids, count, score, byte_pieces, exact
+        # two unlike segments of one hash: all segments are solved by themselves
+        ids, each, scores, bare = self.solve(body, start, end - start)
+        self._forget()
+        count, byte_pieces = _sums(each, row_of), _sums(bare, row_of)
+        score[full] = np.add.reduceat(scores, row_of[:-1][full])
+        return ids, count, score, byte_pieces, self._decodes(ids, count, body, led)
 
     def _decodes(self, ids: np.ndarray, count: np.ndarray, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Whether the ids of each row are its bytes."""

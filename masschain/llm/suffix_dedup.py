@@ -225,8 +225,8 @@ def window_digests(blocks: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     place = np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
     start = (np.cumsum(sizes) - sizes)[block] + place
     pair = np.empty((len(start), 2), ">u8")
-    for i, table in enumerate((None, common.SECOND)):
-        pair[:, i] = common.span_hash(common.prefix_hash(data, table), start, start + length)
+    for i, second in enumerate((False, True)):
+        pair[:, i] = common.span_hash(common.prefix_hash(data, second), start, start + length)
     digest, first = np.unique(pair.reshape(-1).view("S16"), return_index=True)
     return digest, block[first], place[first]
 

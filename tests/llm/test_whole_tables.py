@@ -4,6 +4,7 @@ import collections
 import math
 import os
 import re
+import random
 import zlib
 
 import duckdb
@@ -66,11 +67,20 @@ def sketch_of(text, k=fingerprints.SHINGLE, fraction=fingerprints.FRACTION):
     words = words_of(text)
     hashes = [hash64(*words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [hash64(" ".join(words))] if words else []
     own = {signed(h) for h in hashes}
-    return {h for h in own if h < -SIGN + 2 * SIGN // fraction} | ({min(own)} if own else set())
+    return {h for h in own if h < -SIGN + 2 * SIGN // fraction}, min(own, default=None)
 
 
 def alike(a, b):
-    return len(a & b) / len(a | b) if a | b else 1.0
+    return len(a[0] & b[0]) / len(a[0] | b[0]) if a[0] | b[0] else float(a[1] == b[1])
+
+
+def contained(a, b):
+    smaller = min(len(a[0]), len(b[0]))
+    return len(a[0] & b[0]) / smaller if smaller else 1.0 if a[1] == b[1] else None
+
+
+def shown(s):
+    return ",".join(f"{h % (2 * SIGN):X}" for h in sorted(s[0])) or (f"+{s[1] % (2 * SIGN):X}" if s[1] is not None else "")
 
 
 def test_fingerprints_match_plain_python(spark, given):
@@ -79,11 +89,29 @@ def test_fingerprints_match_plain_python(spark, given):
     for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
         part = len(text) // 4
         edited = sketch_of(text[: len(text) - part] + following[:part])
-        shown = lambda s: ",".join(f"{h % (2 * SIGN):X}" for h in sorted(s))
         own = sketch_of(text)
-        expected[i] = (shown(own), shown(edited), alike(own, edited), alike(own, sketch_of(following)))
-    found = {r["doc_id"]: (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in fingerprints.fingerprints(given).collect()}
-    assert found == {i: (a, b, pytest.approx(c), pytest.approx(d)) for i, (a, b, c, d) in expected.items()}
+        after = sketch_of(following)
+        expected[i] = (shown(own), shown(edited), alike(own, edited), alike(own, after), contained(own, edited), contained(own, after))
+    found = {r["doc_id"]: (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"], r["contained_edited"], r["contained_next"]) for r in fingerprints.fingerprints(given).collect()}
+    assert found == {i: (a, b, *(v if v is None else pytest.approx(v) for v in rest)) for i, (a, b, *rest) in expected.items()}
+
+
+def test_sketches_merge_by_union_and_show_texts_inside_others(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    pairs = []
+    for _ in range(30):
+        short, long_ = words(40), words(3000)
+        at = rng.randrange(len(long_))
+        pairs.append((" ".join(short), " ".join(long_[:at] + short + long_[at:]), " ".join(words(60))))
+    a, b, c = (fingerprints.sketch(F.col(x)) for x in "abc")
+    df = spark.createDataFrame(pairs, "a string, b string, c string").select(
+        fingerprints.containment(a, b).alias("inside"), F.size(a["kept"]).alias("n"), a.alias("a"), c.alias("c"), fingerprints.merged(a, c).alias("both")
+    )
+    rows = df.collect()
+    assert sum(r["n"] > 0 for r in rows) > 20 and all(r["inside"] == 1.0 for r in rows if r["n"]) and all(r["inside"] is None for r in rows if not r["n"])
+    for r in rows:
+        assert r["both"]["kept"] == sorted({*r["a"]["kept"], *r["c"]["kept"]}) and r["both"]["least"] == min(r["a"]["least"], r["c"]["least"])
 
 
 def test_fingerprint_of_the_largest_id_beside_a_null_one(spark):
