@@ -38,28 +38,29 @@ def fixpoint_closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFr
 
 
 def roots_of(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(node, root) for each child of edges (child, parent), by pointer jumping; a child with several parents has all their roots.
+    """(node, root) for each child of edges (child, parent), by pointer doubling; a child with several parents has all their roots.
 
-    Rounds follow the logarithm of the depth. Nodes on a cycle have no root and no row.
+    Every node points to its parents, roots to themselves. Each round replaces pointers by the
+    pointers of what they name, so that they reach 2^round edges up and rounds follow the logarithm of the depth.
+    Pointers into cycles go round and never reach a root: those still open once paths are longer
+    than there are nodes are dropped. A node that leads only into a cycle has no root and no row.
     """
     shared.checkpoint_folder(edges.sparkSession)
-    step = edges.select("child", "parent").filter("child != parent").distinct().checkpoint()
-    tops = step.select(F.col("parent").alias("node")).distinct().join(step.select(F.col("child").alias("node")), "node", "left_anti")
-    found = tops.select("node", F.col("node").alias("root")).checkpoint()
-    at = step.select(F.col("child").alias("node"), F.col("parent").alias("up"))
-    out = None
-    for _ in range(most_rounds):
-        done = at.join(found.withColumnsRenamed({"node": "up"}), "up").select("node", "root").distinct().checkpoint()
-        out = done if out is None else out.unionByName(done).distinct()
-        open_ = at.join(tops.withColumnRenamed("node", "up"), "up", "left_anti")
-        jump = step.select(F.col("child").alias("up"), F.col("parent").alias("next"))
-        at = open_.join(jump, "up").select("node", F.col("next").alias("up")).distinct().checkpoint()
-        if at.isEmpty():
-            return out.distinct()
-    raise RuntimeError(f"a path of more than {most_rounds} edges, or a cycle")
-
-
-def granular_reach(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    step = edges.select(F.col("child").alias("node"), F.col("parent").alias("up")).filter("node != up").distinct().checkpoint()
+    tops = step.select(F.col("up").alias("node")).distinct().join(step.select("node"), "node", "left_anti").checkpoint()
+    at = step.join(tops.select(F.col("node").alias("up"), F.lit(True).alias("done")), "up", "left").select("node", "up", F.coalesce("done", F.lit(False)).alias("done")).checkpoint()
+    nodes = step.select("node").distinct().count()
+    for k in range(most_rounds):
+        open_ = at.filter("NOT done")
+        if open_.isEmpty() or 2**k > nodes:  # no simple path is longer: what is open goes round
+            return at.filter("done").select("node", F.col("up").alias("root")).distinct()
+        jump = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("done").alias("there"))
+        moved = open_.join(jump, "up").select("node", F.col("next").alias("up"), F.col("there").alias("done"))
+        at = at.filter("done").unionByName(moved).distinct().checkpoint()
+    raise RuntimeError(f"pointers did not settle in {most_rounds} rounds")
+
+
+def granular_reach(edges: DataFrame) -> DataFrame:
     """Paths (whole, part, fraction, depth, levels) over edges (whole, part, best, whole_rank, part_rank) whose ranks step by 0 or 1.
 
     Paths grow by one edge a round until none can; one that would meet a node again ends.
@@ -69,13 +70,12 @@ def granular_reach(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFram
     reach = step.select("whole", "part", F.col("best").alias("fraction"), F.lit(1).alias("depth"), F.array("whole", "part").alias("met"), F.array("part_rank").alias("levels")).checkpoint()
     out = reach
     onward = step.select(F.col("whole").alias("part"), F.col("part").alias("next"), "best", "part_rank")
-    for _ in range(most_rounds):
+    while True:  # a path meets each node once, so it ends
         longer = reach.join(onward, "part").filter(~F.array_contains("met", F.col("next")))
         reach = longer.select("whole", F.col("next").alias("part"), (F.col("fraction") * F.col("best")).alias("fraction"), (F.col("depth") + 1).alias("depth"), F.array_append("met", F.col("next")).alias("met"), F.array_append("levels", F.col("part_rank")).alias("levels")).checkpoint()
         if reach.isEmpty():
             return out.drop("met")
         out = out.unionByName(reach)
-    raise RuntimeError(f"a path of more than {most_rounds} edges")
 
 
 def node_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,8 +63,6 @@ SQL = {
         WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM item_mass m WHERE m.product_class = d.subject AND m.yr = 1992 AND m.n > 5)""",
     "slice_span": "SELECT product_class, MIN(yr) AS y0, MAX(yr) AS y1 FROM prod GROUP BY 1",
     "rank_check": "SELECT product_class, yr, bool_and(ok) AS ordered FROM (SELECT product_class, yr, coalesce(lag(mass) OVER (PARTITION BY product_class, yr ORDER BY mass DESC, ord), 1.0E300) >= mass AS ok FROM prod) t GROUP BY product_class, yr",
-    "composition_fingerprint": "SELECT product_class, yr, COUNT(*) AS n, round(SUM(amount), 9) AS total FROM leaf_mean GROUP BY 1, 2",
-    "year_run_islands": "SELECT product_class, element_class, MIN(yr) AS y0, MAX(yr) AS y1, COUNT(*) AS n FROM (SELECT product_class, element_class, yr, yr - CAST(row_number() OVER (PARTITION BY product_class, element_class, CAST(floor(amount * 20) AS INT) ORDER BY yr) AS INT) AS island, CAST(floor(amount * 20) AS INT) AS grade FROM leaf_mean) t GROUP BY product_class, element_class, grade, island",
     "percentile_interp": ("""SELECT product_parent, MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 0 OR upto = n THEN mass END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 1 OR upto = n THEN mass END) - MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 0 OR upto = n THEN mass END)) * (MIN((n - 1) * 0.5E0) - floor(MIN((n - 1) * 0.5E0))) AS p50, MIN(CASE WHEN upto > floor((n - 1) * 0.95E0) + 0 OR upto = n THEN mass END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.95E0) + 1 OR upto = n THEN mass END) - MIN(CASE WHEN upto > floor((n - 1) * 0.95E0) + 0 OR upto = n THEN mass END)) * (MIN((n - 1) * 0.95E0) - floor(MIN((n - 1) * 0.95E0))) AS p95 FROM (SELECT product_parent, mass, SUM(k) OVER (PARTITION BY product_parent ORDER BY mass) AS upto, SUM(k) OVER (PARTITION BY product_parent) AS n FROM (SELECT product_parent, mass, COUNT(*) AS k FROM prod WHERE mass IS NOT NULL GROUP BY product_parent, mass) c) u GROUP BY product_parent""", "SELECT product_parent, quantile_cont(mass, 0.5) AS p50, quantile_cont(mass, 0.95) AS p95 FROM prod GROUP BY 1"),
     "median_iqr": ("""SELECT event_type, MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 0 OR upto = n THEN value END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 1 OR upto = n THEN value END) - MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 0 OR upto = n THEN value END)) * (MIN((n - 1) * 0.5E0) - floor(MIN((n - 1) * 0.5E0))) AS median, (MIN(CASE WHEN upto > floor((n - 1) * 0.75E0) + 0 OR upto = n THEN value END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.75E0) + 1 OR upto = n THEN value END) - MIN(CASE WHEN upto > floor((n - 1) * 0.75E0) + 0 OR upto = n THEN value END)) * (MIN((n - 1) * 0.75E0) - floor(MIN((n - 1) * 0.75E0)))) - (MIN(CASE WHEN upto > floor((n - 1) * 0.25E0) + 0 OR upto = n THEN value END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.25E0) + 1 OR upto = n THEN value END) - MIN(CASE WHEN upto > floor((n - 1) * 0.25E0) + 0 OR upto = n THEN value END)) * (MIN((n - 1) * 0.25E0) - floor(MIN((n - 1) * 0.25E0)))) AS iqr FROM (SELECT event_type, value, SUM(k) OVER (PARTITION BY event_type ORDER BY value) AS upto, SUM(k) OVER (PARTITION BY event_type) AS n FROM (SELECT event_type, value, COUNT(*) AS k FROM events WHERE value IS NOT NULL GROUP BY event_type, value) c) u GROUP BY event_type""", "SELECT event_type, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events GROUP BY 1"),
 }

@@ -41,6 +41,22 @@ def test_roots_over_several_depths(spark):
     assert found == {("e", "p"), ("e", "q"), ("m", "p"), ("m2", "p"), ("c", "p"), ("c2", "q")}
 
 
+def test_roots_of_a_long_chain_and_beside_cycles(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(1000)]
+    cycle = [("a", "b"), ("b", "c"), ("c", "a"), ("into", "a"), ("both", "a"), ("both", "n3"), ("c", "c"), ("leaf", "top"), ("b", "top")]
+    found = {(r["node"], r["root"]) for r in graph.roots_of(spark.createDataFrame(chain + cycle * 2, "child string, parent string")).collect()}
+    expected = {(f"n{i}", "n1000") for i in range(1000)} | {("both", "n1000"), ("leaf", "top")} | {(x, "top") for x in ("a", "b", "c", "into", "both")}
+    assert found == expected
+    only = spark.createDataFrame([("x", "y"), ("y", "x"), ("z", "x")], "child string, parent string")
+    assert graph.roots_of(only).count() == 0 and graph.roots_of(only.limit(0)).count() == 0
+
+
+def test_paths_of_many_edges(spark):
+    edges = [(f"d{i}", f"d{i + 1}", 1.0, 1, 1) for i in range(70)]
+    found = graph.granular_reach(spark.createDataFrame(edges, "whole string, part string, best double, whole_rank int, part_rank int"))
+    assert found.count() == 70 * 71 // 2 and found.agg(F.max("depth")).first()[0] == 70
+
+
 def test_paths_skip_coarse_edges_and_end_at_loops(spark):
     edges = [("p", "c", 0.5, 0, 1), ("c", "d", 0.4, 1, 1), ("d", "c", 0.9, 1, 1), ("d", "m", 0.5, 1, 2), ("p", "m", 0.3, 0, 2)]
     found = graph.granular_reach(spark.createDataFrame(edges, "whole string, part string, best double, whole_rank int, part_rank int")).collect()
