@@ -98,21 +98,6 @@ def slice_view(ancestor: str) -> str:
         UNION ALL SELECT 'scope', concat(component_class, '_in_', product_class), element_class, round(amount, 9), 0 FROM v_scope_amount WHERE product_class IN (SELECT descendant FROM v_closure WHERE ancestor = {lit(ancestor)})"""
 
 
-def routed_query(y0: int, y1: int, segment: str) -> str:
-    """Mass by source of one class and span of years, from the sources that the catalog routes to."""
-    return f"""SELECT f.source_id, SUM(f.kg) AS kg FROM facts f JOIN placed p ON f.ord = p.ord WHERE p.yr BETWEEN {y0} AND {y1} AND p.product_parent = {lit(segment)}
-        AND f.source_id IN (SELECT source_id FROM ({CATALOG}) c WHERE c.y0 <= {y1} AND c.y1 >= {y0} AND position({lit(f'|{segment}|')} IN c.classes) > 0) GROUP BY f.source_id"""
-
-
-#: What each source holds: rows, years and (between bars) classes.
-CATALOG = """SELECT f.source_id, COUNT(*) AS n, MIN(p.yr) AS y0, MAX(p.yr) AS y1, concat('|', concat_ws('|', MAX(CASE WHEN p.product_parent = 'AUTOMOBILE' THEN 'AUTOMOBILE' END), MAX(CASE WHEN p.product_parent = 'BUILDING' THEN 'BUILDING' END), MAX(CASE WHEN p.product_parent = 'FURNITURE' THEN 'FURNITURE' END),
-    MAX(CASE WHEN p.product_parent = 'HOUSEHOLD' THEN 'HOUSEHOLD' END), MAX(CASE WHEN p.product_parent = 'MACHINERY' THEN 'MACHINERY' END)), '|') AS classes FROM facts f JOIN placed p ON f.ord = p.ord GROUP BY f.source_id"""
-
-
-def catalog_route(y0: int, y1: int, segment: str) -> str:
-    return f"SELECT source_id, n, y0, y1 FROM ({CATALOG}) c WHERE (y0 IS NULL OR (y0 <= {y1} AND y1 >= {y0})) AND position({lit(f'|{segment}|')} IN classes) > 0"
-
-
 SQL = {
     "view_lookup": view_lookup("BUILDING/NATION_3"),
     "constituent_first": constituent_first("PROMO"),
@@ -135,7 +120,4 @@ SQL = {
     "two_hop_share": two_hop_share("Brand#11"),
     "wholes_containing": wholes_containing("NATION_17"),
     "slice_view": slice_view("FURNITURE"),
-    "catalog_digest": f"SELECT source_id, n, y0, y1, classes FROM ({CATALOG}) c",
-    "catalog_route": catalog_route(1995, 1996, "BUILDING"),
-    "routed_query": routed_query(1995, 1996, "BUILDING"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 from masschain.operators import cells, facts, graph, heights, joins, lookups, periods, plugins, questions, rollup, rules, sampling, search, served, textlog
-from masschain.sources import files
+from masschain.sources import corpus, files
 from masschain.streaming import incremental, sources
 
 from . import view
@@ -20,8 +20,8 @@ for _part in (cells, facts, joins, lookups, questions, rollup, rules, sampling,
         QUERIES[_name] = sql_query(_spark)
         ORACLE_SQL[_name] = with_ctes(_ansi, CHECK_CTES)
 
-QUERIES |= graph.QUERIES | heights.QUERIES | periods.QUERIES | files.QUERIES | plugins.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
-ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | heights.ORACLE | periods.ORACLE | files.ORACLE | plugins.ORACLE | search.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
+QUERIES |= graph.QUERIES | heights.QUERIES | periods.QUERIES | corpus.QUERIES | files.QUERIES | plugins.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES
+ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | heights.ORACLE | periods.ORACLE | corpus.ORACLE | files.ORACLE | plugins.ORACLE | search.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
 ORACLE_SQL |= plugins.FULL_ORACLE
 
 # what stands above leaf slices starts from the served leaves

@@ -56,3 +56,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     found, system = _path(spark, path)
     system.delete(found, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as the URI that files below it start with."""
+    found, system = _path(spark, path)
+    return system.makeQualified(found).toUri().toString().rstrip("/")

@@ -29,10 +29,13 @@ BUCKET_YEARS = 2
 def scan_facts(spark: SparkSession, path: str, token: str | None = None) -> DataFrame:
     """Rows of all fact files under a path, all cells text, with file_path; a byte order mark before the header is no cell.
 
-    token: only files that have it in their path. Sidecars never count.
+    token: only files that have it in their path. Sidecars never count: files whose own name has the
+    token, and the files of a table so called. Folders above them may have any name.
     """
     rows = spark.read.schema(FACTS).option("header", True).option("encoding", "UTF-8").option("enforceSchema", True).option("recursiveFileLookup", True).csv(path)
-    rows = rows.withColumn("file_path", F.col("_metadata.file_path")).filter(~F.col("file_path").contains(SIDECAR))
+    steps = F.split(F.col("_metadata.file_path"), "/")
+    own = F.element_at(steps, -1).contains(SIDECAR) | (F.element_at(steps, -2) == SIDECAR)
+    rows = rows.withColumn("file_path", F.col("_metadata.file_path")).filter(~own)
     return rows.filter(F.col("file_path").contains(token)) if token else rows
 
 
@@ -62,7 +65,9 @@ def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
     A source's id is its path below the folder with `_` for `/`. Reserved names are skipped.
     """
     rows = spark.read.schema("ord long, prt long, kg double").option("recursiveFileLookup", True).option("header", True).csv(folder)
-    below = F.element_at(F.split(F.col("_metadata.file_path"), f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/"), -1)
+    # both are URIs, the folder's without a trailing slash; a local one may have one slash or three after its scheme
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    below = F.substring(plain(F.col("_metadata.file_path")), F.length(plain(F.lit(shared.qualified(spark, folder)))) + 2, F.lit(1 << 30))
     rows = rows.select("ord", "prt", "kg", F.regexp_replace(below, "/[^/]*$", "").alias("place"))
     rows = rows.filter(~F.element_at(F.split("place", "/"), -1).isin(*RESERVED))
     parent = F.regexp_replace("place", "/?[^/]*$", "")
