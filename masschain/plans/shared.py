@@ -62,3 +62,18 @@ def qualified(spark: SparkSession, path: str) -> str:
     """The path as the URI that files below it start with."""
     found, system = _path(spark, path)
     return system.makeQualified(found).toUri().toString().rstrip("/")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    found, system = _path(spark, path)
+    return [status.getPath().getName() for status in system.listStatus(found)] if system.exists(found) else []
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Moves a folder to a new name; False, and no change, if that is taken."""
+    (found, system), (target, _) = _path(spark, path), _path(spark, to)
+    if system.exists(target):
+        return False
+    system.mkdirs(target.getParent())
+    return system.rename(found, target)

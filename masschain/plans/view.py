@@ -1,13 +1,15 @@
 """The served view: what lookups need, derived once and written as tables.
 
-A view belongs to a session, a folder and the state of the folder's files (size and time of
-each): the first lookup derives the table that it needs and later ones read it. Rows are
-ranged and sorted by class, so that a lookup's filter reaches the files' statistics and reads
-a part of one. The tables lie in the session's shared folder and stay until drop_views().
+A view belongs to a folder, the state of its files (size and time of each) and the text that
+derives it: the first lookup derives the table that it needs, and later ones, of other sessions too,
+find it by these in the shared folder (spark.checkpoint.dir) and read it. Rows are ranged and sorted by class, so that a
+lookup's filter reaches the files' statistics and reads a part of one. Tables are written aside and
+renamed, so what is found is whole. They stay until drop_views().
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +23,6 @@ ORDER = {
     "scope_amount": ("component_class", "product_class", "element_class"), "scopes": ("product_class", "yr"), "gate": ("parent", "child"),
 }
 
-_written: dict[tuple, str] = {}
-
-
 #: The projection above leaf slices, which it takes as given.
 ABOVE_LEAVES = {k: v for k, v in tables.CTES.items() if k not in ("leaf_mean", "item_mass", *tables.SERVED_CLASSES)}
 
@@ -57,18 +56,24 @@ def write(df: DataFrame, path: str, name: str) -> None:
     df.repartitionByRange(first, *rest).sortWithinPartitions(first, *rest).write.mode("overwrite").parquet(path)
 
 
+def path_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where the table of the folder as it stands belongs."""
+    text = repr(sorted(tables.CTES.items())) + repr(ORDER[name])
+    mark = hashlib.md5("\n".join((shared.qualified(spark, sf_dir), shared.state_of(spark, sf_dir), text)).encode()).hexdigest()
+    return f"{shared.root_of(spark)}/views/{name}-{mark}"
+
+
 def served(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the view; it is derived and written if this session has none for the folder's files as they are."""
-    key = (spark.sparkContext.applicationId, name, sf_dir, shared.state_of(spark, sf_dir))
-    if key not in _written:
-        path = shared.new_path(spark, f"view-{name}")
-        write(derived(spark, sf_dir, name), path, name)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+    """A table of the view; it is derived and written if none is there for the folder's files as they are."""
+    path = path_of(spark, sf_dir, name)
+    if not shared.exists(spark, f"{path}/_SUCCESS"):
+        aside = shared.new_path(spark, f"view-{name}")
+        write(derived(spark, sf_dir, name), aside, name)
+        if not shared.rename(spark, aside, path):  # another session was first
+            shared.delete(spark, aside)
+    return spark.read.parquet(path)
 
 
 def drop_views(spark: SparkSession) -> None:
-    """Deletes the views that this session wrote."""
-    own = [k for k in _written if k[0] == spark.sparkContext.applicationId]
-    for key in own:
-        shared.delete(spark, _written.pop(key))
+    """Deletes all views in the shared folder."""
+    shared.delete(spark, f"{shared.root_of(spark)}/views")

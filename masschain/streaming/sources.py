@@ -1,4 +1,4 @@
-"""Sources that arrive one by one, as a stream of files into a keyed table."""
+"""Sources that arrive one by one, as a stream of files into a keyed store."""
 
 from __future__ import annotations
 
@@ -7,34 +7,39 @@ from pyspark.sql import functions as F
 
 from masschain.plans import shared
 
-KEY = ["source_id", "ord", "sup", "prt", "line", "kg"]
+from .store import Change, Store
 
+KEY = ("source_id", "ord", "sup", "prt", "line", "kg")
 
-def add_source(batch: DataFrame, table: str) -> None:
-    """Appends the batch's statements that the table does not hold yet, by source. Adding one again changes nothing."""
-    spark = batch.sparkSession
-    facts = batch.select(
-        F.col("l_returnflag").alias("source_id"), F.col("l_orderkey").alias("ord"), F.col("l_suppkey").alias("sup"), F.col("l_partkey").alias("prt"),
-        F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("kg"),
-    ).dropDuplicates(KEY)
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        facts = facts.join(spark.read.parquet(table), KEY, "left_anti")
-    facts.write.mode("append").partitionBy("source_id").parquet(table)
+
+def store_at(root: str, lines: DataFrame, buckets: int = 64) -> Store:
+    kinds = {f.name: f.dataType.simpleString() for f in _statements(lines).schema}
+    return Store(root, KEY, ", ".join(f"{k} {v}" for k, v in kinds.items()), buckets)
+
+
+def _statements(lines: DataFrame) -> DataFrame:
+    names = dict(zip(("l_returnflag", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity"), KEY, strict=True))
+    return lines.select(*(F.col(c).alias(k) for c, k in names.items()))
+
+
+def add_source(batch: DataFrame, store: Store, batch_id: str | None = None) -> Change:
+    """Adds the batch's statements that the store does not hold yet. Adding one again changes nothing, with null keys as well."""
+    return store.add(_statements(batch), batch_id)
 
 
 def add_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements and mass by source after all files of line items have streamed in, a file a batch."""
     path = f"{sf_dir}/lineitem.parquet"
-    table = shared.new_path(spark, "sources")
+    lines = spark.read.parquet(path)
+    store = store_at(shared.new_path(spark, "sources"), lines)
     # as a pattern, since a stream's plain path must be a folder, and the table may be one file
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path[:-1]}[{path[-1]}]")
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: add_source(batch, table))
+        stream.writeStream.foreachBatch(lambda batch, n: add_source(batch, store, f"batch {n}"))
         .option("checkpointLocation", shared.new_path(spark, "stream")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(table).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("kg").alias("kg"))
+    return store.read(spark).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("kg").alias("kg"))
 
 
 QUERIES = {"add_sources": add_sources}
