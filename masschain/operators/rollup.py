@@ -7,11 +7,11 @@ SQL = {
     "reach_uncertainty": "SELECT t.ord, t.element_class, round(SUM(t.f), 9) AS amount, round(sqrt(SUM(power(t.f * t.sigma_rel, 2))) / SUM(t.f), 9) AS rel FROM path t GROUP BY 1, 2",
     "reach_uncertainty_full": "SELECT ord, element_class, round(sqrt(SUM(power(f, 2) * (power(sigma_rel, 2) + power(sigma_rel, 2)))) / SUM(f), 9) AS rel FROM path GROUP BY ord, element_class",
     "reach_dq": "SELECT t.ord, t.element_class, round(SUM(t.f * t.mean_dq) / SUM(t.f), 9) AS mean_dq, MAX(t.dqs) AS dqs FROM path t GROUP BY 1, 2",
-    "material_reach_uncertainty": "SELECT pc.ord, cm.material_class, round(SUM(pc.best * cm.best), 9) AS amount, round(sqrt(SUM(power(pc.best * cm.best * s.sigma_rel, 2))) / SUM(pc.best * cm.best), 9) AS rel FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup JOIN stmt s ON cm.ord = s.ord AND cm.sup = s.sup AND cm.prt = s.prt GROUP BY 1, 2",
-    "constituent_total": "SELECT pc.ord, cm.material_class, round(SUM(pc.best * cm.best), 9) AS amount FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup GROUP BY 1, 2",
+    "material_reach_uncertainty": ('SELECT ord, material_class, round(SUM(f1 * f2), 9) AS amount, round(sqrt(SUM(power(f1 * f2 * sigma_rel, 2))) / SUM(f1 * f2), 9) AS rel FROM path GROUP BY ord, material_class', "SELECT pc.ord, cm.material_class, round(SUM(pc.best * cm.best), 9) AS amount, round(sqrt(SUM(power(pc.best * cm.best * s.sigma_rel, 2))) / SUM(pc.best * cm.best), 9) AS rel FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup JOIN stmt s ON cm.ord = s.ord AND cm.sup = s.sup AND cm.prt = s.prt GROUP BY 1, 2"),
+    "constituent_total": ('SELECT ord, material_class, round(SUM(f1 * f2), 9) AS amount FROM path GROUP BY ord, material_class', "SELECT pc.ord, cm.material_class, round(SUM(pc.best * cm.best), 9) AS amount FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup GROUP BY 1, 2"),
     "granular_sum": "SELECT ord, sup, element_class, round(SUM(f1 * f2 * CASE WHEN status = 'F' THEN lo ELSE elem_best END), 9) AS amount FROM path GROUP BY ord, sup, element_class",
     "path_fraction": "SELECT ord, element_class, round(MAX(f), 9) AS best_path FROM path GROUP BY 1, 2",
-    "level_rollup_check": "SELECT r.ord, r.element_class, abs(r.amount - c.amount) < 1.0E-9 AS equal FROM reach r JOIN (SELECT pc.ord, k.element_class, SUM(pc.best * k.amount) AS amount FROM pc JOIN (SELECT cm.ord, cm.sup, me.element_class, SUM(cm.best * me.best) AS amount FROM cm JOIN me ON cm.ord = me.ord AND cm.sup = me.sup AND cm.prt = me.prt GROUP BY 1, 2, 3) k ON pc.ord = k.ord AND pc.sup = k.sup GROUP BY 1, 2) c ON r.ord = c.ord AND r.element_class = c.element_class",
+    "level_rollup_check": ('SELECT ord, element_class, abs(SUM(total) - SUM(f1 * inner_sum)) < 1.0E-9 AS equal FROM (SELECT ord, sup, element_class, MIN(f1) AS f1, SUM(f2 * f3) AS inner_sum, SUM(f) AS total FROM path GROUP BY ord, sup, element_class) c GROUP BY ord, element_class', "SELECT r.ord, r.element_class, abs(r.amount - c.amount) < 1.0E-9 AS equal FROM reach r JOIN (SELECT pc.ord, k.element_class, SUM(pc.best * k.amount) AS amount FROM pc JOIN (SELECT cm.ord, cm.sup, me.element_class, SUM(cm.best * me.best) AS amount FROM cm JOIN me ON cm.ord = me.ord AND cm.sup = me.sup AND cm.prt = me.prt GROUP BY 1, 2, 3) k ON pc.ord = k.ord AND pc.sup = k.sup GROUP BY 1, 2) c ON r.ord = c.ord AND r.element_class = c.element_class"),
     "class_leaf_mean": "SELECT product_class, yr, element_class, round(amount, 9) AS amount FROM leaf_mean",
     "parent_gate": "SELECT parent, child FROM gate",
     "rss_combine": "SELECT s.material_class, round(sqrt(SUM(power(s.elem_best * s.sigma_rel, 2))) / nullif(SUM(s.elem_best), 0), 9) AS rel FROM stmt s GROUP BY 1",
@@ -27,7 +27,7 @@ SQL = {
     "amount_uncertainty_indirect": """SELECT t.product_class, t.element_class, round(sqrt(SUM(power(t.f * t.sigma_rel, 2))) / SUM(t.f), 9) AS rel FROM ppath t WHERE NOT EXISTS (SELECT 1 FROM (SELECT p.product_class, c.element_class FROM coarse c JOIN placed p ON c.ord = p.ord WHERE c.lo > 0.35 GROUP BY p.product_class, c.element_class) d
         WHERE d.product_class = t.product_class AND d.element_class = t.element_class) GROUP BY t.product_class, t.element_class""",
     "component_totals": "SELECT component_class, element_class, round(SUM(f2 * f3) / MIN(n), 9) AS amount FROM (SELECT t.component_class, t.element_class, t.f2, t.f3, n.n FROM path t JOIN (SELECT component_class, COUNT(*) AS n FROM comp GROUP BY 1) n ON t.component_class = n.component_class) x GROUP BY 1, 2",
-    "scope_component_in_product": "SELECT concat(t.component_class, '_in_', p.product_class) AS scope_id, t.element_class, round(SUM(t.f2 * t.f3 * pc.part_mass) / SUM(pc.part_mass * t.f2), 9) AS amount FROM path t JOIN pc ON t.ord = pc.ord AND t.sup = pc.sup JOIN prod p ON t.ord = p.ord GROUP BY 1, 2",
+    "scope_component_in_product": ("SELECT concat(component_class, '_in_', product_class) AS scope_id, element_class, round(SUM(f2 * f3 * cmass) / SUM(cmass * f2), 9) AS amount FROM ppath GROUP BY 1, 2", "SELECT concat(t.component_class, '_in_', p.product_class) AS scope_id, t.element_class, round(SUM(t.f2 * t.f3 * pc.part_mass) / SUM(pc.part_mass * t.f2), 9) AS amount FROM path t JOIN pc ON t.ord = pc.ord AND t.sup = pc.sup JOIN prod p ON t.ord = p.ord GROUP BY 1, 2"),
     "scope_group_in_product": "SELECT c.component_parent, p.product_class, round(SUM(c.mass), 4) AS mass FROM comp c JOIN prod p ON c.ord = p.ord GROUP BY 1, 2",
     "material_family_mass_weighted": "SELECT material_parent, element_class, round(SUM(kg * elem_best) / SUM(kg), 9) AS best, round(SUM(kg * lo) / SUM(kg), 9) AS lo, round(SUM(kg * hi) / SUM(kg), 9) AS hi FROM stmt GROUP BY material_parent, element_class",
     "mass_conservation": """SELECT level, whole, round(total, 9) AS total, total > 1 + 1.0E-6 AS overshoot FROM (SELECT 'Product' AS level, CAST(ord AS STRING) AS whole, SUM(best) AS total FROM pc GROUP BY ord
@@ -63,6 +63,4 @@ SQL = {
         WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM item_mass m WHERE m.product_class = d.subject AND m.yr = 1992 AND m.n > 5)""",
     "slice_span": "SELECT product_class, MIN(yr) AS y0, MAX(yr) AS y1 FROM prod GROUP BY 1",
     "rank_check": "SELECT product_class, yr, bool_and(ok) AS ordered FROM (SELECT product_class, yr, coalesce(lag(mass) OVER (PARTITION BY product_class, yr ORDER BY mass DESC, ord), 1.0E300) >= mass AS ok FROM prod) t GROUP BY product_class, yr",
-    "percentile_interp": ("""SELECT product_parent, MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 0 OR upto = n THEN mass END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 1 OR upto = n THEN mass END) - MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 0 OR upto = n THEN mass END)) * (MIN((n - 1) * 0.5E0) - floor(MIN((n - 1) * 0.5E0))) AS p50, MIN(CASE WHEN upto > floor((n - 1) * 0.95E0) + 0 OR upto = n THEN mass END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.95E0) + 1 OR upto = n THEN mass END) - MIN(CASE WHEN upto > floor((n - 1) * 0.95E0) + 0 OR upto = n THEN mass END)) * (MIN((n - 1) * 0.95E0) - floor(MIN((n - 1) * 0.95E0))) AS p95 FROM (SELECT product_parent, mass, SUM(k) OVER (PARTITION BY product_parent ORDER BY mass) AS upto, SUM(k) OVER (PARTITION BY product_parent) AS n FROM (SELECT product_parent, mass, COUNT(*) AS k FROM prod WHERE mass IS NOT NULL GROUP BY product_parent, mass) c) u GROUP BY product_parent""", "SELECT product_parent, quantile_cont(mass, 0.5) AS p50, quantile_cont(mass, 0.95) AS p95 FROM prod GROUP BY 1"),
-    "median_iqr": ("""SELECT event_type, MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 0 OR upto = n THEN value END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 1 OR upto = n THEN value END) - MIN(CASE WHEN upto > floor((n - 1) * 0.5E0) + 0 OR upto = n THEN value END)) * (MIN((n - 1) * 0.5E0) - floor(MIN((n - 1) * 0.5E0))) AS median, (MIN(CASE WHEN upto > floor((n - 1) * 0.75E0) + 0 OR upto = n THEN value END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.75E0) + 1 OR upto = n THEN value END) - MIN(CASE WHEN upto > floor((n - 1) * 0.75E0) + 0 OR upto = n THEN value END)) * (MIN((n - 1) * 0.75E0) - floor(MIN((n - 1) * 0.75E0)))) - (MIN(CASE WHEN upto > floor((n - 1) * 0.25E0) + 0 OR upto = n THEN value END) + (MIN(CASE WHEN upto > floor((n - 1) * 0.25E0) + 1 OR upto = n THEN value END) - MIN(CASE WHEN upto > floor((n - 1) * 0.25E0) + 0 OR upto = n THEN value END)) * (MIN((n - 1) * 0.25E0) - floor(MIN((n - 1) * 0.25E0)))) AS iqr FROM (SELECT event_type, value, SUM(k) OVER (PARTITION BY event_type ORDER BY value) AS upto, SUM(k) OVER (PARTITION BY event_type) AS n FROM (SELECT event_type, value, COUNT(*) AS k FROM events WHERE value IS NOT NULL GROUP BY event_type, value) c) u GROUP BY event_type""", "SELECT event_type, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events GROUP BY 1"),
 }

@@ -1,25 +1,11 @@
 """Text and run-log jobs over documents, events and conversations."""
 
-MOST_WORDS = 5  # of a phrase that is sought
-_SPLIT = "[^a-z_0-9]+"
-#: Runs of 1 to MOST_WORDS words of each document, in Spark's SQL and in the check's.
-_RUNS = (
-    f"""SELECT doc_id, n, concat_ws(' ', slice(w, CAST(i AS INT), n)) AS phrase FROM (SELECT doc_id, w, n, explode(sequence(1, greatest(size(w) - n + 1, 0), 1)) AS i FROM (SELECT doc_id, w, explode(sequence(1, {MOST_WORDS})) AS n
-        FROM (SELECT doc_id, filter(split(lower(text), '{_SPLIT}'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL) a) b WHERE size(w) >= n) c""",
-    f"""SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS i FROM (SELECT doc_id, w, unnest(range(1, {MOST_WORDS} + 1)) AS n
-        FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{_SPLIT}'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL) a) b WHERE len(w) >= n) c""",
-)
-#: The first words of a passage, as a phrase.
-_OPENING = (f"concat_ws(' ', slice(filter(split(lower(text), '{_SPLIT}'), x -> x <> ''), 1, {MOST_WORDS}))", f"array_to_string(list_filter(regexp_split_to_array(lower(text), '{_SPLIT}'), lambda x: x <> '')[1:{MOST_WORDS}], ' ')")
-#: Vocabulary by kind: classes, phrases of labels, axis words and banned passages.
-_TERMS = """SELECT DISTINCT kind, phrase, length(phrase) - length(replace(phrase, ' ', '')) + 1 AS n FROM (SELECT 'class' AS kind, lower(p_type) AS phrase FROM part UNION SELECT 'class', lower(n_name) FROM nation UNION SELECT 'label', lower(p_name) FROM part
-    UNION SELECT 'axis', replace(lower(r_name), ' ', '_') FROM region UNION SELECT 'domain', 'license' FROM region UNION SELECT 'domain', 'copyright' FROM region UNION SELECT 'banned', {opening} FROM benchmark) v"""
 _NUMBERS = ("SELECT doc_id, explode(regexp_extract_all(text, '[0-9]+([.][0-9]+)?', 0)) AS number FROM documents", "SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+([.][0-9]+)?', 0)) AS number FROM documents")
 
 
 def _pair(text: str) -> tuple[str, str]:
     """A text for Spark and the check, with what differs between them filled in."""
-    return tuple(text.replace("{runs}", r).replace("{terms}", _TERMS.replace("{opening}", o)).replace("{numbers}", n) for r, o, n in zip(_RUNS, _OPENING, _NUMBERS, strict=True))
+    return tuple(text.replace("{numbers}", n) for n in _NUMBERS)
 
 
 #: Answers of one year against expected ones of another, matched at 2 % or at the precision stated (two digits); a band of 20 % for uncertainty.
@@ -28,8 +14,6 @@ _SCORED = """SELECT coalesce(e.product_class, a.product_class) AS case_id, coale
     FROM (SELECT product_class, element_class, amount FROM leaf_mean WHERE yr = 1995) e FULL OUTER JOIN (SELECT product_class, element_class, amount FROM leaf_mean WHERE yr = 1996) a ON e.product_class = a.product_class AND e.element_class = a.element_class"""
 
 SQL = {
-    "term_leak_scan": _pair("""WITH terms AS ({terms}), hits AS (SELECT r.doc_id, t.kind, t.phrase AS term, COUNT(*) AS n FROM ({runs}) r JOIN terms t ON r.phrase = t.phrase AND r.n = t.n GROUP BY r.doc_id, t.kind, t.phrase),
-        allowed AS (SELECT h.term FROM hits h JOIN (SELECT COUNT(*) AS total FROM documents) d ON h.kind <> 'banned' GROUP BY h.term HAVING COUNT(DISTINCT h.doc_id) > 0.2 * MIN(d.total)) SELECT doc_id, kind, term, n FROM hits h WHERE NOT EXISTS (SELECT 1 FROM allowed a WHERE a.term = h.term)"""),
     "vocabulary_harvest": "SELECT DISTINCT lower(p_name) AS phrase FROM part WHERE length(p_name) - length(replace(p_name, ' ', '')) >= 1 AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM (VALUES ('old'), ('hot')) AS t(stop)) s WHERE lower(p_name) LIKE concat(stop, ' %'))",
     "result_kind": "SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN lower(text) LIKE '%error%' OR lower(text) LIKE '%failed%' OR lower(text) LIKE '%exception%' THEN 'error' WHEN text LIKE '%{%' OR text LIKE '%: %' OR text LIKE '%|%' OR length(text) > length(translate(text, '0123456789', '')) THEN 'data' ELSE 'other' END AS kind FROM conversations",
     "call_pairing": "SELECT c.conv_id, c.turn, r.turn AS answer_turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') c LEFT JOIN (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant') r ON c.conv_id = r.conv_id AND c.k = r.k",
