@@ -33,7 +33,4 @@ SQL = {
         SELECT coalesce(l.product_class, g.product_class) AS product_class, coalesce(l.yr, g.yr) AS yr, COUNT(*) AS n, COUNT(CASE WHEN abs(l.amount * i.n - g.total) <= 0.02 * g.total THEN 1 END) AS near, COUNT(CASE WHEN g.total IS NULL THEN 1 END) AS extra FROM leaf_mean l
         FULL OUTER JOIN golden g ON l.product_class = g.product_class AND l.yr = g.yr AND l.element_class = g.element_class LEFT JOIN item_mass i ON i.product_class = g.product_class AND i.yr = g.yr GROUP BY 1, 2""",
     "golden_value_scan": _pair("SELECT n.doc_id, n.number, COUNT(*) AS n FROM ({numbers}) n JOIN (SELECT DISTINCT CAST(p_size AS STRING) AS golden FROM part WHERE p_size >= 10) g ON n.number = g.golden GROUP BY n.doc_id, n.number"),
-    "ungrounded_numbers": """WITH results AS (SELECT user_id, value AS v FROM events WHERE event_type = 'view'), candidates AS (SELECT user_id, CAST(floor(ln(v + 1.0E-9) * 100) AS INT) AS bin, v FROM (SELECT user_id, v FROM results UNION SELECT user_id, SUM(v) FROM results GROUP BY user_id
-        UNION SELECT r.user_id, r.v * c.n FROM results r JOIN (SELECT user_id, COUNT(*) AS n FROM results GROUP BY user_id) c ON r.user_id = c.user_id) x), near AS (SELECT user_id, bin + d AS bin, v FROM candidates JOIN (SELECT * FROM (VALUES (-1), (0), (1)) AS t(d)) s ON bin > -1000000)
-        SELECT e.event_id, e.user_id, e.value FROM events e WHERE e.event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM near n WHERE n.user_id = e.user_id AND n.bin = CAST(floor(ln(e.value + 1.0E-9) * 100) AS INT) AND abs(n.v - e.value) <= 0.005 * e.value)""",
 }
