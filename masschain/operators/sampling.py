@@ -96,5 +96,5 @@ def band_override(segment: str = "BUILDING") -> str:
 
 SQL = {
     "sample_edge": _both("SELECT ord, sup, prt, sample, round(value, 9) AS value FROM ({draws}) d WHERE sample < 4", samples=4),
-    "mc_band": mc_band(), "mc_leaf_band_only": mc_leaf_band_only(), "mc_reuse": mc_reuse(), "band_override": band_override(),
+    "mc_band_segment": mc_band(), "mc_leaf_band_only": mc_leaf_band_only(), "mc_reuse": mc_reuse(), "band_override": band_override(),
 }
