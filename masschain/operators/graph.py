@@ -124,35 +124,17 @@ def reconcile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("whole", "element_class", F.round("unknown", 9).alias("unknown"), (F.col("granular") <= F.col("coarse") + 1e-6).alias("conserved"))
 
 
-def materialize_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules in order, each with the number of rows it adds and what they sum to."""
-    fillers = sql_query("SELECT c.ord FROM coarse c JOIN (SELECT * FROM (VALUES ('Component', 1), ('Material', 2)) AS t(level, rank)) l ON l.rank > 0 AND l.rank < 3")(spark, sf_dir)
-    lifted = sql_query("SELECT DISTINCT p.product_class, e.component_class FROM pc e JOIN placed p ON e.ord = p.ord")(spark, sf_dir)
-    edges = node_edges(spark, sf_dir)
-    reach, met = granular_reach(edges), reconciled(spark, sf_dir)
-    kept = edges.groupBy("whole").agg(F.sum("best").alias("total"))
-    step = lambda name, df, value: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum(value), F.lit(0.0)), 4).alias("total")).select(F.lit(name).alias("rule"), "n", "total")
-    parts = [step("fillers", fillers, F.lit(0.0)), step("lift", lifted, F.lit(0.0)), step("propagate", reach, F.col("fraction")), step("reconcile", met, F.col("unknown")), step("conservation", kept.filter("total > 1 + 1e-6"), F.col("total"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 EDGES = """SELECT concat('P', CAST(ord AS STRING)) AS whole, concat('C', CAST(ord AS STRING), '_', CAST(sup AS STRING)) AS part, best, 0 AS whole_rank, 1 AS part_rank FROM pc
     UNION ALL SELECT concat('C', CAST(ord AS STRING), '_', CAST(sup AS STRING)), concat('M', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), best, 1, 2 FROM cm
     UNION ALL SELECT concat('M', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), concat('E', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), best, 2, 3 FROM me"""
 _REACH = f"""(SELECT whole, part, 1 AS depth, best AS fraction FROM ({EDGES}) e UNION ALL SELECT concat('P', CAST(pc.ord AS STRING)), concat('M', CAST(cm.ord AS STRING), '_', CAST(cm.sup AS STRING), '_', CAST(cm.prt AS STRING)), 2, pc.best * cm.best FROM pc JOIN cm ON pc.ord = cm.ord AND pc.sup = cm.sup
     UNION ALL SELECT concat('C', CAST(cm.ord AS STRING), '_', CAST(cm.sup AS STRING)), concat('E', CAST(cm.ord AS STRING), '_', CAST(cm.sup AS STRING), '_', CAST(cm.prt AS STRING)), 2, cm.best * me.best FROM cm JOIN me ON cm.ord = me.ord AND cm.sup = me.sup AND cm.prt = me.prt
     UNION ALL SELECT concat('P', CAST(ord AS STRING)), concat('E', CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), 3, f FROM path) r"""
-QUERIES = {"rule_fixpoint": rule_fixpoint, "root_of": root_of, "granular_reach": granular, "known_path_levels": known_path_levels, "reconcile_rules": reconcile_rules, "materialize_rules": materialize_rules}
+QUERIES = {"rule_fixpoint": rule_fixpoint, "root_of": root_of, "granular_reach": granular, "known_path_levels": known_path_levels, "reconcile_rules": reconcile_rules}
 ORACLE = {
     "rule_fixpoint": "SELECT DISTINCT descendant AS child, ancestor FROM closure WHERE descendant <> ancestor",
     "root_of": f"SELECT part AS node, concat('P', regexp_extract(part, '[0-9]+')) AS root FROM ({EDGES}) e",
     "granular_reach": f"SELECT whole, part, depth, round(fraction, 9) AS fraction FROM {_REACH}",
     "known_path_levels": "SELECT DISTINCT concat('P', CAST(ord AS STRING)) AS whole, element_class, 'Component/Material' AS between_levels FROM path",
     "reconcile_rules": "SELECT concat('P', CAST(c.ord AS STRING)) AS whole, c.element_class, round(greatest(c.lo - coalesce(r.amount, 0), 0), 9) AS unknown, coalesce(r.amount, 0) <= c.lo + 1.0E-6 AS conserved FROM coarse c LEFT JOIN reach r ON c.ord = r.ord AND c.element_class = r.element_class",
-    "materialize_rules": f"""SELECT 'fillers' AS rule, 2 * COUNT(*) AS n, 0.0E0 AS total FROM coarse UNION ALL SELECT 'lift', COUNT(*), 0.0E0 FROM (SELECT DISTINCT p.product_class, e.component_class FROM pc e JOIN placed p ON e.ord = p.ord) l
-        UNION ALL SELECT 'propagate', COUNT(*), round(SUM(fraction), 4) FROM {_REACH} UNION ALL SELECT 'reconcile', COUNT(*), round(SUM(greatest(c.lo - r.amount, 0)), 4) FROM coarse c JOIN reach r ON c.ord = r.ord AND c.element_class = r.element_class
-        UNION ALL SELECT 'conservation', COUNT(*), coalesce(SUM(t), 0.0E0) FROM (SELECT SUM(best) AS t FROM ({EDGES}) e GROUP BY whole HAVING SUM(best) > 1 + 1.0E-6) c""",
 }
