@@ -34,8 +34,6 @@ SQL = {
         UNION ALL SELECT 'Component', concat(CAST(ord AS STRING), '_', CAST(sup AS STRING)), SUM(kg * (1 - lim)) / SUM(kg) FROM stmt GROUP BY ord, sup UNION ALL SELECT 'Material', concat(CAST(ord AS STRING), '_', CAST(sup AS STRING), '_', CAST(prt AS STRING)), SUM(lo) FROM stmt GROUP BY ord, sup, prt) c""",
     "conservation_bounds": "SELECT ord, sup, round(SUM(f2 * (1 - lim)), 9) AS min_sum, round(SUM(f2 * (1 + lim)), 9) AS max_sum, SUM(f2 * (1 - lim)) > 1 + 1.0E-6 AS overshoot FROM path GROUP BY ord, sup",
     "reconcile_residual": "SELECT ord, element_class, round(greatest(lo - amount, 0), 9) AS unknown, amount <= lo + 1.0E-6 AS conserved FROM levels",
-    "inferred_unknown_content": """SELECT p.product_class, 'Component' AS first_level, 'Material' AS tail, r.element_class, round(SUM(greatest(r.lo - r.amount, 0)) / MIN(n.n), 9) AS unknown FROM levels r JOIN placed p ON r.ord = p.ord
-        JOIN (SELECT product_class, SUM(n) AS n FROM item_mass GROUP BY product_class) n ON p.product_class = n.product_class WHERE r.lo - r.amount > 1.0E-12 GROUP BY p.product_class, r.element_class""",
     "balance_level": "SELECT ord, sup, prt, 'Unknown' AS element_class, round(1 - SUM(best), 9) AS amount FROM me GROUP BY 1, 2, 3 HAVING 1 - SUM(best) > 1.0E-9",
     "decompose_unknown": """SELECT ord, level, holder, part, round(fraction + 1.0E-12, 9) AS fraction FROM (WITH u AS (SELECT ord, element_class, greatest(lo - amount, 0) AS unknown FROM levels), h AS (SELECT ord, SUM(unknown) AS unknown FROM u GROUP BY ord HAVING SUM(unknown) > 1.0E-9)
         SELECT ord, 'Component' AS level, 'product' AS holder, 'unknownComponent' AS part, unknown AS fraction FROM h UNION ALL SELECT ord, 'Material', 'unknownComponent', 'unknownMaterial', 1.0E0 FROM h
@@ -56,7 +54,6 @@ SQL = {
     "navigation_facts": "SELECT COUNT(*) > 0 AS typed, bool_or(product_class LIKE '%/%') AS labelled, bool_and(product_parent IS NOT NULL) AS taxonomy_present FROM prod",
     "fanout_check": "SELECT ord, COUNT(*) AS n FROM pc GROUP BY ord HAVING COUNT(*) < 2",
     "material_consistency": "SELECT material_class, COUNT(DISTINCT concat(element_class, CAST(CAST(round(elem_best * 100, 0) AS INT) AS STRING))) AS makeups FROM mat GROUP BY 1 HAVING COUNT(DISTINCT concat(element_class, CAST(CAST(round(elem_best * 100, 0) AS INT) AS STRING))) > 1",
-    "unknown_plan": "SELECT ord, element_class, level_rank, round(proj - coalesce(lag(proj) OVER (PARTITION BY ord, element_class ORDER BY level_rank DESC), 0), 9) + 0.0E0 AS amount FROM (SELECT ord, element_class, 3 AS level_rank, amount AS proj FROM reach UNION ALL SELECT ord, element_class, 0, lo FROM coarse) x",
     "remainder_dedup": """SELECT subject, kind, round(amount, 9) AS amount, origin FROM (SELECT *, row_number() OVER (PARTITION BY subject, kind ORDER BY round(amount, 9) DESC, origin) AS k FROM (
         SELECT product_class AS subject, 'unknownElement' AS kind, 1 - SUM(amount) AS amount, 'balance' AS origin FROM leaf_mean WHERE yr = 1996 GROUP BY product_class
         UNION ALL SELECT p.product_class, 'unknownElement', AVG(u.unknown), 'coarse' FROM (SELECT ord, SUM(greatest(lo - amount, 0)) AS unknown FROM levels GROUP BY ord) u JOIN placed p ON u.ord = p.ord GROUP BY p.product_class) r) d
