@@ -102,14 +102,14 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, fraction: int = FRACTION) ->
     last_id = F.lit((1 << 63) - 1)
     text = F.coalesce(F.col("text"), F.lit(""))
     # a null id takes the last number and a hash of its own, apart from a document that has that number
-    named = F.col("doc_id").isNotNull()
-    row_hash = F.when(named, F.xxhash64(text)).otherwise(F.xxhash64(text, F.lit("unnamed")))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), last_id).alias("id"), row_hash.alias("row_hash"), text.alias("text"), named.alias("named"))
+    row_hash = F.when(F.col("doc_id").isNotNull(), F.xxhash64(text)).otherwise(F.xxhash64(text, F.lit("unnamed")))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), last_id).alias("id"), row_hash.alias("row_hash"), text.alias("text"))
     narrow = keyed.select("id", "row_hash", F.length("text").alias("n_chars")).groupBy("id", "row_hash").agg(
         F.first("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("times")
     )
     near = followers(narrow)
-    unique = keyed.dropDuplicates(["id", "row_hash"])
+    unique = keyed.dropDuplicates(["id", "row_hash"])  # with the same columns on both sides below, so that texts are exchanged once
+    named = (F.col("id") != last_id) | (F.col("row_hash") == F.xxhash64("text"))
     sent = unique.join(near, ["id", "row_hash"]).select(
         F.col("before.id").alias("id"), F.col("before.row_hash").alias("row_hash"),
         F.substring("text", F.lit(1), F.floor(F.col("before.n_chars") / 4).cast("int")).alias("prefix"),
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, fraction: int = FRACTION) ->
     met = own.join(sent, ["id", "row_hash"]).withColumn("after", F.explode(F.when(F.col("times") > 1, F.array(last, earlier)).otherwise(F.array(last))))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - quarter), F.col("after.prefix"))
     both = met.select(
-        F.when(F.col("named"), F.col("id")).alias("doc_id"), "n_chars", F.col("after.sketch").alias("next_sketch"), "s", edited.alias("edited"), F.col("after.n").alias("n")
+        F.when(named, F.col("id")).alias("doc_id"), "n_chars", F.col("after.sketch").alias("next_sketch"), "s", edited.alias("edited"), F.col("after.n").alias("n")
     ).withColumn("e", sketch(F.col("edited"), k, fraction))
     both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
     return both.select(
