@@ -22,7 +22,6 @@ SQL = {
     "layer_fractions": "SELECT 'pc' AS layer, ord, sup, CAST(NULL AS BIGINT) AS prt, round(best, 9) AS best FROM pc UNION ALL SELECT 'cm', ord, sup, prt, round(best, 9) FROM cm UNION ALL SELECT 'me', ord, sup, prt, round(best, 9) FROM me",
     "cp_cross_check": "SELECT c.ord, c.sup, c.mass, t.taxed FROM comp c JOIN (SELECT ord, sup, SUM(kg_taxed) AS taxed FROM facts GROUP BY ord, sup) t ON c.ord = t.ord AND c.sup = t.sup WHERE abs(c.mass - t.taxed) / c.mass > 0.05",
     "year_invariant_chemistry": "SELECT product_parent, material_class, element_class, round(AVG(share), 9) AS mean_share, round((MAX(share) - MIN(share)) / MAX(share), 6) AS spread, MAX(share) - MIN(share) > 0.01 * MAX(share) AS refused FROM (SELECT p.product_parent, p.yr, m.material_class, m.element_class, SUM(m.kg * m.elem_best) / SUM(m.kg) AS share FROM mat m JOIN prod p ON m.ord = p.ord GROUP BY 1, 2, 3, 4) s GROUP BY 1, 2, 3",
-    "material_canonicalize": "SELECT material_class, component_class, round(SUM(kg * elem_best) / SUM(kg), 9) AS share, round(SUM(kg * elem_best) / SUM(kg) - 0.005E0, 9) AS lo, round(SUM(kg * elem_best) / SUM(kg) + 0.005E0, 9) AS hi, COUNT(DISTINCT element_class) AS n_elements FROM mat GROUP BY 1, 2",
     "honest_material_class": """SELECT ord, sup, named_class, round(CASE WHEN total > 1 THEN total ELSE 1 END, 9) AS overshoot, round(top / total, 9) AS top_share FROM (SELECT ord, sup, SUM(f2 * f3) AS total, MAX(f2 * f3) AS top,
         CASE WHEN SUM(CASE WHEN element_class = 'PROMO' THEN f2 * f3 ELSE 0 END) >= 0.5 * SUM(f2 * f3) THEN 'promo alloy' WHEN SUM(CASE WHEN element_class IN ('LARGE', 'SMALL') THEN f2 * f3 ELSE 0 END) >= 0.5 * SUM(f2 * f3) THEN 'size alloy'
         WHEN MAX(f2 * f3) >= 0.9 * SUM(f2 * f3) THEN 'pure' ELSE 'mixed' END AS named_class FROM path GROUP BY ord, sup) c""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from masschain.operators import cells, facts, fixpoint, graph, grounding, heights, joins, lookups, periods, phrases, plugins, questions, rollup, rules, sampling, search, selection, served, textlog, unknowns, vectors
+from masschain.operators import cells, facts, fixpoint, graph, grounding, heights, joins, lookups, materials, periods, phrases, plugins, questions, rollup, rules, sampling, search, selection, served, textlog, unknowns, vectors
 from masschain.sources import corpus, files
 from masschain.streaming import incremental, sources
 
@@ -20,8 +20,8 @@ for _part in (cells, facts, joins, lookups, questions, rollup, rules, sampling,
         QUERIES[_name] = sql_query(_spark)
         ORACLE_SQL[_name] = with_ctes(_ansi, CHECK_CTES)
 
-QUERIES |= graph.QUERIES | fixpoint.QUERIES | grounding.QUERIES | heights.QUERIES | periods.QUERIES | phrases.QUERIES | selection.QUERIES | corpus.QUERIES | files.QUERIES | plugins.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES | unknowns.QUERIES | vectors.QUERIES
-ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | unknowns.ORACLE | fixpoint.ORACLE | grounding.ORACLE | heights.ORACLE | periods.ORACLE | phrases.ORACLE | selection.ORACLE | corpus.ORACLE | files.ORACLE | plugins.ORACLE | search.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
+QUERIES |= graph.QUERIES | fixpoint.QUERIES | grounding.QUERIES | heights.QUERIES | materials.QUERIES | periods.QUERIES | phrases.QUERIES | selection.QUERIES | corpus.QUERIES | files.QUERIES | plugins.QUERIES | incremental.QUERIES | sources.QUERIES | search.QUERIES | unknowns.QUERIES | vectors.QUERIES
+ORACLE_SQL |= {k: with_ctes(v, CHECK_CTES) for k, v in (graph.ORACLE | materials.ORACLE | unknowns.ORACLE | fixpoint.ORACLE | grounding.ORACLE | heights.ORACLE | periods.ORACLE | phrases.ORACLE | selection.ORACLE | corpus.ORACLE | files.ORACLE | plugins.ORACLE | search.ORACLE | incremental.ORACLE | sources.ORACLE).items()}
 ORACLE_SQL |= plugins.FULL_ORACLE
 
 # what stands above leaf slices starts from the served leaves

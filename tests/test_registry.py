@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 #: One or more of each kind; the driver compares all of them.
 CHECKED = [
     "hop3_composition", "hop2_material", "layer_fractions", "default_endpoints", "class_leaf_mean", "class_ancestor_mean", "class_uncertainty",
-    "class_dq", "reconcile_residual", "mass_conservation", "balance_level", "unknown_plan", "inferred_unknown_content", "year_run_islands", "taxonomy_closure", "table_diff",
+    "class_dq", "reconcile_residual", "mass_conservation", "balance_level", "unknown_plan", "inferred_unknown_content", "material_canonicalize", "year_run_islands", "taxonomy_closure", "table_diff",
     "direct_child_anti", "percentile_interp", "term_leak_scan", "rerun_overlay", "level_rollup_check",
     "element_symbol", "resolve_class", "corrections_lookup", "parent_gate", "decompose_unknown", "remainder_dedup", "median_iqr", "question_cu_distribution", "component_context_lookup", "routed_query", "root_of", "granular_reach",
     "materialize_rules", "refresh_view", "affected_classes", "add_source", "scan_facts_csv", "scan_corrections", "scan_corpus", "catalog_incremental", "sink_view", "sample_edge", "mc_band_segment", "projection_plugin", "ruleset_as_data", "golden_value_scan", "nearest_k", "ungrounded_numbers",
