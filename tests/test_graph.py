@@ -85,3 +85,27 @@ def test_nearest_neighbours_against_all_pairs(spark, monkeypatch):
     with pytest.raises(ValueError, match="1..50"):
         search.nearest_k(table, 51)
     assert search.nearest_k(table.filter(F.lit(False)), 3).count() == 0
+
+
+GROUPED = "g long, whole string, part string, best double, whole_rank int, part_rank int, cls string"
+
+
+def _layers(group, width):
+    """Edges of three full layers of nodes, or of one loop of equal ranks beside them."""
+    at = lambda r, i: f"{group}.{r}.{i}"
+    return [(group, at(r, i), at(r + 1, j), 0.5 + i / 8, r, r + 1, f"k{r}") for r in range(3) for i in range(width) for j in range(width)]
+
+
+def test_paths_and_roots_by_group_are_those_of_the_loops(spark):
+    loop = [(7, "7.a", "7.b", 0.5, 1, 1, "x"), (7, "7.b", "7.a", 0.5, 1, 1, "x"), (7, "7.b", "7.c", 0.5, 1, 2, "y"), (7, "7.t", "7.b", 1.0, 0, 1, "z")]
+    rows = _layers(1, 1) + _layers(2, 4) + _layers(3, 5) + loop + _layers(None, 2) + [(9, "9.a", "9.b", 1.0, 0, 2, "far"), (9, "9.c", None, 1.0, 0, 1, "none")]
+    edges = spark.createDataFrame(rows, GROUPED)  # group 3 is larger than GROUP, 7 does not step by one
+    show = lambda df: sorted((r["whole"], r["part"], round(r["fraction"], 9), r["depth"], tuple(r["levels"])) for r in df.collect())
+    by_group = graph.granular_reach(edges, "g", ["cls"])
+    assert show(by_group) == show(graph.granular_reach(edges)) and by_group.columns[0] == "g"
+    assert {r["cls"] for r in by_group.filter("part LIKE '2.3.%'").collect()} == {"k2"}
+    up = edges.select("g", F.col("part").alias("child"), F.col("whole").alias("parent"))
+    pairs = lambda df: sorted((r["node"], r["root"]) for r in df.collect())
+    assert pairs(graph.roots_of(up, within="g")) == pairs(graph.roots_of(up))
+    chain = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}") for i in range(graph.GROUP)], "g long, child string, parent string")
+    assert pairs(graph.roots_of(chain, within="g")) == sorted((f"n{i}", f"n{graph.GROUP}") for i in range(graph.GROUP))
