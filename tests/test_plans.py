@@ -54,3 +54,13 @@ def test_a_view_follows_its_files_and_is_dropped(spark, tmp_path):
 def test_parameters_are_literals(spark):
     assert lookups.lit("O'Brien") == "'O''Brien'"
     assert tables.sql_query(lookups.item_mass_of_class("no such ' class"))(spark, DATA).count() == 0
+
+
+def test_line_items_are_dealt_by_their_size(spark, monkeypatch):
+    from masschain.plans import shared, tables
+
+    folder, text = "/root/testdata/sf0.001", tables.with_ctes("SELECT * FROM facts")
+    assert tables.dealt(spark, folder, text) == text
+    monkeypatch.setattr(tables, "DEALT_BYTES", shared.size_of(spark, f"{folder}/lineitem.parquet") // 20)
+    dealt = tables.run(spark, folder, text)
+    assert 20 <= dealt.rdd.getNumPartitions() <= 21 and tables.dealt(spark, "/nowhere", text) == text
