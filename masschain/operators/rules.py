@@ -8,6 +8,10 @@ _CLASS_EDGES = """SELECT DISTINCT w.class AS whole, p.class AS part, w.rank AS w
     SELECT DISTINCT p.product_class AS whole, e.component_class AS part FROM pc e JOIN placed p ON e.ord = p.ord UNION SELECT DISTINCT component_class, material_class FROM mat UNION SELECT DISTINCT material_class, element_class FROM mat) e
     JOIN ranked w ON e.whole = w.class JOIN ranked p ON e.part = p.class"""
 _RANKED = """WITH ranked AS (SELECT DISTINCT descendant AS class, CASE ancestor WHEN 'Product' THEN 0 WHEN 'Component' THEN 1 WHEN 'Material' THEN 2 ELSE 3 END AS rank FROM closure WHERE ancestor IN ('Product', 'Component', 'Material', 'Element')) """
+#: Classes without scope or strategy; Spark looks the classes of all facts up in one table of distinct ones, as an OR of columns would hold each class against each fact.
+_DIAG = """SELECT 'T' AS rule, t.child FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM class_time c WHERE c.class = t.child) AND NOT EXISTS (SELECT 1 FROM subclass s JOIN class_time c ON s.child = c.class WHERE s.parent = t.child)
+        AND EXISTS (SELECT 1 FROM closure k WHERE k.descendant = t.child AND k.ancestor IN ('Product', 'Component'))
+        UNION ALL SELECT 'S', t.child FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM strategy s WHERE s.class = t.child) AND NOT EXISTS ({})"""
 
 SQL = {
     "rule_edge_required": "SELECT 'edge_required' AS rule, l_orderkey AS ord, l_partkey AS prt FROM lineitem WHERE l_partkey IS NULL OR l_quantity IS NULL OR l_shipdate IS NULL",
@@ -35,9 +39,8 @@ SQL = {
     "rule_subject_is_class": "SELECT DISTINCT 'subject' AS rule, l.product_class FROM leaf_mean l WHERE NOT EXISTS (SELECT 1 FROM taxonomy t WHERE t.child = l.product_class)",
     "rule_s6_served_scope": "SELECT DISTINCT 'S6' AS rule, m.product_class FROM item_mass m LEFT JOIN class_time c ON c.class = (m.product_class || '_Y' || CAST(m.yr AS STRING)) WHERE c.class IS NULL OR c.y0 > c.y1",
     "rule_label": "SELECT 'label' AS rule, p_partkey FROM part WHERE p_name IS NULL OR trim(p_name) = ''",
-    "rule_t_s_diag": """SELECT 'T' AS rule, t.child FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM class_time c WHERE c.class = t.child) AND NOT EXISTS (SELECT 1 FROM subclass s JOIN class_time c ON s.child = c.class WHERE s.parent = t.child)
-        AND EXISTS (SELECT 1 FROM closure k WHERE k.descendant = t.child AND k.ancestor IN ('Product', 'Component'))
-        UNION ALL SELECT 'S', t.child FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM strategy s WHERE s.class = t.child) AND NOT EXISTS (SELECT 1 FROM mat m WHERE m.component_class = t.child OR m.material_class = t.child OR m.element_class = t.child)""",
+    "rule_t_s_diag": (_DIAG.format("SELECT 1 FROM (SELECT explode(array(component_class, material_class, element_class)) AS class FROM (SELECT DISTINCT component_class, material_class, element_class FROM mat) d) m WHERE m.class = t.child"),
+        _DIAG.format("SELECT 1 FROM mat m WHERE m.component_class = t.child OR m.material_class = t.child OR m.element_class = t.child")),
     "audit_taxonomy": f"""SELECT 'multi_root' AS rule, COUNT(*) AS n FROM (SELECT descendant FROM closure WHERE ancestor IN {_LEVELS} GROUP BY descendant HAVING COUNT(DISTINCT ancestor) > 1) m
         UNION ALL SELECT 'unreachable', COUNT(*) FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM closure c WHERE c.descendant = t.child AND c.ancestor IN {_LEVELS})
         UNION ALL SELECT 'undefined', COUNT(*) FROM (SELECT DISTINCT p_brand FROM part) p WHERE NOT EXISTS (SELECT 1 FROM taxonomy t WHERE t.child = p.p_brand)

@@ -41,3 +41,10 @@ def test_rules_find_faults(spark, faulty, name):
     got = sorted((tuple(plain(r[c]) for c in columns) for r in mine.collect()), key=str)
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in theirs.fetchall()), key=str)
     assert got or name in BY_CONSTRUCTION
+
+
+def test_diagnosis_holds_no_class_against_each_fact(spark):
+    from masschain.plans import registry
+
+    plan = registry.QUERIES["rule_t_s_diag"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan
