@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from masschain.plans import tables
 
 HEAD = 4
+MOST_TERMS = 500_000  # terms that are sent to all executors; with more, runs are dealt by head
 SPLIT = "[^a-z_0-9]+"
 
 
@@ -35,7 +36,9 @@ def found(docs: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, e
     texts = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), words_of("text").alias("w"))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("w") - i + 1)), lambda k: F.struct(i.alias("at"), F.array_join(F.slice("w", i, k), " ").alias("head")))))
     heads = texts.filter(F.size("w") > 0).select("doc_id", "h", F.inline(runs))
-    hit = heads.join(own.select("kind", "term", "length", "head"), "head")
+    sought = own.select("kind", "term", "length", "head")
+    # runs outnumber the words of all texts, so they stay where they are if the terms can go to them
+    hit = heads.join(F.broadcast(sought) if own.count() <= MOST_TERMS else sought, "head")
     short = hit.filter(F.col("length") <= HEAD).select("doc_id", "kind", "term")
     # long terms against the words that follow; equal texts of one id are equal here
     whole = texts.select(F.col("doc_id").alias("id"), F.col("h").alias("h2"), "w").dropDuplicates(["id", "h2"])
