@@ -12,6 +12,7 @@ _RANKED = """WITH ranked AS (SELECT DISTINCT descendant AS class, CASE ancestor
 _DIAG = """SELECT 'T' AS rule, t.child FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM class_time c WHERE c.class = t.child) AND NOT EXISTS (SELECT 1 FROM subclass s JOIN class_time c ON s.child = c.class WHERE s.parent = t.child)
         AND EXISTS (SELECT 1 FROM closure k WHERE k.descendant = t.child AND k.ancestor IN ('Product', 'Component'))
         UNION ALL SELECT 'S', t.child FROM taxonomy t WHERE NOT EXISTS (SELECT 1 FROM strategy s WHERE s.class = t.child) AND NOT EXISTS ({})"""
+_PARAMS = "SELECT 'distribution' AS rule, ord, sup, prt FROM {} WHERE lim IS NULL OR lo <= 0 OR hi <= 0 OR lo > elem_best OR hi < elem_best"
 
 SQL = {
     "rule_edge_required": "SELECT 'edge_required' AS rule, l_orderkey AS ord, l_partkey AS prt FROM lineitem WHERE l_partkey IS NULL OR l_quantity IS NULL OR l_shipdate IS NULL",
@@ -19,7 +20,7 @@ SQL = {
     "rule_six_dq": "SELECT 'six_dq' AS rule, l_orderkey AS ord, l_suppkey AS sup, l_partkey AS prt FROM lineitem WHERE l_partkey IS NULL",
     "rule_dq_range": f"SELECT 'dq_range' AS rule, ord, sup, prt FROM mat WHERE {_OUT_OF_RANGE}",
     "rule_statement_meta": "SELECT 'statement_meta' AS rule, o_orderkey AS ord FROM orders o WHERE o_orderdate IS NULL OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey) OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_returnflag IS NOT NULL)",
-    "rule_distribution_params": "SELECT 'distribution' AS rule, ord, sup, prt FROM stmt WHERE lim IS NULL OR lo <= 0 OR hi <= 0 OR lo > elem_best OR hi < elem_best",
+    "rule_distribution_params": (_PARAMS.format("stmt_filtered"), _PARAMS.format("stmt")),
     "rule_quantity": "SELECT 'quantity' AS rule, l_orderkey AS ord, l_suppkey AS sup, l_partkey AS prt, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_suppkey, l_partkey HAVING COUNT(*) > 1",
     "rule_quantity_value": "SELECT 'value' AS rule, l_orderkey AS ord, l_linenumber AS line FROM lineitem WHERE l_quantity IS NULL OR l_quantity <= 0 OR l_linestatus IS NULL OR l_linestatus NOT IN ('F', 'O')",
     "rule_element_leaf": "SELECT 'element_leaf' AS rule, t.child FROM taxonomy t JOIN taxonomy e ON t.parent = e.child WHERE e.parent = 'Element'",

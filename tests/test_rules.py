@@ -48,3 +48,11 @@ def test_diagnosis_holds_no_class_against_each_fact(spark):
 
     plan = registry.QUERIES["rule_t_s_diag"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan
+
+
+def test_filter_on_limits_holds_no_scores(spark):
+    from masschain.plans import registry
+
+    plan = registry.QUERIES["rule_distribution_params"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    held = [line for line in plan.toString().splitlines() if "Filter" in line and "99.0" in line]
+    assert len(held) == 1 and "weighted" in held[0] and "q_" not in held[0]
