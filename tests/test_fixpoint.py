@@ -110,3 +110,30 @@ def test_random_rules(spark, seed):
 
 def test_no_rows(spark):
     assert found(spark, [], [], []) == set()
+
+
+def test_groups_in_a_row_have_the_rules_of_joins(spark):
+    """Small groups that step down, one that stays in its rank and a large one, each with nodes of its own."""
+    rng = random.Random(11)
+    nodes, stated, groups = [], [], {}
+    for g in range(9):
+        own = [(f"g{g}n{i}", f"k{rng.randrange(6)}", i % 4) for i in range(26 if g == 8 else 8)]
+        nodes += own
+        down = [(a, b) for a in own for b in own if a[2] < b[2] or (g == 7 and a[2] == b[2] and a[0] < b[0])]
+        for a, b in down if g == 8 else rng.sample(down, 9):
+            stated.append((f"s{len(stated)}", a[0], b[0], rng.choice([None, round(rng.random(), 3)])))
+            groups[stated[-1][0]] = g
+    taxonomy = [(f"k{rng.randrange(6)}", f"k{rng.randrange(6)}") for _ in range(5)]
+    assert sum(g == 8 for g in groups.values()) > 64
+    within = spark.createDataFrame(list(groups.items()), "id string, at long")
+    met = fixpoint.ranked(spark.createDataFrame(nodes, NODES), spark.createDataFrame(stated, STATED)).join(within, "id")
+    rows = fixpoint.materialized_ranked(met, spark.createDataFrame(taxonomy, TAXONOMY), within="at").collect()
+    out = [(r[0], r[1], r[2], r[3], None if r[4] is None else round(r[4], 9), r[5]) for r in rows]
+    assert len(out) == len(set(out)) and set(out) == expected(nodes, stated, taxonomy)
+
+
+def test_line_items_are_dealt_once_for_all_rules(spark):
+    from masschain.plans import registry
+
+    plan = registry.QUERIES["materialize_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ord") == 2 and "Exchange hashpartitioning(whole" not in plan
