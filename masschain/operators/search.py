@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048  # query vectors that a task holds against a batch at once
+BLOCK = 512  # query vectors that a task holds against ROWS rows at once, so that its memory follows neither the table nor the batches
+ROWS = 1024
 PASS = 32_768  # query vectors that one pass over the table serves; they go out as a broadcast of so many rows at most
 SAMPLE = 20_000  # rows, about, that give each query a first bound on its k-th similarity
 QUERY_EVERY = 50
@@ -26,15 +27,21 @@ def _nearest(shared, k: int):
         ids, vectors, bound = shared.value
         best = [(np.zeros((min(BLOCK, len(ids) - at), 0)), np.zeros((min(BLOCK, len(ids) - at), 0), np.int64)) for at in range(0, len(ids), BLOCK)]
         for pdf in batches:
-            rows, own = _unit(pdf["embedding"]), pdf["vec_id"].to_numpy()
-            for i, (score_so_far, id_so_far) in enumerate(best):
-                part = slice(i * BLOCK, (i + 1) * BLOCK)
-                score = np.round(vectors[part] @ rows.T, 6)
-                score[ids[part][:, None] == own[None, :]] = -np.inf
-                score[score < bound[part][:, None]] = -np.inf
-                score, named = np.hstack([score_so_far, score]), np.hstack([id_so_far, np.broadcast_to(own, score.shape)])
-                order = np.lexsort((named, -score), axis=1)[:, :k]
-                best[i] = np.take_along_axis(score, order, 1), np.take_along_axis(named, order, 1)
+            for at in range(0, len(pdf), ROWS):
+                some = pdf[at : at + ROWS]
+                rows, own = _unit(some["embedding"]), some["vec_id"].to_numpy()
+                for i, (score_so_far, id_so_far) in enumerate(best):
+                    part = slice(i * BLOCK, (i + 1) * BLOCK)
+                    score = np.round(vectors[part] @ rows.T, 6)
+                    score[ids[part][:, None] == own[None, :]] = -np.inf
+                    least = bound[part] if score_so_far.shape[1] < k else np.maximum(bound[part], score_so_far[:, -1])
+                    score[score < least[:, None]] = -np.inf
+                    met = np.flatnonzero(np.isfinite(score).any(axis=0))  # rows that are near to no query of the block are not sorted
+                    if not len(met) and score_so_far.shape[1] == k:
+                        continue
+                    score, named = np.hstack([score_so_far, score[:, met]]), np.hstack([id_so_far, np.broadcast_to(own[met], (len(score), len(met)))])
+                    order = np.lexsort((named, -score), axis=1)[:, :k]
+                    best[i] = np.take_along_axis(score, order, 1), np.take_along_axis(named, order, 1)
         for i, (score, named) in enumerate(best):
             if score.shape[1]:
                 out = pd.DataFrame({"query_id": np.repeat(ids[i * BLOCK : i * BLOCK + len(score)], score.shape[1]), "vec_id": named.reshape(-1), "similarity": score.reshape(-1)})

@@ -87,6 +87,25 @@ def test_nearest_neighbours_against_all_pairs(spark, monkeypatch):
     assert search.nearest_k(table.filter(F.lit(False)), 3).count() == 0
 
 
+def test_a_task_of_nearest_neighbours_holds_small_blocks():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    vectors, ids = np.random.default_rng(2).normal(size=(6000, 4)), np.arange(6000)
+    queries = SimpleNamespace(value=(ids[:1500], search._unit(vectors[:1500]), np.full(1500, -np.inf)))
+    tracemalloc.start()
+    found = pd.concat(search._nearest(queries, 5)(iter([pd.DataFrame({"vec_id": ids, "embedding": list(vectors)})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    score = np.round(search._unit(vectors) @ search._unit(vectors[:3]).T, 6)
+    for q in range(3):
+        assert found[found["query_id"] == q]["vec_id"].tolist() == [i for i in np.lexsort((ids, -score[:, q])) if i != q][:5]
+
+
 GROUPED = "g long, whole string, part string, best double, whole_rank int, part_rank int, cls string"
 
 
