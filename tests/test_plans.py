@@ -64,3 +64,20 @@ def test_line_items_are_dealt_by_their_size(spark, monkeypatch):
     monkeypatch.setattr(tables, "DEALT_BYTES", shared.size_of(spark, f"{folder}/lineitem.parquet") // 20)
     dealt = tables.run(spark, folder, text)
     assert 20 <= dealt.rdd.getNumPartitions() <= 21 and tables.dealt(spark, "/nowhere", text) == text
+
+
+def test_line_items_meet_large_tables_unsorted(spark, monkeypatch):
+    text = tables.with_ctes("SELECT * FROM path")
+    sent = plan_of(tables.run(spark, DATA, text))
+    monkeypatch.setattr(tables, "SENT_BYTES", 0, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hashed = plan_of(tables.run(spark, DATA, text))
+        want = sorted(map(str, tables.run(spark, DATA, text).select("ord", "sup", "prt", "f").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = lambda plan, kind: len(re.findall(rf"^\(\d+\) {kind}", plan, re.M))
+    assert joins(sent, "BroadcastHashJoin") >= 2 and joins(sent, "ShuffledHashJoin") == joins(sent, "SortMergeJoin") == 0
+    assert joins(hashed, "ShuffledHashJoin") == 2  # only nations and regions, which are small at any size, are left to Spark
+    monkeypatch.undo()
+    assert want == sorted(map(str, tables.run(spark, DATA, text).select("ord", "sup", "prt", "f").collect()))
