@@ -17,7 +17,7 @@ SQL = {
     "recovery_copresent": "SELECT a.ord, a.sup, COUNT(*) AS routes FROM (SELECT DISTINCT ord, sup, element_class FROM mat) a JOIN (SELECT DISTINCT ord, sup, element_class FROM mat) b ON a.ord = b.ord AND a.sup = b.sup JOIN (SELECT * FROM (VALUES ('PROMO', 'LARGE'), ('SMALL', 'PROMO'), ('ECONOMY', 'STANDARD')) AS k(element, base)) r ON a.element_class = r.element AND b.element_class = r.base GROUP BY 1, 2",
     "recovery_full_table": "SELECT a.element_class, b.element_class AS base_metal, COUNT(*) AS n FROM (SELECT DISTINCT ord, element_class FROM mat) a JOIN (SELECT DISTINCT ord, element_class FROM mat) b ON a.ord = b.ord WHERE a.element_class <> b.element_class GROUP BY 1, 2",
     "recovery_copresent_material": "SELECT a.material_class, a.element_class, b.element_class AS base FROM (SELECT DISTINCT material_class, element_class FROM mat) a JOIN (SELECT DISTINCT material_class, element_class FROM mat) b ON a.material_class = b.material_class WHERE a.element_class < b.element_class",
-    "coarse_vs_granular": "SELECT c.ord, c.element_class, round(c.lo, 9) AS coarse, round(coalesce(r.amount, 0), 9) AS granular FROM coarse c LEFT JOIN reach r ON c.ord = r.ord AND c.element_class = r.element_class",
+    "coarse_vs_granular": ("SELECT ord, element_class, round(lo, 9) AS coarse, round(CASE WHEN element_class IS NULL THEN 0 ELSE coalesce(amount, 0) END, 9) AS granular FROM levels WHERE ord IS NOT NULL", "SELECT c.ord, c.element_class, round(c.lo, 9) AS coarse, round(coalesce(r.amount, 0), 9) AS granular FROM coarse c LEFT JOIN reach r ON c.ord = r.ord AND c.element_class = r.element_class"),
     "class_lift": "SELECT DISTINCT p.product_class, c.component_class FROM pc e JOIN prod p ON e.ord = p.ord JOIN comp c ON e.ord = c.ord AND e.sup = c.sup",
     "inverse_edges": "SELECT sup AS part, ord AS whole, round(best, 9) AS best FROM pc",
     "scope_members": "SELECT c.component_class, p.product_class, COUNT(*) AS n FROM comp c JOIN prod p ON c.ord = p.ord GROUP BY 1, 2",

@@ -20,7 +20,7 @@ def plan_of(df) -> str:
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["hop3_composition", "total_and_rss", "group_total_rss", "reconcile_residual", "class_leaf_mean"])
+@pytest.mark.parametrize("name", ["hop3_composition", "total_and_rss", "group_total_rss", "reconcile_residual", "class_leaf_mean", "coarse_vs_granular"])
 def test_line_items_are_read_once(spark, name):
     plan = plan_of(registry.QUERIES[name](spark, DATA))
     assert len(re.findall(r"Location: .*lineitem\.parquet", plan)) == 1
