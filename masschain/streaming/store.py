@@ -87,10 +87,11 @@ class Store:
     def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
         return self._open(spark, self.manifest(spark, version))
 
-    def _write(self, rows: DataFrame) -> tuple[dict[int, str], int]:
-        """Rows written by bucket: folders of the buckets that have some, and their number."""
+    def _write(self, rows: DataFrame, dealt: bool = False) -> tuple[dict[int, str], int]:
+        """Rows written by bucket: folders of the buckets that have some, and their number. Rows that are dealt by key already are written from where they are."""
         path = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        marked = rows.withColumn("bucket", self.bucket())
+        (marked if dealt else marked.repartition("bucket")).write.partitionBy("bucket").parquet(path)
         written = {int(name.removeprefix("bucket=")): f"{path}/{name}" for name in shared.names(rows.sparkSession, path) if name.startswith("bucket=")}
         n = self._open(rows.sparkSession, {b: [p] for b, p in written.items()}).count() if written else 0
         return written, n
@@ -118,7 +119,7 @@ class Store:
         columns = spark.createDataFrame([], self.schema).columns
         rows = batch.select(columns).dropDuplicates(list(self.keys))
         held = [b for b in self._touched(rows) if b in folders]
-        written, n = self._write(self._apart(rows, self._open(spark, folders, held)) if held else rows)
+        written, n = self._write(self._apart(rows, self._open(spark, folders, held)) if held else rows, dealt=True)
         new = self._open(spark, {b: [p] for b, p in written.items()})
         folders = {b: [*folders.get(b, []), *([written[b]] if b in written else [])] for b in {*folders, *written}}
         full = [b for b in written if len(folders[b]) > MOST_PARTS]

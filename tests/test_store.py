@@ -48,6 +48,17 @@ def test_changes_read_touched_buckets_only(spark, store):
     assert all(last[b] == after[b] for b in after if b not in swapped.read)
 
 
+def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = Store(str(tmp_path / "one"), ("k", "j"), SCHEMA, 1)
+        rows = [(f"k{i}", i, float(i)) for i in range(400)]
+        assert one.add(spark.createDataFrame(rows + rows, SCHEMA)).rows == 400
+        assert len(one.read(spark).inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_versions_stay_readable_until_they_are_cleared(spark, store):
     for i in range(3):
         store.add(spark.createDataFrame([("a", i, float(i))], SCHEMA))
