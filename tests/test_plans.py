@@ -81,3 +81,34 @@ def test_line_items_meet_large_tables_unsorted(spark, monkeypatch):
     assert joins(hashed, "ShuffledHashJoin") == 2  # only nations and regions, which are small at any size, are left to Spark
     monkeypatch.undo()
     assert want == sorted(map(str, tables.run(spark, DATA, text).select("ord", "sup", "prt", "f").collect()))
+
+
+def test_line_items_are_dealt_by_their_size_below_the_number_of_shuffle_partitions(spark, monkeypatch):
+    text = tables.with_ctes("SELECT * FROM facts")
+    monkeypatch.setattr(tables, "DEALT_BYTES", shared.size_of(spark, f"{DATA}/lineitem.parquet") // 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert 20 <= tables.run(spark, DATA, text).rdd.getNumPartitions() <= 21
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sums_over_paths_come_from_one_pass(spark, tmp_path):
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        kept = {"orders": "o_orderkey % 5 <> 0", "part": "p_partkey % 7 <> 0"}.get(name, "true")  # some products have no place, some line items no material
+        tables.read(spark, DATA, name).filter(kept).write.parquet(str(tmp_path / f"{name}.parquet"))
+    folder = str(tmp_path)
+    plan = plan_of(tables.run(spark, folder, tables.with_ctes(tables.path_sums(list(tables.PATH_SUMS)))))
+    assert len(re.findall(r"Location: .*lineitem\.parquet", plan)) == 1
+    tables.sql_query(lookups.slice_view("FURNITURE"))(spark, folder)
+    there = {name for name in tables.PATH_SUMS if shared.exists(spark, view.path_of(spark, folder, name))}
+    assert there == {"leaf_mean", "scope_amount"}
+    for name in tables.PATH_SUMS:
+        want = tables.run(spark, folder, tables.with_ctes(f"SELECT * FROM {name}"))
+        keys = list(tables.PATH_SUMS[name][0])
+        got = {tuple(r[k] for k in keys): r.asDict() for r in view.served(spark, folder, name).collect()}
+        want = {tuple(r[k] for k in keys): r.asDict() for r in want.collect()}
+        assert want and got.keys() == want.keys()
+        for k, row in want.items():
+            assert all(got[k][c] == (pytest.approx(v, rel=1e-9) if isinstance(v, float) else v) for c, v in row.items()), (name, k)
