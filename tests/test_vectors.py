@@ -63,3 +63,30 @@ def test_store_bands_hold_the_means_without_draws(spark):
     above = [r for r in got if (r["class"], r["element_class"]) in means]
     assert {"BUILDING"} < {r["class"] for r in above} and all(r["mean"] == pytest.approx(means[r["class"], r["element_class"]], rel=0.05) for r in above)
     assert all(r["p5"] <= r["p50"] <= r["p95"] for r in got)
+
+
+@pytest.mark.parametrize("kind", ["triangular", "normal", "lognormal", "weibull", "gamma", "beta"])
+@pytest.mark.parametrize("width", [0.05, 0.5, 0.9])
+def test_draws_follow_numpys_distributions(kind, width):
+    n, best, lo, hi = 100_000, 0.3, 0.3 * (1 - width), 0.3 * (1 + width)
+    rng, spread = np.random.default_rng(7), 0.3 * width / np.sqrt(3)
+    ratio = spread / best
+    wide = np.log1p(ratio**2)
+    want = {
+        "triangular": lambda: rng.triangular(lo, best, hi, n), "normal": lambda: rng.normal(best, spread, n), "lognormal": lambda: rng.lognormal(np.log(best) - wide / 2, np.sqrt(wide), n),
+        "weibull": lambda: rng.weibull(ratio**-1.086, n) * best / vectors.math.gamma(1 + ratio**1.086), "gamma": lambda: rng.gamma(ratio**-2, best * ratio**2, n), "beta": lambda: lo + (hi - lo) * rng.beta(2, 2, n),
+    }[kind]()
+    got, want = np.sort(vectors.draws("e", kind, best, lo, hi, n)), np.sort(np.maximum(want, 0))
+    at = np.concatenate([got, want])
+    apart = np.abs(np.searchsorted(got, at, "right") - np.searchsorted(want, at, "right")).max() / n
+    assert apart < 1.95 * np.sqrt(2 / n)
+
+
+def test_draws_do_not_make_generators(monkeypatch):
+    """A generator for each edge cost more time than the draws of an evenly spread one."""
+    monkeypatch.setattr(np.random, "Generator", None)
+    monkeypatch.setattr(np.random, "Philox", None)
+    one, other = (vectors.draws("a", k, 0.3, 0.2, 0.4, 1000) for k in ("uniform", "beta"))
+    assert (one == vectors.draws("a", "uniform", 0.3, 0.2, 0.4, 1000)).all() and (one != other).any()
+    pairs = [vectors.draws(f"e{i}", "normal", 0.3, 0.2, 0.4, 1000) for i in range(40)]
+    assert np.abs(np.corrcoef(pairs) - np.eye(40)).max() < 0.16
