@@ -112,3 +112,13 @@ def test_sums_over_paths_come_from_one_pass(spark, tmp_path):
         assert want and got.keys() == want.keys()
         for k, row in want.items():
             assert all(got[k][c] == (pytest.approx(v, rel=1e-9) if isinstance(v, float) else v) for c, v in row.items()), (name, k)
+
+
+def test_the_whole_view_takes_one_pass_over_paths(spark, monkeypatch):
+    from masschain.sources import files
+
+    view.drop_views(spark)
+    passes, path_sums = [], tables.path_sums
+    monkeypatch.setattr(tables, "path_sums", lambda names: passes.append(sorted(names)) or path_sums(names))
+    files.sink_view(spark, DATA)
+    assert passes == [sorted(tables.PATH_SUMS)]
