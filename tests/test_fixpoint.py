@@ -137,3 +137,19 @@ def test_line_items_are_dealt_once_for_all_rules(spark):
 
     plan = registry.QUERIES["materialize_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(ord") == 2 and "Exchange hashpartitioning(whole" not in plan
+
+
+def test_orders_of_larger_files_are_dealt_once_and_written_as_rows(spark, monkeypatch):
+    """What deals line items a second time for kinds and for large orders doubles the disk that the rules need."""
+    from pyspark.sql import functions as F
+
+    data = "/root/testdata/sf0.001"
+    plain = fixpoint.materialize_rules(spark, data)
+    monkeypatch.setattr(fixpoint, "PACKED_BYTES", 0)
+    monkeypatch.setattr(fixpoint, "AT_ONCE", 100)
+    monkeypatch.setattr(fixpoint, "_PACKED", fixpoint._PACKED.replace("<= 64", "<= 20").replace("> 64", "> 20"))  # some orders go by joins
+    packed = fixpoint.materialize_rules(spark, data)
+    assert "Exchange hashpartitioning(ord" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert {r[0] for r in packed.select("rule").distinct().collect()} == {"fillers", "propagate", "reconcile", "lift", "class_reach"}
+    rows = lambda df: df.withColumn("value", F.round("value", 8))
+    assert plain.count() == packed.count() and rows(plain).exceptAll(rows(packed)).isEmpty()
