@@ -1,9 +1,9 @@
 """Vocabulary that leaks into documents: terms and phrases of any length, as whole words, less what is allowed.
 
-Words are runs of letters, digits and `_`, lower-cased. A term is found by its head, its first HEAD words: every
-run of so many words of a document (and the shorter ones that terms have) is looked up among the heads in one join by the
-phrase itself. A longer term that a head points to is then held against the words that follow, all
-of them. Allowed terms are not sought; an exempt document is not searched for the kinds that it is exempt from.
+Words are runs of letters, digits and `_`, lower-cased. A term is cut into pieces of RUN words, the last one ending with the term; a
+shorter term is one piece. Where a word of a document begins a piece, the run of as many words is looked up among the pieces in one join by the
+phrase itself, so work is linear in the words of a document. A term stands where all of its pieces do, at their
+offsets. Allowed terms are not sought; an exempt document is not searched for the kinds that it is exempt from.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from masschain.plans import tables
 
-HEAD = 4
-MOST_TERMS = 500_000  # terms that are sent to all executors; with more, runs are dealt by head
+RUN = 4
+MOST_TERMS = 500_000  # pieces of terms that are sent to all executors; with more, runs are dealt by their words
 SPLIT = "[^a-z_0-9]+"
 
 
@@ -31,20 +31,25 @@ def found(docs: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, e
     own = own.withColumns({"term": F.array_join("sought", " "), "length": F.size("sought")}).dropDuplicates(["kind", "term"])
     if allowed is not None:
         own = own.join(allowed.select(F.array_join(words_of("term"), " ").alias("term")).distinct(), "term", "left_anti")
-    own = own.withColumn("head", F.array_join(F.slice("sought", 1, HEAD), " "))
-    # numbered, as ids may repeat or be null
-    texts = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), words_of("text").alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("w") - i + 1)), lambda k: F.struct(i.alias("at"), F.array_join(F.slice("w", i, k), " ").alias("head")))))
-    heads = texts.filter(F.size("w") > 0).select("doc_id", "h", F.inline(runs))
-    sought = own.select("kind", "term", "length", "head")
-    # runs outnumber the words of all texts, so they stay where they are if the terms can go to them
-    hit = heads.join(F.broadcast(sought) if own.count() <= MOST_TERMS else sought, "head")
-    short = hit.filter(F.col("length") <= HEAD).select("doc_id", "kind", "term")
-    # long terms against the words that follow; equal texts of one id are equal here
-    whole = texts.select(F.col("doc_id").alias("id"), F.col("h").alias("h2"), "w").dropDuplicates(["id", "h2"])
-    long_ = hit.filter(F.col("length") > HEAD).join(whole, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2")))
-    long_ = long_.filter(F.array_join(F.slice("w", F.col("at"), F.col("length")), " ") == F.col("term")).select("doc_id", "kind", "term")
-    out = short.unionByName(long_).groupBy("doc_id", "kind", "term").agg(F.count(F.lit(1)).alias("n"))
+    offsets = F.when(F.col("length") <= RUN, F.array(F.lit(0))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.ceil(F.col("length") / RUN).cast("int") - 1), lambda i: F.least(i * RUN, F.col("length") - RUN))))
+    own = own.select("kind", "term", "sought", F.size(offsets).alias("pieces"), F.explode(offsets).alias("offset")).withColumn("words", F.slice("sought", F.col("offset") + 1, RUN))
+    own = own.select("kind", "term", "pieces", "offset", F.array_join("words", " ").alias("run"), F.get("words", 0).alias("first"), F.size("words").alias("k"))
+    begun = own.select("first", "k").distinct()
+    sent = lambda df: F.broadcast(df) if df.count() <= MOST_TERMS else df
+    # numbered, as ids may repeat or be null; a word with the next ones, null behind the last
+    texts = docs.filter("text IS NOT NULL").select("doc_id", F.monotonically_increasing_id().alias("row"), words_of("text").alias("w")).filter(F.size("w") > 0)
+    behind = [F.col("w"), *(F.slice("w", n + 1, F.size("w")) for n in range(1, RUN))]
+    words = texts.select("doc_id", "row", F.inline(F.arrays_zip(F.sequence(F.lit(1), F.size("w")).alias("at"), *(b.alias(f"w{n}") for n, b in enumerate(behind, 1)))))
+    run = F.col("w1")
+    for n in range(2, RUN + 1):  # a run past the last word is null
+        run = F.when(F.col("k") == n, F.concat(*(c for m in range(1, n + 1) for c in (F.lit(" "), F.col(f"w{m}"))[m == 1 :]))).otherwise(run)
+    runs = words.join(sent(begun), F.col("w1") == F.col("first")).select("doc_id", "row", "at", run.alias("run"))
+    # runs outnumber terms, so they stay where they are if the terms can go to them
+    hit = runs.join(sent(own.drop("first", "k")), "run")
+    long_ = F.col("pieces") > 1
+    place = [F.when(long_, F.col("row")).alias("row"), F.when(long_, F.col("at") - F.col("offset")).alias("start")]
+    whole = hit.groupBy("doc_id", "kind", "term", "pieces", *place).agg(F.count(F.lit(1)).alias("met")).filter(~long_ | (F.col("met") == F.col("pieces")))
+    out = whole.groupBy("doc_id", "kind", "term").agg(F.coalesce(F.sum(F.when(long_, F.lit(1)).otherwise(F.col("met"))), F.lit(0)).alias("n"))
     if exempt is not None:
         free = exempt.select(F.col("doc_id").alias("free_id"), F.col("kind").alias("free_kind")).distinct()
         out = out.join(free, F.col("doc_id").eqNullSafe(F.col("free_id")) & (F.col("kind") == F.col("free_kind")), "left_anti")
