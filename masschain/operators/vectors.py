@@ -1,8 +1,8 @@
 """Sampled bands from sample vectors: every edge of every path is drawn, thousands of times, and vectors rise through the classes index by index.
 
 An edge's draws come from a generator that is keyed by the seed and the edge's name, so an edge that several paths share has the
-same draws in all of them, and nothing depends on partitions or reruns. Distributions are numpy's own, with any parameters; those that
-are symmetric are drawn as sums or medians of evenly spread values.
+same draws in all of them, and nothing depends on partitions or reruns. Distributions have any parameters; most are made of 32-bit integers for
+all samples at once, in single precision (7 digits): those that are symmetric as sums or medians of evenly spread values, normal ones by pairs. Sums are of double precision.
 
 Paths are dealt by slice, element class and a part of some `PATHS` paths, and sorted; a task reads them as a stream, with one vector to add to, and gives it
 away when the next part begins. Vectors are cut into blocks of `BLOCK` samples: parts of a slice meet by `MEET` first, and subclasses of a class after that,
@@ -28,12 +28,15 @@ from masschain.plans import shared, tables
 
 SAMPLES, SEED, BLOCK = 10_000, 42, 2_500
 #: Paths in a part of a slice, parts that meet at once, and partitions at most.
-PATHS, MEET, MOST_TASKS = 2_000, 64, 20_000
+PATHS, MEET, MOST_TASKS = 8_000, 64, 20_000
 PERCENTILES = (0.05, 0.5, 0.95)
 KINDS = ("uniform", "triangular", "rectangular", "normal", "lognormal", "weibull", "gamma", "beta")
 _WIDE = np.sqrt(3.0)
 #: Parameters that differ by so little, from rounding, are those of the middle.
 _SAME = 1e-9
+#: A lower end above this part of the upper one stays above 0 in single precision.
+_SINGLE = 1e-6
+_POSITIVE = ("normal", "lognormal", "weibull", "gamma")
 _BITS = np.random.SFC64(0)
 _RNG = np.random.Generator(_BITS)
 _EDGES = ("above", "between", "below")
@@ -53,42 +56,53 @@ def draws(name: str, kind: str, best: float, lo: float, hi: float, samples: int
     ratio = spread / best if best > 0 else 0.0
     rng = _keyed(f"{seed}|{name}")
     if kind in ("uniform", "rectangular"):
-        out = _scaled(rng.random(samples), hi - lo, lo)
+        out = _within(_ints(samples)[0], lo, hi)
     elif kind == "triangular":
         mode = min(max(best, lo), hi)
         if abs((mode - lo) - (hi - mode)) <= _SAME * (hi - lo):  # two evenly spread values
-            out = rng.random(samples)
-            out += rng.random(samples)
-            _scaled(out, (hi - lo) / 2, lo)
+            a, b = _ints(samples, 2)
+            a >>= 1
+            b >>= 1
+            a += b
+            out = _within(a, lo, hi)
         else:
             out = rng.triangular(lo, mode, hi, samples)
     elif kind == "normal":
-        out = _scaled(rng.standard_normal(samples), spread, best)
+        out = _normal(samples, spread)
+        out += np.float32(best)
+        np.maximum(out, 0, out=out)
     elif kind in ("lognormal", "weibull", "gamma") and not ratio:
         out = np.full(samples, best)
     elif kind == "lognormal":
-        width = np.log1p(ratio**2)
-        out = _exp(_scaled(rng.standard_normal(samples), np.sqrt(width), np.log(best) - width / 2))
+        width = math.log1p(ratio**2)
+        out = _normal(samples, math.sqrt(width))
+        out += np.float32(math.log(best) - width / 2)
+        np.exp(out, out=out)
     elif kind == "weibull":
         shape = ratio**-1.086
-        power = np.log(rng.standard_exponential(samples).astype(np.float32))
-        power *= np.float32(1 / shape)
-        out = np.exp(power, out=power).astype(np.float64)
-        out *= best / math.gamma(1 + 1 / shape)
+        out = _above_zero(_ints(samples)[0])
+        np.negative(np.log(out, out=out), out=out)
+        np.log(out, out=out)
+        out *= np.float32(1 / shape)
+        np.exp(out, out=out)
+        out *= np.float32(best / math.gamma(1 + 1 / shape))
     elif kind == "gamma":
         out = _gamma(rng, ratio**-2, samples)
-        out *= best * ratio**2
+        out *= np.float32(best * ratio**2)
     elif kind == "beta":
         at = min(max((best - lo) / (hi - lo), 0.01), 0.99)
         if abs(at - 0.5) <= _SAME:  # beta(2, 2) is the median of three evenly spread values
-            a, b, c = rng.random((3, samples))
-            out = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+            a, b, c = _ints(samples, 3)
+            low = np.minimum(a, b)
+            np.maximum(a, b, out=a)
+            out = _within(np.maximum(np.minimum(a, c, out=a), low, out=a), lo, hi)
         else:
             out = rng.beta(4 * at, 4 * (1 - at), samples)
-        _scaled(out, hi - lo, lo)
+            out *= hi - lo
+            out += lo
     else:
         out = np.full(samples, best)
-    return np.maximum(out, 0.0, out=out)
+    return out if lo > _SINGLE * hi or out.dtype == np.float32 and kind in _POSITIVE else np.maximum(out, 0, out=out)
 
 
 def _keyed(name: str) -> np.random.Generator:
@@ -98,16 +112,41 @@ def _keyed(name: str) -> np.random.Generator:
     return _RNG
 
 
-def _scaled(values: np.ndarray, by: float, plus: float) -> np.ndarray:
-    values *= by
-    values += plus
-    return values
+def _ints(samples: int, rows: int = 1) -> np.ndarray:
+    """Rows of 32-bit integers, signed, all equally likely."""
+    return _BITS.random_raw((samples * rows + 1) // 2).view(np.int32)[: samples * rows].reshape(rows, samples)
 
 
-def _exp(values: np.ndarray) -> np.ndarray:
-    """Single precision, 7 digits, which takes a quarter of the time."""
-    power = values.astype(np.float32)
-    return np.exp(power, out=power).astype(np.float64)
+def _within(ints: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Integers as values between lo and hi."""
+    out = ints.astype(np.float32)
+    out *= np.float32((hi - lo) * 2.0**-32)
+    out += np.float32((lo + hi) / 2)
+    return out
+
+
+def _above_zero(ints: np.ndarray) -> np.ndarray:
+    """Integers as values between 0 and 1, neither included, of which the small ones are as precise as others."""
+    out = ints.view(np.uint32).astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-32 * (1 - 2.0**-24))
+    return out
+
+
+def _normal(samples: int, spread: float) -> np.ndarray:
+    """Normal values around 0, two from each radius and angle (Box and Muller)."""
+    half = (samples + 1) // 2
+    radius, angle = _ints(half, 2)
+    radius = _above_zero(radius)
+    np.log(radius, out=radius)
+    radius *= np.float32(-2 * spread**2)
+    np.sqrt(radius, out=radius)
+    angle = angle.astype(np.float32)
+    angle *= np.float32(math.pi * 2.0**-31)
+    out = np.empty(2 * half, np.float32)
+    np.multiply(np.cos(angle, out=out[:half]), radius, out=out[:half])
+    np.multiply(np.sin(angle, out=out[half:]), radius, out=out[half:])
+    return out[:samples]
 
 
 def _gamma(rng: np.random.Generator, shape: float, samples: int) -> np.ndarray:
@@ -115,15 +154,18 @@ def _gamma(rng: np.random.Generator, shape: float, samples: int) -> np.ndarray:
     if shape < 1:
         return rng.standard_gamma(shape, samples)
     d = shape - 1 / 3
-    x, u = rng.standard_normal(samples), 1 - rng.random(samples)
-    v = x / math.sqrt(9 * d)
-    v += 1
+    x, u = _normal(samples, 1.0), _above_zero(_ints(samples)[0])
+    v = x * np.float32(1 / math.sqrt(9 * d))
+    v += np.float32(1)
+    fourth = x * x
+    fourth *= fourth
+    fourth *= np.float32(0.0331)
+    doubt = np.flatnonzero(u <= fourth)  # holds all cubes that are not above 0
     v *= v * v
-    x *= x
-    doubt = np.flatnonzero(u >= 1 - 0.0331 * (x * x))  # holds all cubes that are not above 0
-    c = np.maximum(v[doubt], 1e-300)
-    again = doubt[np.log(u[doubt]) >= x[doubt] / 2 + d * (1 - c + np.log(c))]
-    v *= d
+    c, x, u = (w[doubt].astype(np.float64) for w in (v, x, u))
+    c = np.maximum(c, 1e-300)
+    again = doubt[np.log1p(-u) >= x * x / 2 + d * (1 - c + np.log(c))]
+    v *= np.float32(d)
     if len(again):
         v[again] = rng.standard_gamma(shape, len(again))
     return v
@@ -148,10 +190,8 @@ def slice_vectors(paths: DataFrame, sizes: DataFrame, samples: int = SAMPLES, se
                 above, between, below = row[3:8], row[8:13], row[13:18]
                 if above != shared_edge:  # paths below one edge come one after another
                     shared_edge, shared_draws = above, draws(*above, samples, seed)
-                product = draws(*between, samples, seed)
-                product *= draws(*below, samples, seed)
-                product *= shared_draws
-                total += product
+                product = draws(*between, samples, seed) * draws(*below, samples, seed)
+                total += product * shared_draws if product.dtype != shared_draws.dtype else np.multiply(product, shared_draws, out=product)
         if at is not None:
             yield given()
 
